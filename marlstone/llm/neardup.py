@@ -185,7 +185,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
     hubs = placed.where((F.col("size") > SMALL) & (F.col("rep") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = staged(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = staged(docs.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     simple = staged(_verify(small, texts, idf).where(F.col("similarity") >= threshold).select("a", "b"), "pairs")
     starred = staged(_verify(hubs, texts, idf, outside=True), "stars")
     linked = simple.union(starred.where(F.col("similarity") >= threshold).select("a", "b"))
