@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,26 @@ _NONE = np.int64(2**62)
 CACHE = 600_000
 
 
+#: White space that does not stand alone: there a text cannot be cut at each blank.
+GAPS = r"\s\s"
+
+
+def parts_at_gaps(text: str) -> list[str]:
+    """The text cut before each blank or new line, for texts in which white space stands alone.
+
+    There the pattern always splits: a blank goes with what follows, a new line is a piece of its own.
+    """
+    first, *lines = text.split("\n")
+    head, *words = first.split(" ")
+    out = [head] if head else []
+    out += [" " + w for w in words]
+    for line in lines:
+        head, *words = line.split(" ")
+        out.append("\n" + head)
+        out += [" " + w for w in words]
+    return out
+
+
 def byte_letters() -> list[str]:
     """The printable letter of each byte in vocabularies of this kind: printable bytes as they are, others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,8 +78,8 @@ class SegmentTreeBpe:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
         self.pattern = regex.compile(self.PATTERN)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.gap = re.compile(r"\s\s")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.gap = re.compile("|".join([GAPS, *map(re.escape, self.special)]))
+        self.known: dict[str, bytes] = {}
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
         """rank * width + place of each pair, or _NONE."""
@@ -69,8 +88,8 @@ class SegmentTreeBpe:
         found = (self.keys[at] == wanted) & (left >= 0) & (right >= 0)
         return np.where(found, self.ranks[at] * width + place, _NONE)
 
-    def _trees(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """Ids of pieces of 2 to ``width`` bytes; width is a power of two."""
+    def _trees(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids (unsigned 32-bit) of pieces of 2 to ``width`` bytes; width is a power of two."""
         rows = len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, rows)
         ids = np.full((rows, width), -1, np.int64)
@@ -106,17 +125,17 @@ class SegmentTreeBpe:
                     tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
             active = active[tree[active, 1] < _NONE]
         kept = ids >= 0
-        flat_ids, cuts = ids[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
-        return [tuple(flat_ids[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        flat_ids, cuts = ids[kept].astype("<u4").tobytes(), (np.cumsum(kept.sum(1)) * 4).tolist()
+        return [flat_ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of each distinct piece, by trees of one width together (about 4 M leaves at once)."""
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, bytes] = {}
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
             if len(raw) < 2:
-                out[piece] = (int(self.letter_ids[raw[0]]),) if raw else ()
+                out[piece] = self.letter_ids[list(raw)].astype("<u4").tobytes()
             else:
                 groups.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
         for width, members in groups.items():
@@ -126,41 +145,30 @@ class SegmentTreeBpe:
                 out.update(zip((p for p, _ in part), self._trees([raw for _, raw in part], width), strict=True))
         return out
 
-    def _spans(self, text: str) -> list[str]:
-        """The text in parts that are encoded alone: special tokens, and what lies between at single blanks.
-
-        A part starts at a blank between two other characters: there the pattern always splits, and the blank goes
-        with what follows. Texts with runs of white space are split by the pattern itself.
-        """
-        parts: list[str] = []
-        for k, run in enumerate(self.marks.split(text) if self.marks else [text]):
-            if k % 2:
-                parts.append(run)
-            elif not run:
-                continue
-            elif self.gap.search(run):
-                parts += self.pattern.findall(run)
-            else:
-                words = run.split(" ")
-                parts += [words[0], *(" " + w for w in words[1:])] if words[0] else [" " + w for w in words[1:]]
-        return parts
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        split = [self._spans(t) for t in texts]
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (unsigned 32-bit). Texts with special tokens or runs of white space are split by the pattern itself."""
+        split = [parts_at_gaps(t) if not self.gap.search(t) else self._parts(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        new = {p for parts in split for p in parts if p not in known}
-        pieces: dict[str, list[str]] = {p: self.pattern.findall(p) for p in new if p not in self.special}
+        met: set[str] = set()
+        for parts in split:
+            met.update(parts)
+        new = [p for p in met if p not in known]
+        pieces = {p: self.pattern.findall(p) for p in new if p not in self.special}
         ids = self.encode_pieces(list({x for found in pieces.values() for x in found}))
         for part, found in pieces.items():
-            known[part] = ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(ids[x] for x in found))
-        for part in new & self.special.keys():
-            known[part] = (self.special[part],)
-        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in split]
+            known[part] = ids[found[0]] if len(found) == 1 else b"".join([ids[x] for x in found])
+        for part in self.special.keys() & met:
+            known[part] = np.array([self.special[part]], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in split]
+
+    def _parts(self, text: str) -> list[str]:
+        runs = self.marks.split(text) if self.marks else [text]
+        return [x for k, run in enumerate(runs) for x in ([run] if k % 2 else self.pattern.findall(run))]
 
     def decode(self, ids: list[int]) -> str:
+        """Bytes that are no UTF-8 are replaced."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -198,7 +206,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
         for batch in batches:
             for part in _slices(batch, at):
                 rows = coder.encode_batch([t or "" for t in part.column(at).to_pylist()])
-                flat = np.fromiter(chain.from_iterable(rows), np.int32)
+                flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
                 cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, flat)], names=[*keep, ids])
 

@@ -15,7 +15,6 @@ import os
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from marlstone.llm.bpe import CACHE, _slices
+from marlstone.llm.bpe import GAPS, _slices, parts_at_gaps
 from marlstone.llm.common import shared_dir
 
+#: Parts of texts kept with their ids in each worker; beyond it the table starts anew, which costs time only.
+CACHE = 500_000
 READ_SCHEMA = "doc_id long, start long, ids binary"
 
 
@@ -49,7 +50,10 @@ class _Part(InputPartition):
 
 
 class TokenFiles(DataSource):
-    """Options: path; width (bytes of an id, 2 or 4). Rows must come in ascending order, as ``write_token_files`` deals them."""
+    """Options: path; to write also vocabulary, end_id and width (bytes of an id, 2 or 4).
+
+    Rows to write (part, doc_id, text) must come in ascending order, as ``write_token_files`` deals them.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -59,35 +63,36 @@ class TokenFiles(DataSource):
         return READ_SCHEMA
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], int(self.options.get("width", 4)))
+        return _Writer(self.options["path"], self.options["vocabulary"], int(self.options["end_id"]), int(self.options.get("width", 4)))
 
     def reader(self, schema):
         return _Reader(self.options["path"])
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
+    def __init__(self, path: str, vocabulary: str, end_id: int, width: int):
+        self.path, self.vocabulary, self.end_id, self.width = path, vocabulary, end_id, width
 
     def write(self, iterator):
-        """Columns: part (number of the range), doc_id, ids (binary, unsigned 32-bit)."""
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
         name, first, docs, ids = f"ids-{uuid.uuid4().hex}", None, 0, 0
-        kind = np.dtype(f"<u{self.width}")
+        kind, coder = np.dtype(f"<u{self.width}"), library_encoder(self.vocabulary)
         with fs.open_output_stream(f"{root}/{name}.bin") as flat, fs.open_output_stream(f"{root}/{name}.idx") as places, fs.open_output_stream(f"{root}/{name}.doc") as keys:
             places.write(np.zeros(1, "<u8").tobytes())
-            for batch in iterator:
-                if not batch.num_rows:
-                    continue
-                if first is None:
-                    first = (batch.column("part")[0].as_py(),)
-                rows = batch.column("ids").to_pylist()
-                flat.write(np.frombuffer(b"".join(rows), "<u4").astype(kind).tobytes())
-                places.write((ids + np.cumsum([len(r) // 4 for r in rows])).astype("<u8").tobytes())
-                keys.write(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8").tobytes())
-                docs += len(rows)
-                ids += sum(map(len, rows)) // 4
+            for whole in iterator:
+                for batch in _slices(whole, whole.schema.get_field_index("text")):
+                    if first is None:
+                        first = (batch.column("part")[0].as_py(),)
+                    rows = [np.append(ids, np.uint32(self.end_id)) for ids in coder.encode_batch(batch.column("text").to_pylist())]
+                    joined = np.concatenate(rows)
+                    if int(joined.max()) >= 1 << (8 * self.width):
+                        raise ValueError(f"an id does not fit in {self.width} bytes")
+                    flat.write(joined.astype(kind).tobytes())
+                    places.write((ids + np.cumsum([len(r) for r in rows])).astype("<u8").tobytes())
+                    keys.write(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8").tobytes())
+                    docs += len(rows)
+                    ids += len(joined)
         return _Written(name, first or (-1,), docs, ids)
 
     def commit(self, messages):
@@ -134,10 +139,11 @@ class _Reader(DataSourceReader):
 
 
 class LibraryEncoder:
-    """The tokenizers library's own split and merges, run once for each distinct part of the texts.
+    """The tokenizers library, run once for each distinct part of the texts.
 
-    Parts begin at a blank between two other characters, where the byte-level split always breaks; a text with runs of
-    white space or with special tokens goes to the library whole.
+    Parts begin at a blank between two other characters, where the byte-level split always breaks, so parts may be set
+    one behind the other in any order and encoded in one call; the tokens' places tell whose they are. A text with runs
+    of white space or with special tokens goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -148,36 +154,40 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model, self.split = self.tok.model, self.tok.pre_tokenizer.pre_tokenize_str
         marks = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *marks]))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece, _ in self.split(part):
-            if (ids := self.pieces.get(piece)) is None:
-                self.pieces[piece] = ids = tuple(t.id for t in self.model.tokenize(piece))
-            out += ids
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        if self.whole.search(text):
-            return self.tok.encode(text, add_special_tokens=False).ids
-        parts, known = self._words(text), self.known
-        if len(known) > CACHE:
-            known.clear()
-            self.pieces.clear()
-        for part in parts:
-            if part not in known:
-                known[part] = self._part(part)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
+        self.whole = re.compile("|".join([GAPS, *marks]))
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Parts with white space before them; white space alone would run into the next part."""
+        alone = [p for p in parts if len(p) == 1]
+        self.known.update((p, self._ids(p)) for p in alone)
+        parts = [p for p in parts if len(p) > 1]
+        for k in range(0, len(parts), 20_000):
+            some = parts[k : k + 20_000]
+            made = self.tok.encode("".join(some), add_special_tokens=False)
+            ends = np.array([b for _, b in made.offsets], np.int64)
+            cuts = (4 * np.searchsorted(ends, np.cumsum(list(map(len, some))), "right")).tolist()
+            ids = np.array(made.ids, "<u4").tobytes()
+            self.known.update((part, ids[a:b]) for part, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (unsigned 32-bit)."""
+        split = [None if self.whole.search(t) else parts_at_gaps(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known = {}
+        known = self.known
+        new: set[str] = set()
+        for parts in split:
+            new.update(parts or ())
+        new = [p for p in new if p not in known]
+        bare = [p for p in new if p[0] not in " \n"]  # a text's first word
+        self._learn([p for p in new if p[0] in " \n"])
+        known.update((p, self._ids(p)) for p in bare)
+        return [np.frombuffer(self._ids(t) if parts is None else b"".join(map(known.__getitem__, parts)), "<u4") for t, parts in zip(texts, split, strict=True)]
 
 
 @lru_cache(2)
@@ -198,18 +208,7 @@ def write_token_files(df: DataFrame, vocabulary: str, path: str, end_id: int, do
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("tie"))
     dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    limit = 1 << (8 * width)
-
-    def encode(batches):
-        coder = library_encoder(vocabulary)
-        for batch in batches:
-            for part in _slices(batch, 2):
-                rows = [np.array([*coder.encode(t), end_id], "<u4") for t in part.column(2).to_pylist()]
-                if any(int(r.max()) >= limit for r in rows):
-                    raise ValueError(f"an id does not fit in {width} bytes")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "doc_id", "ids"])
-
-    dealt.mapInArrow(encode, "part int, doc_id long, ids binary").write.format("token_files").mode("append").option("path", path).option("width", str(width)).save()
+    dealt.write.format("token_files").mode("append").options(path=path, vocabulary=vocabulary, end_id=end_id, width=width).save()
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
