@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,7 +181,7 @@ def codec(path: str) -> SegmentTreeBpe:
 def _slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000, rows: int = 512):
     """The batch in runs of at most so many rows and about so many characters."""
     first, seen = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column).cast(pa.large_string())), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_pylist()
     for k, size in enumerate(sizes):
         if k > first and (seen + size > chars or k - first >= rows):
             yield batch.slice(first, k - first)

@@ -27,7 +27,7 @@ from marlstone.llm.bpe import GAPS, _slices, parts_at_gaps
 from marlstone.llm.common import shared_dir
 
 #: Parts of texts kept with their ids in each worker; beyond it the table starts anew, which costs time only.
-CACHE = 500_000
+CACHE = 1_200_000
 READ_SCHEMA = "doc_id long, start long, ids binary"
 
 
