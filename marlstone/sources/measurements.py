@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlstone.functions.expr import finite, normalize_endpoint
 
@@ -46,13 +45,18 @@ def resolve_columns(columns: Sequence[str], aliases: dict[str, Sequence[str]] =
 def read_measurements(spark: SparkSession, path: str, colmap: dict[str, str], encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
     """(measurements, bad lines) of a tab-separated file without quotes; all columns are text, named as colmap says.
 
-    Columns are picked by the header. A line with more or fewer fields than the header is bad.
+    Columns are picked by the header, the first line. A tab or backslash after a backslash is part of a field. A line
+    with more or fewer fields than the header is bad; an empty field is null.
     """
-    header = spark.read.csv(path, sep="\t", quote="", escape="\\", header=True, inferSchema=False, encoding=encoding).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField("__bad", T.StringType())])
-    rows = spark.read.csv(path, sep="\t", quote="", escape="\\", header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", encoding=encoding, enforceSchema=True)
-    kept = [F.col(f"`{c}`").alias(n) for c, n in colmap.items() if c in header]
-    return rows.where("__bad is null").select(*kept), rows.where("__bad is not null").select(F.col("__bad").alias("line"))
+    lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    head = lines.first()
+    if head is None:
+        raise ValueError(f"{path} has no header")
+    header = [h.strip() for h in head["line"].split("\t")]
+    rows = lines.where((F.col("line") != head["line"]) & (F.col("line") != "")).withColumn("f", F.split("line", r"(?<!\\)\t", -1))
+    field = lambda k: F.nullif(F.regexp_replace(F.col("f")[k], r"\\(.)", "$1"), F.lit(""))
+    whole = F.size("f") == len(header)
+    return rows.where(whole).select(*(field(header.index(c)).alias(n) for c, n in colmap.items() if c in header)), rows.where(~whole).select("line")
 
 
 def read_predictions(spark: SparkSession, paths: Sequence[str], aliases: dict[str, Sequence[str]] = ALIASES, require_pred: bool = True) -> DataFrame:
