@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
+#: More labels than this are an error: their counts and prototypes travel to every task.
+MOST_LANGUAGES = 10_000
 
 
 @lru_cache(1)
@@ -84,11 +86,14 @@ def fit_prototypes(train: DataFrame, text: str = "text", lang: str = "lang", key
     """A unit vector for each language of ``train``, from about ``per_language`` of its texts (all, if it has fewer).
 
     The sample is drawn by a hash of ``key``, so it is the same however the table is partitioned. Rows with a null
-    language, null text or no letter teach nothing. What reaches the driver is at most 16 vectors for each language.
+    language, null text or no letter teach nothing; more than MOST_LANGUAGES labels are an error. What reaches the driver is at most 16 vectors for each language.
     """
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).alias("draw"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    chosen = rows.join(sizes, "lang").where(F.col("draw") * F.col("size") < F.lit(float(per_language)) * (1 << 40))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    table = train.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, size long")
+    chosen = rows.join(F.broadcast(table), "lang").where(F.col("draw") * F.col("size") < F.lit(float(per_language)) * (1 << 40))
 
     def bundle(batches):
         made, sums = space(dims, n, seed), {}
