@@ -29,6 +29,16 @@ def prefix_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], parti
     return out.withColumns({f"before_{v}": F.col(f"__r_{v}") + F.col(f"__b_{v}") for v in values}).drop("__part", *(f"__{k}_{v}" for k in "rb" for v in values))
 
 
+def rank_within(df: DataFrame, stratum: str, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the 1-based rank within each of a few large strata: the global rank less that of the stratum's first row.
+
+    No stratum is gathered in one task, as a window over it would do. ``order`` must be total.
+    """
+    ranked = prefix_sum(df.withColumn("__one", F.lit(1)), [stratum, *order], ["__one"])
+    starts = ranked.groupBy(stratum).agg(F.min("before___one").alias("__start"))
+    return ranked.join(F.broadcast(starts), stratum).withColumn(name, F.col("before___one") - F.col("__start") + 1).drop("__one", "before___one", "__start")
+
+
 def value_counts(df: DataFrame, c: str) -> DataFrame:
     """value, n, before (rows with a smaller value) of each distinct non-null value; one row a value."""
     counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))

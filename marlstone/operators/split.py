@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.order import prefix_sum, qcut
+from marlstone.operators.order import prefix_sum, qcut, rank_within
 
 
 def hash_key(key: str | Sequence[str], seed: int) -> Column:
@@ -39,9 +39,8 @@ def group_stratified_split(df: DataFrame, group: str, y: str, fraction: float, s
     held out; then trimmed or topped up by hash to round(groups fraction) groups."""
     groups = df.groupBy(group).agg(F.percentile(y, F.lit(0.5)).alias("__m"))
     binned = qcut(groups, "__m", bins, "__bin").withColumn("__h", hash_key(group, seed))
-    w = Window.partitionBy("__bin").orderBy("__h", group)
     sizes = binned.groupBy("__bin").agg(F.count("*").alias("__size"))
-    drawn = binned.withColumn("__k", F.row_number().over(w)).join(F.broadcast(sizes), "__bin").withColumn("__in", F.col("__k") <= F.greatest(F.lit(1), F.bround(F.col("__size") * fraction).cast("int")))
+    drawn = rank_within(binned, "__bin", ["__h", group], "__k").join(F.broadcast(sizes), "__bin").withColumn("__in", F.col("__k") <= F.greatest(F.lit(1), F.bround(F.col("__size") * fraction).cast("int")))
     want = drawn.agg(F.bround(F.count("*") * F.lit(fraction)).cast("int").alias("__want"))
     ordered = prefix_sum(drawn.select(group, "__in", "__h", F.lit(1).alias("one"), F.when(F.col("__in"), 0).otherwise(1).alias("last")), ["last", "__h", group], ["one"])
     chosen = ordered.crossJoin(F.broadcast(want)).select(group, F.when(F.col("before_one") < F.col("__want"), "valid").otherwise("train").alias("split"))
@@ -51,9 +50,9 @@ def group_stratified_split(df: DataFrame, group: str, y: str, fraction: float, s
 def group_kfold(df: DataFrame, group: str, y: str, k: int, seed: int, bins: int = 5) -> DataFrame:
     """Adds ``fold`` 0..k-1 by whole groups, dealt in turn by hash within each bin of the groups' medians."""
     groups = df.groupBy(group).agg(F.percentile(y, F.lit(0.5)).alias("__m"))
-    binned = qcut(groups, "__m", bins, "__bin")
-    w = Window.partitionBy("__bin").orderBy(hash_key(group, seed), group)
-    return df.join(binned.select(group, ((F.row_number().over(w) - 1) % k).alias("fold")), group)
+    binned = qcut(groups, "__m", bins, "__bin").withColumn("__h", hash_key(group, seed))
+    ranked = rank_within(binned, "__bin", ["__h", group], "__k")
+    return df.join(ranked.select(group, ((F.col("__k") - 1) % k).cast("int").alias("fold")), group)
 
 
 def stratified_fraction(df: DataFrame, key: str, endpoint: str, y: str, fraction: float, seed: int, bins: int = 10) -> DataFrame:
@@ -66,8 +65,8 @@ def stratified_fraction(df: DataFrame, key: str, endpoint: str, y: str, fraction
     total = strata.agg(F.floor(F.round(F.sum("n") * F.lit(fraction), 9)).alias("want"), F.sum(F.floor("q")).alias("have"))
     rest = Window.orderBy(F.desc(F.round(F.col("q") - F.floor("q"), 9)), "__s")  # one row a stratum
     quotas = strata.crossJoin(F.broadcast(total)).withColumn("quota", F.floor("q") + F.when(F.row_number().over(rest) <= F.col("want") - F.col("have"), 1).otherwise(0))
-    w = Window.partitionBy("__s").orderBy(hash_key(key, seed), key)
-    drawn = binned.withColumn("__k", F.row_number().over(w)).join(F.broadcast(quotas.select("__s", "quota")), "__s")
+    ranked = rank_within(binned.withColumn("__h", hash_key(key, seed)), "__s", ["__h", key], "__k")
+    drawn = ranked.join(F.broadcast(quotas.select("__s", "quota")), "__s")
     return drawn.where(F.col("__k") <= F.col("quota")).select(*df.columns)
 
 
