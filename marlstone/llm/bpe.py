@@ -191,16 +191,19 @@ def _slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000, rows: in
         yield batch.slice(first)
 
 
-def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, remember: bool = True) -> DataFrame:
     """Adds ``ids`` (array of int): the whole text's token ids; special tokens in the text become their ids.
 
+    decoded: also adds a column of that name with the text decoded from the ids. remember: a worker keeps its table of
+    known parts for the next partition; without, the table is emptied, for jobs whose workers serve other stages too.
+
     A null text counts as empty and gives an empty array. Repeated rows, ties and extra columns stay as they are; a
     column already named ``ids`` is replaced. An empty table gives an empty table.
     """
-    keep = [c for c in df.columns if c != ids]
+    keep = [c for c in df.columns if c not in (ids, decoded)]
     df = df.select(*(F.col(f"`{c}`") for c in keep))
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    at = keep.index(text)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
+    at, names = keep.index(text), schema.names
 
     def run(batches):
         coder = codec(path)
@@ -209,7 +212,10 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
                 rows = coder.encode_batch([t or "" for t in part.column(at).to_pylist()])
                 flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
                 cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, flat)], names=[*keep, ids])
+                back = [pa.array([coder.decode(r.tolist()) for r in rows], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, flat), *back], names=names)
+        if not remember:
+            coder.known = {}
 
     return df.mapInArrow(run, schema)
 
@@ -232,6 +238,6 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return df.mapInArrow(run, schema)
 
 
-def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``bpe_encode`` and then ``bpe_decode``."""
-    return bpe_decode(bpe_encode(df, path, text, ids), path, ids, decoded)
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", remember: bool = True) -> DataFrame:
+    """``bpe_encode`` and then the text decoded from the ids, in one pass."""
+    return bpe_encode(df, path, text, ids, decoded, remember)

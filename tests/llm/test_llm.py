@@ -43,6 +43,8 @@ def test_bpe_equals_the_library(spark, docs, odd, library):
         for r in got:
             ids = library.encode(r.text or "", add_special_tokens=False).ids
             assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    apart = bpe.bpe_decode(bpe.bpe_encode(odd, queries.BYTE_BPE, remember=False), queries.BYTE_BPE).select("ids", "decoded").collect()
+    assert apart == bpe.bpe_round_trip(odd, queries.BYTE_BPE).select("ids", "decoded").collect()
     none = bpe.bpe_round_trip(odd.limit(0), queries.BYTE_BPE)
     assert none.count() == 0 and set(odd.columns) <= set(none.columns)
 
