@@ -10,8 +10,8 @@ of what they share; they are counted over all documents in a fixed number of has
    first text (the hub), so that rows grow with the bucket's size and not with its square.
 4. Pairs are verified: both texts' weighted sets, Jaccard = sum of minima / sum of maxima.
 5. What a hub cannot decide: two members of its buckets may be alike though one is too far from the hub. For each
-   member the weight shared with the hub and the weight shared with other members outside the hub bound what it can
-   share with anyone; nearly all are ruled out by that. The rest first meet in groups by a shingle they share outside
+   member the weight shared with the hub and the weight shared with other members outside the hub (of a shingle that
+   the hub has too: what exceeds the hub's weight) bound what it can share with anyone; nearly all are ruled out by that. The rest first meet in groups by a shingle they share outside
    the hub (again with that group's first text only), then those pairs that the bound allows and that are not joined
    yet are verified. So no pair that shares a bucket is left out unless it is joined already or below the threshold.
 6. Connected components of the verified pairs are the classes.
@@ -116,7 +116,7 @@ def _signatures(df: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFr
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool = False) -> DataFrame:
-    """a, b, similarity, shared, weight_a, weight_b of each pair; outside: also b's shingles that a lacks, with weights."""
+    """a, b, similarity, shared, weight_a, weight_b of each pair; outside: also b's shingles that a lacks or has fewer times, with the weight that a lacks."""
     rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     names = ["a", "b", "similarity", "shared", "weight_a", "weight_b", "extra", "extra_weights"]
 
@@ -141,8 +141,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool =
                     both = base[spot] == ids if len(base) else np.zeros(len(ids), bool)
                     shared = float(np.minimum(w[both], v[spot[both]]).sum()) if len(base) else 0.0
                     sum_a, sum_b = float(v.sum()), float(w.sum())
-                    rest = ~both if outside else np.zeros(len(ids), bool)
-                    found.append((shared / max(sum_a + sum_b - shared, 1e-12), shared, sum_a, sum_b, ids[rest].view(np.int64), w[rest]))
+                    surplus = w.copy()
+                    if len(base):
+                        surplus[both] -= v[spot[both]]
+                    rest = surplus > 0.5 if outside else np.zeros(len(ids), bool)  # one time more weighs 1 at least; less is rounding
+                    found.append((shared / max(sum_a + sum_b - shared, 1e-12), shared, sum_a, sum_b, ids[rest].view(np.int64), surplus[rest]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[c] for f in found], kind) for c, kind in enumerate([*[pa.float64()] * 4, pa.list_(pa.int64()), pa.list_(pa.float64())]))], names=names)
 
     return rows.mapInArrow(run, "a long, b long, similarity double, shared double, weight_a double, weight_b double, extra array<long>, extra_weights array<double>")
