@@ -93,7 +93,7 @@ def fit_prototypes(train: DataFrame, text: str = "text", lang: str = "lang", key
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = train.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, size long")
-    chosen = rows.join(F.broadcast(table), "lang").where(F.col("draw") * F.col("size") < F.lit(float(per_language)) * (1 << 40))
+    chosen = rows.join(F.broadcast(table), "lang").where(F.col("draw").cast("double") < F.lit(float(per_language) * (1 << 40)) / F.col("size"))  # a product of bigints would overflow
 
     def bundle(batches):
         made, sums = space(dims, n, seed), {}
