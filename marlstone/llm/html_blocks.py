@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 #: Fixed lists of HTML names. Tags that do not end a block; tags whose content is no text; tags without content.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea select head title noframes audio video".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title noframes audio video".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 #: An open element of the first kind ends when one of the second kind begins.
 IMPLIED = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside header footer nav form blockquote pre main figure hr address".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
@@ -45,7 +45,8 @@ class Block:
 def blocks_of(html: str | None) -> list[Block]:
     """The page's leaf blocks in order; white space is one blank, character references are decoded.
 
-    Comments, declarations and the content of RAW elements are no text. Unclosed elements end with the page; an end
+    Comments, declarations and the content of RAW elements are no text. A head ends, with its end tag or without, at the
+    first thing that cannot stand in it (all its own elements are RAW or VOID), so its tags are skipped. Unclosed elements end with the page; an end
     tag without a start is skipped; an unclosed comment or RAW element reaches to the end.
     """
     out: list[Block] = []
@@ -79,6 +80,9 @@ def blocks_of(html: str | None) -> list[Block]:
         if not m[4]:
             break
         tag = name.lower()
+        if tag == "head":
+            flush()
+            continue
         if m[1]:
             if tag not in INLINE:
                 flush()
@@ -148,9 +152,9 @@ class Features:
         for k, b in enumerate(blocks):
             x[k, :PATH_DIMS] = self.path(b.path)
             words = b.text.split(" ")
-            for w in words[:: max(1, len(words) // 64)]:  # the vector of a long block: words spread over all of it
+            for w in words:
                 x[k, PATH_DIMS + zlib.crc32(w.lower().encode("utf-8", "replace")) % WORD_DIMS] += 1.0
-            x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= max(1, min(len(words), 64))
+            x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= len(words)
             n = len(b.text)
             x[k, -MEASURES:] = (np.log1p(n) / 6, min(1.0, b.linked / n), b.text[-1] in ".!?…。", min(len(words), 100) / 100, passed / total, k / len(blocks), n / total, len(b.path) / 10)
             passed += n
@@ -347,7 +351,7 @@ def fit_labeller(pages: DataFrame, html: str = "html", sample: int = 64) -> dict
     """Weights trained with the words of at most ``sample`` pages (those with the smallest hashes)."""
     rows = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.xxhash64(html).alias("h"))
     drawn = {r["h"] for r in rows.select("h").orderBy("h").limit(sample).collect()}  # a page's copies teach no other words
-    texts = [r["html"] for r in rows.where(F.col("h").isin(*drawn)).select("h", F.substring("html", 1, 20_000).alias("html")).dropDuplicates(["h"]).collect()]
+    texts = [r["html"] for r in rows.where(F.col("h").isin(*drawn)).select("h", "html").dropDuplicates(["h"]).collect()]
     words = sorted({w for t in texts for b in blocks_of(t) for w in b.text.split(" ")})
     rng = np.random.default_rng(1)
     return train([words[int(k)] for k in rng.integers(len(words), size=4000)] if words else ["word", "text", "page", "the"])
