@@ -97,15 +97,16 @@ class Index:
         return merged
 
 
-def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(matched words, first, last matched word in the text + 1) of the best alignment within diagonals low..high.
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int, need: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, last matched word in the text + 1) of alignments within diagonals low..high, best first.
 
-    Local alignment: +2 for equal words, -1 for a substitution or a gap; of equal scores the earliest.
+    Local alignment: +2 for equal words, -1 for a substitution or a gap; of equal scores the earliest. Of alignments
+    with one first word the best counts; those that match fewer than ``need`` words or overlap a better one are left out.
     """
     m, n = len(template), len(words)
     width = high - low + 1
     none = (0, 0, -1, -1)  # score, matches, first, last
-    row, best = [none] * (width + 2), none
+    row, best = [none] * (width + 2), {}
     for i in range(m):
         new = [none] * (width + 2)
         for c in range(1, width + 1):
@@ -121,10 +122,14 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
                     if other[0] - 1 > cell[0]:
                         cell = (other[0] - 1, *other[1:])
             new[c] = cell if cell[0] > 0 else none
-            if cell[0] > best[0]:
-                best = cell
+            if cell[0] > best.get(cell[2], none)[0]:
+                best[cell[2]] = cell
         row = new
-    return best[1], best[2], best[3] + 1
+    out: list[tuple[int, int, int]] = []
+    for _, matched, first, last in sorted(best.values(), key=lambda x: -x[0]):
+        if matched >= need and all(last < a or first >= b for _, a, b in out):
+            out.append((matched, first, last + 1))
+    return out
 
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -171,12 +176,17 @@ def _matches(index: Index, words: np.ndarray, least: float) -> list[tuple[int, i
     """(template, matched, first word, last word + 1), by place, without overlaps."""
     found = []
     for (k, head), diagonals in index.candidates(words).items():
-        low = head - BAND
-        base = max(0, low)
-        part = words[base : diagonals[-1] + BAND + len(index.words[k])]
-        matched, a, b = align(index.words[k], part, low - base, diagonals[-1] + BAND - base)
-        if matched >= least * len(index.words[k]):
-            found.append((k, matched, a + base, b + base))
+        low, high, size = head - BAND, diagonals[-1] + BAND, len(index.words[k])
+        parts = [(max(0, low), min(len(words), high + size))]
+        while parts:  # what lies before, between and after matches is aligned again until nothing reaches the coverage
+            begin, end = parts.pop()
+            if end - begin < max(1, least * size):
+                continue
+            made = align(index.words[k], words[begin:end], max(low - begin, 1 - size), min(high, end - 1) - begin, least * size)
+            found += [(k, matched, a + begin, b + begin) for matched, a, b in made]
+            if made:
+                cuts = sorted((a + begin, b + begin) for _, a, b in made)
+                parts += zip([begin, *(b for _, b in cuts)], [*(a for a, _ in cuts), end], strict=True)
     taken: list[tuple[int, int, int, int]] = []
     spots: list[tuple[int, int]] = []
     from bisect import bisect_left
