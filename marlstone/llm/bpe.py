@@ -14,37 +14,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NONE = np.int64(2**62)
-#: Pieces kept with their ids in each worker; beyond it the table starts anew, which costs time only.
-CACHE = 600_000
-
-
-#: White space that does not stand alone: there a text cannot be cut at each blank.
-GAPS = r"\s\s"
-
-
-def parts_at_gaps(text: str) -> list[str]:
-    """The text cut before each blank or new line, for texts in which white space stands alone.
-
-    There the pattern always splits: a blank goes with what follows, a new line is a piece of its own.
-    """
-    first, *lines = text.split("\n")
-    head, *words = first.split(" ")
-    out = [head] if head else []
-    out += [" " + w for w in words]
-    for line in lines:
-        head, *words = line.split(" ")
-        out.append("\n" + head)
-        out += [" " + w for w in words]
-    return out
-
+from marlstone.llm.common import release
+from marlstone.llm.parts import Parts, slices
 
+#: Size of a worker's table of parts and their ids: 2**BITS slots, at most half of them in use.
+BITS = 21
+_NONE = np.int64(2**62)
 def byte_letters() -> list[str]:
     """The printable letter of each byte in vocabularies of this kind: printable bytes as they are, others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,8 +59,7 @@ class SegmentTreeBpe:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
         self.pattern = regex.compile(self.PATTERN)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.gap = re.compile("|".join([GAPS, *map(re.escape, self.special)]))
-        self.known: dict[str, bytes] = {}
+        self.parts = Parts(self._learn, self._whole, list(self.special), BITS)
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
         """rank * width + place of each pair, or _NONE."""
@@ -130,7 +109,7 @@ class SegmentTreeBpe:
         return [flat_ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each distinct piece, by trees of one width together (about 4 M leaves at once)."""
+        """Ids of each distinct piece, by trees of one width together (about 256 K leaves at once)."""
         out: dict[str, bytes] = {}
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
@@ -140,33 +119,27 @@ class SegmentTreeBpe:
             else:
                 groups.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
         for width, members in groups.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 18) // width)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 out.update(zip((p for p, _ in part), self._trees([raw for _, raw in part], width), strict=True))
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (unsigned 32-bit). Texts with special tokens or runs of white space are split by the pattern itself."""
-        split = [parts_at_gaps(t) if not self.gap.search(t) else self._parts(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        met: set[str] = set()
-        for parts in split:
-            met.update(parts)
-        new = [p for p in met if p not in known]
-        pieces = {p: self.pattern.findall(p) for p in new if p not in self.special}
-        ids = self.encode_pieces(list({x for found in pieces.values() for x in found}))
-        for part, found in pieces.items():
-            known[part] = ids[found[0]] if len(found) == 1 else b"".join([ids[x] for x in found])
-        for part in self.special.keys() & met:
-            known[part] = np.array([self.special[part]], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in split]
-
-    def _parts(self, text: str) -> list[str]:
+    def _learn(self, parts: list[str]) -> list[np.ndarray]:
+        pieces = [self.pattern.findall(p) for p in parts]
+        ids = self.encode_pieces(list({x for found in pieces for x in found}))
+        return [np.frombuffer(ids[found[0]] if len(found) == 1 else b"".join([ids[x] for x in found]), "<u4") for found in pieces]
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Texts with special tokens or white space beyond ASCII: split at the tokens, then by the pattern."""
         runs = self.marks.split(text) if self.marks else [text]
-        return [x for k, run in enumerate(runs) for x in ([run] if k % 2 else self.pattern.findall(run))]
+        pieces = [x for k, run in enumerate(runs) for x in ([run] if k % 2 else self.pattern.findall(run))]
+        ids = self.encode_pieces(list({x for x in pieces if x not in self.special}))
+        return np.frombuffer(b"".join([np.array([self.special[x]], "<u4").tobytes() if x in self.special else ids[x] for x in pieces]), "<u4")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, unsigned 32-bit; number of ids of each); nulls count as empty."""
+        return self.parts.encode_texts(texts)
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 are replaced."""
@@ -178,24 +151,10 @@ def codec(path: str) -> SegmentTreeBpe:
     return SegmentTreeBpe(path)
 
 
-def _slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000, rows: int = 512):
-    """The batch in runs of at most so many rows and about so many characters."""
-    first, seen = 0, 0
-    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_pylist()
-    for k, size in enumerate(sizes):
-        if k > first and (seen + size > chars or k - first >= rows):
-            yield batch.slice(first, k - first)
-            first, seen = k, 0
-        seen += size
-    if first < batch.num_rows:
-        yield batch.slice(first)
-
-
-def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, remember: bool = True) -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds ``ids`` (array of int): the whole text's token ids; special tokens in the text become their ids.
 
-    decoded: also adds a column of that name with the text decoded from the ids. remember: a worker keeps its table of
-    known parts for the next partition; without, the table is emptied, for jobs whose workers serve other stages too.
+    decoded: also adds a column of that name with the text decoded from the ids.
 
     A null text counts as empty and gives an empty array. Repeated rows, ties and extra columns stay as they are; a
     column already named ``ids`` is replaced. An empty table gives an empty table.
@@ -208,14 +167,12 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     def run(batches):
         coder = codec(path)
         for batch in batches:
-            for part in _slices(batch, at):
-                rows = coder.encode_batch([t or "" for t in part.column(at).to_pylist()])
-                flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-                cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                back = [pa.array([coder.decode(r.tolist()) for r in rows], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, flat), *back], names=names)
-        if not remember:
-            coder.known = {}
+            for part in slices(batch, at):
+                flat, counts = coder.encode(part.column(at))
+                cuts = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                back = [pa.array([coder.decode(flat[a:b].tolist()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, flat.astype(np.int32)), *back], names=names)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -238,6 +195,6 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return df.mapInArrow(run, schema)
 
 
-def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", remember: bool = True) -> DataFrame:
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``bpe_encode`` and then the text decoded from the ids, in one pass."""
-    return bpe_encode(df, path, text, ids, decoded, remember)
+    return bpe_encode(df, path, text, ids, decoded)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -100,12 +102,24 @@ def _words(block: np.ndarray, bounds: np.ndarray, separator: np.ndarray):
     after = np.concatenate((inside[1:], [False])) & ~edge[1:]
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(size + 1)
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTES[block] * up[:size], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
     counts = np.diff(np.searchsorted(starts, bounds))
-    return hashes, counts, starts, ends
+    return hash_runs(block, starts, ends), counts, starts, ends
+
+
+def hash_runs(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each run, wherever in the block it stands."""
+    up, down = _powers(len(block) + 1)
+    sums = np.zeros(len(block) + 1, np.uint64)
+    np.cumsum(_BYTES[block] * up[: len(block)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def release() -> None:
+    """Hands freed memory back to the system: a Python worker is kept for later stages, with what it holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Odd multipliers that tell the places in a shingle apart.
@@ -153,6 +167,7 @@ def bucket_df(df: DataFrame, text: str, bits: int, separator: str = "words") ->
                 {"slice": [k], "at": [at.astype(np.int32)], "n": [part[at]], "rows": [rows if not k else 0]},
                 schema=pa.schema([("slice", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("rows", pa.int64())]),
             )
+        release()
 
     def add(key, table):
         total = np.zeros(width, np.int64)

@@ -16,9 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.common import release
+from marlstone.llm.parts import slices
+
 UNKNOWN = "und"
-#: More labels than this are an error: their counts and prototypes travel to every task.
-MOST_LANGUAGES = 10_000
+#: Characters of a text looked at at once.
+STRIDE = 1 << 20
+#: More labels than this are an error: their prototypes (8 KB each) travel to every task, 16 partial sums of each to the driver.
+MOST_LANGUAGES = 1_000
 
 
 @lru_cache(1)
@@ -27,16 +32,18 @@ def _is_letter() -> np.ndarray:
 
 
 class Space:
-    """n-gram vectors of one seed, made when first met; the table starts anew beyond ``limit`` rows."""
+    """n-gram vectors of one seed, made when first met; the table starts anew when its ``limit`` rows are full."""
 
     def __init__(self, dims: int, n: int, seed: int, limit: int = 1 << 15):
         self.dims, self.n, self.seed, self.limit = dims, n, seed, limit
         self.letters: dict[int, np.ndarray] = {}
-        self.rows: dict[tuple, int] = {}
-        self.table = np.zeros((1024, dims), np.int8)
+        self.rows: dict[int, int] = {}
+        self.table = np.zeros((limit, dims), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if (v := self.letters.get(code)) is None:
+            if len(self.letters) >= 4096:
+                self.letters = {}
             bits = np.random.default_rng([self.seed, code]).integers(0, 2, self.dims, dtype=np.int8)
             self.letters[code] = v = bits * np.int8(2) - np.int8(1)
         return v
@@ -44,8 +51,6 @@ class Space:
     def row(self, gram: int) -> int:
         if (k := self.rows.get(gram)) is None:
             k = self.rows[gram] = len(self.rows)
-            if k == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             codes = [(gram >> (21 * j)) & 0x1FFFFF for j in range(self.n)]
             bound = np.ones(self.dims, np.int8)
             for place, code in enumerate(codes):
@@ -54,27 +59,38 @@ class Space:
         return k
 
     def vector(self, text: str | None) -> np.ndarray | None:
-        """The text's vector; None if it has no letter. Case, digits and marks do not count; words are set apart by one blank."""
-        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
-        codes = np.where(_is_letter()[codes], codes, 32).astype(np.int64)
-        codes = np.concatenate(([32], codes, [32]))
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-        codes = codes[keep]
-        if len(codes) < 3:
-            return None
+        """The text's vector; None if it has no letter. Case, digits and marks do not count; words are set apart by one blank.
+
+        Long texts are read STRIDE characters at a time; the last letters of one stride begin the next.
+        """
+        text, total, carried, met = text or "", np.zeros(self.dims, np.float32), np.full(1, 32, np.int64), False
+        for k in range(0, len(text), STRIDE):
+            codes = np.frombuffer(text[k : k + STRIDE].lower().encode("utf-32-le", "replace"), "<u4")
+            codes = np.where(_is_letter()[codes], codes, 32).astype(np.int64)
+            met = met or bool((codes != 32).any())
+            ending = [np.full(1, 32, np.int64)] if k + STRIDE >= len(text) else []
+            codes = np.concatenate((carried, codes, *ending))
+            keep = np.ones(len(codes), bool)
+            keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
+            codes = codes[keep]
+            if ending and met and k == 0 and len(codes) < self.n:
+                codes = np.concatenate((codes, np.full(self.n - len(codes), 32)))
+            self._add(codes, total)
+            carried = codes[max(0, len(codes) - self.n + 1) :]
+        return total if met else None
+
+    def _add(self, codes: np.ndarray, total: np.ndarray) -> None:
         width = len(codes) - self.n + 1
         if width < 1:
-            codes, width = np.concatenate((codes, np.full(1 - width, 32))), 1
+            return
         grams = sum(codes[j : j + width] << (21 * j) for j in range(self.n))
         grams, counts = np.unique(grams, return_counts=True)
-        if len(self.rows) > self.limit:
-            self.rows, self.table = {}, np.zeros((1024, self.dims), np.int8)
-        at = np.fromiter(map(self.row, grams.tolist()), np.int64, len(grams))
-        total = np.zeros(self.dims, np.float32)
-        for k in range(0, len(at), 2048):  # bounds the copy for very long texts
-            total += counts[k : k + 2048].astype(np.float32) @ self.table[at[k : k + 2048]].astype(np.float32)
-        return total
+        for k in range(0, len(grams), 2048):
+            part = grams[k : k + 2048].tolist()
+            if len(self.rows) + len(part) > self.limit:
+                self.rows = {}
+            at = np.fromiter(map(self.row, part), np.int64, len(part))
+            total += counts[k : k + 2048].astype(np.float32) @ self.table[at].astype(np.float32)
 
 
 @lru_cache(2)
@@ -102,6 +118,7 @@ def fit_prototypes(train: DataFrame, text: str = "text", lang: str = "lang", key
                 if (v := made.vector(value)) is not None:
                     sums[name] = sums.get(name, 0) + v / np.linalg.norm(v)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array(list(sums.values()), pa.list_(pa.float32()))})
+        release()
 
     parts = chosen.select("lang", "text").repartition(16).mapInArrow(bundle, "lang string, v array<float>")
     out: dict[str, np.ndarray] = {}
@@ -124,18 +141,20 @@ def identify_language(df: DataFrame, prototypes: dict[str, np.ndarray], text: st
 
     def run(batches):
         made = space(dims, n, seed)
-        for batch in batches:
-            found, scores = [], []
-            for value in batch.column(at):
-                v = made.vector(value.as_py()) if names else None
-                if v is None:
-                    found.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                cosines = matrix @ v.astype(np.float64) / max(float(np.linalg.norm(v)), 1e-30)
-                best = int(np.argmax(cosines))
-                found.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        for whole in batches:
+            for batch in slices(whole, at):
+                found, scores = [], []
+                for value in batch.column(at):
+                    v = made.vector(value.as_py()) if names else None
+                    if v is None:
+                        found.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    cosines = matrix @ v.astype(np.float64) / max(float(np.linalg.norm(v)), 1e-30)
+                    best = int(np.argmax(cosines))
+                    found.append(names[best])
+                    scores.append(float(min(1.0, max(0.0, cosines[best]))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        release()
 
     return df.mapInArrow(run, schema)

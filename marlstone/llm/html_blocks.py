@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.common import release
+
 #: Fixed lists of HTML names. Tags that do not end a block; tags whose content is no text; tags without content.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select title noframes audio video".split())
@@ -380,5 +382,6 @@ def extract_main_text(pages: DataFrame, weights: dict, html: str = "html", cut:
                     [*batch.columns, pa.array([" ".join(x) for x in kept], pa.string()), pa.array([len(x) for x in found], pa.int32()), pa.array([len(x) for x in kept], pa.int32())],
                     names=[*keep, "text", "n_blocks", "n_kept"],
                 )
+        release()
 
     return pages.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import PLACES, mix, text_array, word_blocks
+from marlstone.llm.common import PLACES, mix, release, text_array, word_blocks
 
 K, WINDOW, BAND = 3, 3, 8
 #: Fixed texts: notices as their licences word them (public), a name and a text each.
@@ -175,6 +175,7 @@ def scan_licenses(df: DataFrame, text: str = "text", least: float = 0.8, templat
                     out.append(found)
                     begin += count
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*keep, "licenses"])
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_df, mix, shingles, staged, text_array, word_blocks
+from marlstone.llm.common import bucket_df, mix, release, shingles, staged, text_array, word_blocks
+from marlstone.llm.parts import slices
 
 BITS, SMALL = 16, 8
 WORDS, BANDS, ROWS, THRESHOLD = 5, 12, 4, 0.8
@@ -111,6 +112,7 @@ def _signatures(df: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFr
                 cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 part = batch.slice(first, len(starts) - 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(cuts, keys.ravel())], schema=kind)
+        release()
 
     return df.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text").mapInArrow(run, "doc_id long, digest string, bands array<long>")
 
@@ -128,8 +130,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool =
 
     def run(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for batch in slices(whole, 3, 1 << 20, 256):
                 keys = batch.column(0).to_pylist()
                 heads = [i for i, x in enumerate(keys) if not i or keys[i - 1] != x]
                 firsts = sets(pa.chunked_array([batch.column(2).take(pa.array(heads))]))
@@ -147,6 +148,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool =
                     rest = surplus > 0.5 if outside else np.zeros(len(ids), bool)  # one time more weighs 1 at least; less is rounding
                     found.append((shared / max(sum_a + sum_b - shared, 1e-12), shared, sum_a, sum_b, ids[rest].view(np.int64), surplus[rest]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[c] for f in found], kind) for c, kind in enumerate([*[pa.float64()] * 4, pa.list_(pa.int64()), pa.list_(pa.float64())]))], names=names)
+        release()
 
     return rows.mapInArrow(run, "a long, b long, similarity double, shared double, weight_a double, weight_b double, extra array<long>, extra_weights array<double>")
 

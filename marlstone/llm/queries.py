@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, chat, decontam, hdlang, html_blocks, licenses, neardup, quality, secrets, token_files
 
-#: Where the vocabulary files of public tokenizers are; never copied here.
-TOKENIZERS = os.environ.get("MARLSTONE_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: A vocabulary file of the public tokenizers that the machine offers; never copied here.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

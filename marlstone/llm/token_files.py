@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from marlstone.llm.bpe import GAPS, _slices, parts_at_gaps
-from marlstone.llm.common import shared_dir
+from marlstone.llm.common import release, shared_dir
+from marlstone.llm.parts import Parts, plain_split, slices
 
-#: Parts of texts kept with their ids in each worker; beyond it the table starts anew, which costs time only.
-CACHE = 1_200_000
+#: Bytes of text that one file's share should not exceed by far.
+PART_BYTES = 256 << 20
 READ_SCHEMA = "doc_id long, start long, ids binary"
 
 
@@ -41,12 +41,15 @@ class _Written(WriterCommitMessage):
     first: tuple
     docs: int
     ids: int
+    nulls: int
 
 
 @dataclass
 class _Part(InputPartition):
     name: str
     base: int
+    docs: int
+    nulls: int
 
 
 class TokenFiles(DataSource):
@@ -76,36 +79,65 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        name, first, docs, ids = f"ids-{uuid.uuid4().hex}", None, 0, 0
+        name, first, docs, ids, nulls = f"ids-{uuid.uuid4().hex}", None, 0, 0, 0
         kind, coder = np.dtype(f"<u{self.width}"), library_encoder(self.vocabulary)
         with fs.open_output_stream(f"{root}/{name}.bin") as flat, fs.open_output_stream(f"{root}/{name}.idx") as places, fs.open_output_stream(f"{root}/{name}.doc") as keys:
             places.write(np.zeros(1, "<u8").tobytes())
             for whole in iterator:
-                for batch in _slices(whole, whole.schema.get_field_index("text")):
+                for batch in slices(whole, whole.schema.get_field_index("text")):
                     if first is None:
                         first = (batch.column("part")[0].as_py(),)
-                    rows = [np.append(ids, np.uint32(self.end_id)) for ids in coder.encode_batch(batch.column("text").to_pylist())]
-                    joined = np.concatenate(rows)
-                    if int(joined.max()) >= 1 << (8 * self.width):
+                    made, counts = coder.encode(batch.column("text"))
+                    if max(int(made.max(initial=0)), self.end_id) >= 1 << (8 * self.width):
                         raise ValueError(f"an id does not fit in {self.width} bytes")
-                    flat.write(joined.astype(kind).tobytes())
-                    places.write((ids + np.cumsum([len(r) for r in rows])).astype("<u8").tobytes())
-                    keys.write(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy().astype("<i8").tobytes())
-                    docs += len(rows)
+                    ends = np.cumsum(counts + 1)
+                    joined = np.full(len(made) + len(counts), self.end_id, kind)
+                    inside = np.ones(len(joined), bool)
+                    inside[ends - 1] = False
+                    joined[inside] = made
+                    flat.write(joined.data)
+                    places.write((ids + ends).astype("<u8").data)
+                    keys.write(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8").data)
+                    nulls += batch.column("doc_id").null_count
+                    docs += len(counts)
                     ids += len(joined)
-        return _Written(name, first or (-1,), docs, ids)
+        release()
+        return _Written(name, first or (-1,), docs, ids, nulls)
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m is not None and m.docs), key=lambda m: m.first)
         bases = np.concatenate(([0], np.cumsum([m.ids for m in parts], dtype=np.int64))).tolist()
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        listed = {"width": self.width, "ids": bases[-1], "parts": [{"name": m.name, "base": b, "docs": m.docs, "ids": m.ids} for m, b in zip(parts, bases, strict=False)]}
+        listed = {"width": self.width, "ids": bases[-1], "parts": [{"name": m.name, "base": b, "docs": m.docs, "ids": m.ids, "nulls": m.nulls} for m, b in zip(parts, bases, strict=False)]}
         with fs.open_output_stream(f"{root}/parts.json") as out:
             out.write(json.dumps(listed).encode())
 
     def abort(self, messages):
-        pass
+        """Removes what tasks that had ended have written; files of broken attempts stay, in no list."""
+        fs, root = _fs(self.path)
+        for m in messages:
+            if m is not None:
+                for kind in ("bin", "idx", "doc"):
+                    fs.delete_file(f"{root}/{m.name}.{kind}")
+
+
+class _Flat:
+    """A flat file of numbers: memory-mapped where it is local, else read in the ranges asked for."""
+
+    def __init__(self, path: str, name: str, kind: str):
+        fs, root = _fs(path)
+        self.kind, self.file, self.map = np.dtype(kind), None, None
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.map = np.memmap(f"{root}/{name}", kind, "r") if os.path.getsize(f"{root}/{name}") else np.zeros(0, kind)
+        else:
+            self.file = fs.open_input_file(f"{root}/{name}")
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.file is None:
+            return self.map[at]
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * size, at.start * size), self.kind)
 
 
 class _Reader(DataSourceReader):
@@ -114,80 +146,61 @@ class _Reader(DataSourceReader):
         fs, root = _fs(path)
         with fs.open_input_stream(f"{root}/parts.json") as file:
             listed = json.loads(file.read())
-        self.width, self.parts = listed["width"], [_Part(x["name"], x["base"]) for x in listed["parts"]]
+        self.width, self.parts = listed["width"], [_Part(x["name"], x["base"], x["docs"], x["nulls"]) for x in listed["parts"]]
 
     def partitions(self):
-        return [_Part(p.name, p.base) for p in self.parts] or [_Part("", 0)]
-
-    def _map(self, name: str, kind: str) -> np.ndarray:
-        fs, root = _fs(self.path)
-        if isinstance(fs, pafs.LocalFileSystem):
-            return np.memmap(f"{root}/{name}", kind, "r") if os.path.getsize(f"{root}/{name}") else np.zeros(0, kind)
-        with fs.open_input_file(f"{root}/{name}") as file:
-            return np.frombuffer(file.read(), kind)
+        return self.parts or [_Part("", 0, 0, 0)]
 
     def read(self, partition):
         if not partition.name:
             return
-        ids, places, keys = self._map(f"{partition.name}.bin", f"<u{self.width}"), self._map(f"{partition.name}.idx", "<u8"), self._map(f"{partition.name}.doc", "<i8")
+        ids, places, keys = (_Flat(self.path, f"{partition.name}.{end}", kind) for end, kind in (("bin", f"<u{self.width}"), ("idx", "<u8"), ("doc", "<i8")))
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
-        for k in range(0, len(keys), 512):
-            cut = places[k : k + 513].astype(np.int64)
-            rows = [ids[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            docs = [None if x == np.iinfo(np.int64).min else x for x in keys[k : k + 512].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cut[:-1] + partition.base), pa.array(rows, pa.binary())], schema=schema)
+        for k in range(0, partition.docs, 512):
+            last = min(k + 512, partition.docs)
+            cut = places[k : last + 1].astype(np.int64)
+            rows = [ids[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            docs = pa.array(np.array(keys[k:last]), pa.int64(), mask=np.arange(k, last) < partition.nulls)
+            yield pa.RecordBatch.from_arrays([docs, pa.array(cut[:-1] + partition.base), pa.array(rows, pa.binary())], schema=schema)
 
 
 class LibraryEncoder:
-    """The tokenizers library, run once for each distinct part of the texts.
-
-    Parts begin at a blank between two other characters, where the byte-level split always breaks, so parts may be set
-    one behind the other in any order and encoded in one call; the tokens' places tell whose they are. A text with runs
-    of white space or with special tokens goes to the library whole.
-    """
+    """The tokenizers library, run once for each distinct part of the texts (see ``parts``)."""
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            plain = plain_split(json.load(file))
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        marks = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([GAPS, *marks]))
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, parts: list[str]) -> None:
-        """Parts with white space before them; white space alone would run into the next part."""
-        alone = [p for p in parts if len(p) == 1]
-        self.known.update((p, self._ids(p)) for p in alone)
-        parts = [p for p in parts if len(p) > 1]
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            made = self.tok.encode("".join(some), add_special_tokens=False)
-            ends = np.array([b for _, b in made.offsets], np.int64)
-            cuts = (4 * np.searchsorted(ends, np.cumsum(list(map(len, some))), "right")).tolist()
-            ids = np.array(made.ids, "<u4").tobytes()
-            self.known.update((part, ids[a:b]) for part, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (unsigned 32-bit)."""
-        split = [None if self.whole.search(t) else parts_at_gaps(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts or ())
-        new = [p for p in new if p not in known]
-        bare = [p for p in new if p[0] not in " \n"]  # a text's first word
-        self._learn([p for p in new if p[0] in " \n"])
-        known.update((p, self._ids(p)) for p in bare)
-        return [np.frombuffer(self._ids(t) if parts is None else b"".join(map(known.__getitem__, parts)), "<u4") for t, parts in zip(texts, split, strict=True)]
+        mark = self._ids("\n").tolist()
+        self.mark = mark[0] if plain and len(mark) == 1 else None
+        self.parts = Parts(self._learn, self._ids, [t.content for t in self.tok.get_added_tokens_decoder().values()])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, parts: list[str]) -> list[np.ndarray]:
+        """Many parts in one call, a new line before each, which is a token of its own there; white space alone by itself."""
+        out: list = [None if not p[-1].isspace() else self._ids(p) for p in parts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k in range(0, len(rest), 20_000):
+            some = rest[k : k + 20_000]
+            (made,) = self.tok.encode_batch_fast(["\n" + "\n".join([parts[j] for j in some])], add_special_tokens=False)
+            ids = np.array(made.ids, np.uint32)
+            heads = np.flatnonzero(ids == self.mark)
+            for j, row in zip(some, np.split(ids, heads)[1:], strict=True):
+                out[j] = row[1:]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, number of ids of each)."""
+        if self.mark is not None:
+            return self.parts.encode_texts(texts)
+        rows = [self._ids(t or "") for t in texts.to_pylist()]
+        return (np.concatenate(rows) if rows else np.zeros(0, np.uint32)), np.array([len(r) for r in rows], np.int64)
 
 
 @lru_cache(2)
@@ -199,14 +212,22 @@ def write_token_files(df: DataFrame, vocabulary: str, path: str, end_id: int, do
     """Encodes whole texts and writes the data set ``path`` in ascending order of ``doc_id``.
 
     Null texts count as empty and hold ``end_id`` alone; rows without a doc_id come first; equal ids are ordered by
-    their text. ``width`` is checked against every id. One shuffle by ranges deals the rows out, ids with the same
-    doc_id included (the text's hash is part of the range key), so no key fills one task.
+    their text. ``width`` is checked against every id. A path that holds a data set already is an error. An empty table
+    gives a data set without files. Repeated rows are documents of their own; extra columns are left out. One shuffle by
+    ranges deals the rows out, ids with the same doc_id included (the text's hash is part of the range key), so no key
+    fills one task; there are as many parts as the session's shuffles have, more where a part would have to hold much
+    more than PART_BYTES of text.
     """
     spark = df.sparkSession
+    fs, root = _fs(path)
+    if fs.get_file_info(f"{root}/parts.json").type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{path} holds a data set")
     spark.dataSource.register(TokenFiles)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("tie"))
-    dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    if not partitions:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    dealt = rows.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     dealt.write.format("token_files").mode("append").options(path=path, vocabulary=vocabulary, end_id=end_id, width=width).save()
 
