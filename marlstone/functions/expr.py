@@ -197,6 +197,6 @@ def quantile_bin_label(y, q: Column) -> Column:
     return F.when(_c(y) < q["q05"], "<q05").when(_c(y) < q["q25"], "q05-q25").when(_c(y) < q["q50"], "q25-q50").when(_c(y) < q["q75"], "q50-q75").when(_c(y) <= q["q95"], "q75-q95").otherwise(">q95")
 
 
-def weight_asymmetry(weights: dict[str, float] = QUALIFIER_WEIGHTS, tolerance: float = 0.1) -> list[tuple[str, str, float]]:
+def weight_asymmetry(weights: dict[str, float] = QUALIFIER_WEIGHTS, tolerance: float = 0.05) -> list[tuple[str, str, float]]:
     """Opposite qualifiers whose weights' product is further from 1 than ``tolerance``."""
     return [(a, b, weights[a] * weights[b]) for a, b in ((">", "<"), (">=", "<=")) if abs(weights[a] * weights[b] - 1) > tolerance]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import SIGN_ORDER, finite, p_scale
+from marlstone.operators.order import quantiles
 
 
 def weighted_percentile(df: DataFrame, keys: Sequence[str], v: str, w: str, q: float = 0.5) -> DataFrame:
@@ -28,7 +30,8 @@ def weighted_percentile(df: DataFrame, keys: Sequence[str], v: str, w: str, q: f
 
 def conflicting(df: DataFrame, keys: Sequence[str], endpoint: str, v: str, tolerance: float = 4.0) -> DataFrame:
     """Keys of which one endpoint's p-scale spread (positive values) exceeds ``tolerance``."""
-    spread = df.groupBy(*keys, endpoint).agg((F.max(p_scale(v)) - F.min(p_scale(v))).alias("__s"))
+    scale = F.when(finite(v), p_scale(v))
+    spread = df.groupBy(*keys, endpoint).agg((F.max(scale) - F.min(scale)).alias("__s"))
     return spread.groupBy(*keys).agg(F.bool_or(F.col("__s") > tolerance).alias("__bad")).where("__bad").select(*keys)
 
 
@@ -52,7 +55,11 @@ def replicate_weight(weight: str):
 
 
 def numeric_summary(df: DataFrame, keys: Sequence[str], c: str, lo: float, hi: float) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).alias("max"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias("n_outside"))
+    """keys, n, min, median (exact), max, n_outside; null keys are keys."""
+    counts = df.groupBy(*keys).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias("n_outside"))
+    middle = quantiles(df, c, [0.5], keys).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("q")[0].alias("median"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return counts.join(middle, same, "left").select(*keys, "n", "min", "median", "max", "n_outside")
 
 
 def compact_set(df: DataFrame, keys: Sequence[str], c: str, digits: int = 2, most: int = 5) -> DataFrame:
@@ -71,16 +78,36 @@ def penalty_summary(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
 
 
 def aggregate_replicates(long: DataFrame, keys: Sequence[str], tolerance: float = 4.0, q: float = 0.5) -> DataFrame:
-    """One row for each (keys, endpoint): n, value (weighted percentile), p_value, weight, sign_set, sign.
+    """One row for each (keys, endpoint): n, weight, value (weighted percentile), sign_set, sign, p_value.
 
-    long: keys, endpoint, value, weight, sign. Groups with a conflict in any endpoint are dropped. Keys must not be null
-    (give null keys a name first, as ``with_null_key`` does).
+    long: keys, endpoint, value, weight, sign. Keys with a conflict in any endpoint are dropped; null keys are keys.
+    Rows fall together by distinct value first (with a count for each sign), then go once by key: conflicts, running
+    shares and signs all come from that one partitioning.
     """
-    kept = drop_conflicts(long, keys, "endpoint", "value", tolerance)
     by = [*keys, "endpoint"]
-    counts = kept.groupBy(*by).agg(F.count("value").alias("n"), replicate_weight("weight").alias("weight"))
-    out = counts.join(weighted_percentile(kept, by, "value", "weight", q), by, "left").join(sign_summary(kept, by, "sign"), by, "left")
-    return out.withColumn("p_value", p_scale("value"))
+    usable = finite("value") & finite("weight")
+    cells = long.groupBy(*by, F.col("value").cast("double").alias("__v")).agg(
+        F.count("value").alias("__n"), F.max("weight").alias("__most"), F.count("weight").alias("__weights"), F.sum(F.when(usable, F.col("weight").cast("double"))).alias("__w"),
+        *(F.count_if(F.col("sign") == s).alias(f"__sign{k}") for k, s in enumerate(SIGN_ORDER)),
+    )
+    cells = cells.repartition(*keys)
+    part, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("__v")
+    scale = F.when(finite("__v"), p_scale("__v"))
+    spread = F.max(scale).over(part) - F.min(scale).over(part)
+    cells = cells.withColumn("__spread", F.coalesce(spread, F.lit(0.0)))
+    cells = cells.withColumn("__conflict", F.max("__spread").over(Window.partitionBy(*keys))).where(F.col("__conflict") <= tolerance)
+    weighed = F.col("__w").isNotNull()
+    upto = F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumns({"__total": F.sum("__w").over(part), "__upto": upto, "__pv": F.last(F.when(weighed, F.col("__v")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    share, before = F.col("__upto") / F.col("__total"), (F.col("__upto") - F.col("__w")) / F.col("__total")
+    first = F.col("__pv").isNull()
+    hit = weighed & (F.col("__total") > 0) & (share >= q - 1e-12) & (first | (before < q - 1e-12))
+    step = F.when(first, F.col("__v")).otherwise(F.col("__pv") + (F.lit(q) - before) / (share - before) * (F.col("__v") - F.col("__pv")))
+    counts = [F.sum(f"__sign{k}").alias(f"__sign{k}") for k in range(len(SIGN_ORDER))]
+    out = cells.groupBy(*by).agg(F.sum("__n").alias("n"), (F.max("__most") * (1 + F.log10(F.sum("__weights")))).alias("weight"), F.min(F.when(hit, step)).alias("value"), *counts)
+    signs = F.filter(F.array(*(F.struct(F.col(f"__sign{k}").alias("n"), F.lit(-k).alias("place"), F.lit(s).alias("s")) for k, s in enumerate(SIGN_ORDER))), lambda x: x["n"] > 0)
+    names = F.nullif(F.array_join(F.transform(signs, lambda x: x["s"]), "|"), F.lit(""))
+    return out.select(*by, "n", "weight", "value", names.alias("sign_set"), F.array_max(signs)["s"].alias("sign"), p_scale("value").alias("p_value"))
 
 
 def profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str] = ()) -> DataFrame:
@@ -88,11 +115,15 @@ def profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str] = ()) ->
     stats = []
     for c in numeric:
         x = F.when(finite(c), F.col(c).cast("double"))
-        stats += [(c, "total", F.count("*")), (c, "non_null", F.count(x)), (c, "null_ratio", 1 - F.count(x) / F.count("*")), (c, "min", F.min(x)), (c, "max", F.max(x)), (c, "mean", F.avg(x)), (c, "sd", F.stddev_samp(x)), (c, "q25", F.percentile(x, F.lit(0.25))), (c, "median", F.percentile(x, F.lit(0.5))), (c, "q75", F.percentile(x, F.lit(0.75)))]
+        stats += [(c, "total", F.count("*")), (c, "non_null", F.count(x)), (c, "null_ratio", 1 - F.count(x) / F.count("*")), (c, "min", F.min(x)), (c, "max", F.max(x)), (c, "mean", F.avg(x)), (c, "sd", F.stddev_samp(x))]
     for c in other:
         stats += [(c, "total", F.count("*")), (c, "distinct", F.count_distinct(F.col(c))), (c, "non_null", F.count(c))]
     row = df.agg(*(e.cast("double").alias(f"s{k}") for k, (_, _, e) in enumerate(stats)))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"s{k}").alias("value")) for k, (c, s, _) in enumerate(stats)))))
+    out = row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"s{k}").alias("value")) for k, (c, s, _) in enumerate(stats)))))
+    for c in numeric:
+        q = quantiles(df.select(F.when(finite(c), F.col(c).cast("double")).alias("x")), "x", (0.25, 0.5, 0.75))
+        out = out.union(q.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.get("q", F.lit(k)).alias("value")) for k, s in enumerate(("q25", "median", "q75")))))))
+    return out
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -126,8 +157,7 @@ def reference_stats(df: DataFrame, compound: str, target: str) -> DataFrame:
 
 def quantile_spec(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
     """by, q05..q95 and iqr (at least 1e-8), exact."""
-    qs = F.percentile(y, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = df.groupBy(*by).agg(qs.alias("q"))
+    out = quantiles(df, y, (0.05, 0.25, 0.5, 0.75, 0.95), by)
     names = ("q05", "q25", "q50", "q75", "q95")
     return out.select(*by, *(F.col("q")[k].alias(n) for k, n in enumerate(names)), F.greatest(F.col("q")[3] - F.col("q")[1], F.lit(1e-8)).alias("iqr"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import finite, label_candidate
-from marlstone.operators.metrics import coverage_metrics
-from marlstone.operators.order import keep_best, qcut, quantile_conformal, top_n
+from marlstone.operators.metrics import abs_error_shares, concordance, coverage_metrics, rm2
+from marlstone.operators.order import keep_best, qcut, quantiles, running, top_n
 
 
 def fit_affine(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,12 +33,14 @@ def fit_binned_conformal(df: DataFrame, y: str, p: str, alpha: float = 0.1, bins
     rows are an error.
     """
     rows = df.where(finite(y, p)).select(F.col(p).alias("p"), F.abs(F.col(y) - F.col(p)).alias("e"))
-    qs = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    whole = rows.agg(F.count("*").alias("total"), F.percentile("e", F.lit(1 - alpha)).alias("global_q"), F.array_distinct(F.percentile("p", qs)).alias("edges"))
+    edges = quantiles(rows, "p", [k / bins for k in range(bins + 1)], name="edges")
+    whole = edges.crossJoin(F.broadcast(quantiles(rows, "e", [1 - alpha]))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+    whole = whole.select("total", F.get("q", F.lit(0)).alias("global_q"), F.array_distinct("edges").alias("edges"))
     whole = whole.withColumn("edges", F.when(F.size("edges") >= 4, F.col("edges")).otherwise(F.array(F.get("edges", F.lit(0)), F.element_at("edges", -1))))
     whole = whole.withColumn("global_q", F.when(F.col("total") < 50, F.raise_error(F.lit("conformal fit needs 50 rows"))).otherwise(F.col("global_q")))
     placed = rows.crossJoin(F.broadcast(whole)).withColumn("bin", bin_of(F.col("p"), F.col("edges")))
-    fitted = placed.groupBy("bin").agg(F.count("*").alias("n"), F.percentile("e", F.lit(1 - alpha)).alias("own"), F.first("global_q").alias("global_q"), F.first("edges").alias("edges"))
+    counts = placed.groupBy("bin").agg(F.count("*").alias("n"), F.first("global_q").alias("global_q"), F.first("edges").alias("edges"))
+    fitted = counts.join(quantiles(placed, "e", [1 - alpha], ["bin"]).select("bin", F.col("q")[0].alias("own")), "bin")
     return fitted.select("bin", "n", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("global_q")).alias("q"), "global_q", "edges")
 
 
@@ -50,7 +52,12 @@ def apply_binned_conformal(df: DataFrame, fitted: DataFrame, p: str, name: str =
 
 
 def fit_sigma_conformal(df: DataFrame, y: str, p: str, sigma: str, alpha: float = 0.1, eps: float = 1e-8) -> DataFrame:
-    return df.where(finite(y, p, sigma)).agg(F.percentile(F.abs(F.col(y) - F.col(p)) / F.greatest(F.col(sigma), F.lit(eps)), F.lit(1 - alpha)).alias("q_scale"), F.count("*").alias("n"))
+    """q_scale (the quantile, linear, of error over sigma) and n."""
+    ratio = running(df.where(finite(y, p, sigma)).select((F.abs(F.col(y) - F.col(p)) / F.greatest(F.col(sigma), F.lit(eps))).alias("x")), "x")
+    spot = F.lit(1 - alpha) * (F.col("n") - 1)
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("k") > place), F.col("value")))
+    found = ratio.agg(at(F.floor(spot)).alias("a"), at(F.ceil(spot)).alias("b"), F.max(spot - F.floor(spot)).alias("f"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    return found.select((F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("q_scale"), "n")
 
 
 def fit_split_conformal(df: DataFrame, y: str, p: str, sigma: str, endpoint: str, levels: Sequence[float] = (0.8, 0.9, 0.95)) -> DataFrame:
@@ -58,15 +65,15 @@ def fit_split_conformal(df: DataFrame, y: str, p: str, sigma: str, endpoint: str
 
     An endpoint below two rows takes the global quantile.
     """
-    rows = df.where(finite(y, p, sigma) & (F.col(sigma) > 0)).withColumn("__e", F.abs(F.col(y) - F.col(p))).withColumn("__s", F.col("__e") / F.col(sigma))
-    out = None
-    for level in levels:
-        lit = lambda d, m, e=None, level=level: d.select(F.lit(level).alias("level"), F.lit(m).alias("method"), (F.lit("all") if e is None else F.col(e).cast("string")).alias("endpoint"), F.col("value").alias("q"), "n")
-        whole = quantile_conformal(rows, "__e", level)
-        own = quantile_conformal(rows, "__e", level, [endpoint]).crossJoin(F.broadcast(whole.select(F.col("value").alias("__g")))).withColumn("value", F.when(F.col("n") < 2, F.col("__g")).otherwise(F.col("value")))
-        part = lit(quantile_conformal(rows, "__s", level), "normalised").union(lit(whole, "global")).union(lit(own, "endpoint", endpoint))
-        out = part if out is None else out.union(part)
-    return out
+    rows = df.where(finite(y, p, sigma) & (F.col(sigma) > 0)).withColumn("__e", F.abs(F.col(y) - F.col(p)))
+    kinds = F.array(*(F.struct(F.lit(m).alias("method"), e.alias("endpoint"), v.alias("x")) for m, e, v in (("normalised", F.lit("all"), F.col("__e") / F.col(sigma)), ("global", F.lit("all"), F.col("__e")), ("endpoint", F.col(endpoint).cast("string"), F.col("__e")))))
+    run = running(rows.select(F.inline(kinds)), "x", ["method", "endpoint"])  # one running count for all methods and levels
+    run = run.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    place = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round((F.col("n") + 1) * F.col("level"), 9))))
+    fits = run.where(F.col("before") + F.col("k") >= place).groupBy("level", "method", "endpoint").agg(F.min("value").alias("q"), F.max("n").alias("n"))
+    whole = fits.where("method = 'global'").select("level", F.col("q").alias("__g"))
+    fits = fits.join(F.broadcast(whole), "level")
+    return fits.select("level", "method", "endpoint", F.when((F.col("method") == "endpoint") & (F.col("n") < 2), F.col("__g")).otherwise(F.col("q")).alias("q"), "n")
 
 
 def conformal_widths(df: DataFrame, fitted: DataFrame, sigma: str, endpoint: str) -> DataFrame:
@@ -89,8 +96,9 @@ def uncertainty_deciles(df: DataFrame, y: str, p: str, sigma: str, q: float, lev
     return coverage_metrics(rows, y, p, "half", F.lit(level), ["decile"])
 
 
-def selective_table(df: DataFrame, grid: DataFrame, y: str, p: str, bound: str) -> DataFrame:
-    """threshold, accepted, coverage, reject_rate, rmse, r2 of the rows whose bound is at most each threshold of ``grid``.
+def selective_table(df: DataFrame, grid: DataFrame, y: str, p: str, bound: str, q: float = 0.99, ranking: bool = False) -> DataFrame:
+    """threshold, accepted, total, coverage, reject_rate, rmse, r2 and ae_q<100 q> of the rows whose bound is at most each
+    threshold of ``grid``; ranking: also ci and rm2.
 
     The grid is a handful of thresholds (column ``threshold``); two or fewer rows have no metrics.
     """
@@ -98,17 +106,30 @@ def selective_table(df: DataFrame, grid: DataFrame, y: str, p: str, bound: str)
     total = rows.agg(F.count("*").alias("total"))
     held = rows.join(F.broadcast(grid.select("threshold")), F.col("b") <= F.col("threshold"))
     means = held.groupBy("threshold").agg(F.avg("y").alias("m"))
-    held = held.join(F.broadcast(means), "threshold")
     e = F.col("y") - F.col("p")
-    s = held.groupBy("threshold").agg(F.count("*").alias("accepted"), F.sum(e * e).alias("sse"), F.sum((F.col("y") - F.col("m")) * (F.col("y") - F.col("m"))).alias("sst"))
+    s = held.join(F.broadcast(means), "threshold").groupBy("threshold").agg(F.count("*").alias("accepted"), F.sum(e * e).alias("sse"), F.sum((F.col("y") - F.col("m")) * (F.col("y") - F.col("m"))).alias("sst"))
     out = grid.select("threshold").join(s, "threshold", "left").crossJoin(F.broadcast(total))
-    n = F.coalesce("accepted", F.lit(0))
-    return out.select("threshold", n.alias("accepted"), (n / F.col("total")).alias("coverage"), (1 - n / F.col("total")).alias("reject_rate"), F.when(n >= 2, F.sqrt(F.col("sse") / n)).alias("rmse"), F.when((n >= 2) & (F.col("sst") > 0), 1 - F.col("sse") / F.col("sst")).alias("r2"))
+    n, error = F.coalesce("accepted", F.lit(0)), f"ae_q{round(100 * q)}"
+    out = out.select("threshold", n.alias("accepted"), "total", (n / F.col("total")).alias("coverage"), (1 - n / F.col("total")).alias("reject_rate"), F.when(n >= 2, F.sqrt(F.col("sse") / n)).alias("rmse"), F.when((n >= 2) & (F.col("sst") > 0), 1 - F.col("sse") / F.col("sst")).alias("r2"))
+    named = held.withColumn("threshold", F.col("threshold").cast("string"))
+    parts = [abs_error_shares(named, "y", "p", by="threshold", q=q).select("subset", error)]
+    if ranking:
+        parts += [concordance(named, "y", "p", "threshold").select("subset", "ci"), rm2(named, "y", "p", "threshold").select("subset", "rm2")]
+    for part in parts:
+        few = [F.when(F.col("accepted") >= 2, F.col(c)).alias(c) for c in part.columns[1:]]
+        out = out.join(part, F.col("threshold").cast("string") == F.col("subset"), "left").select(*out.columns, *few)
+    return out
+
+
+def selective_curve(df: DataFrame, y: str, p: str, bound: str, points: int = 19) -> DataFrame:
+    """``selective_table`` at the bound's quantiles of evenly spaced coverages up to 0.95: the coverage and error curves."""
+    targets = [0.95 * (k + 1) / points for k in range(points)]
+    return selective_table(df, err_max_for_coverage(df, bound, targets).select(F.col("err_max").alias("threshold")).distinct(), y, p, bound)
 
 
 def err_max_for_coverage(df: DataFrame, bound: str, targets: Sequence[float]) -> DataFrame:
     """target, err_max: the bound's quantile (linear) at each target coverage."""
-    qs = df.where(finite(bound)).agg(F.percentile(bound, F.array(*map(F.lit, targets))).alias("q"))
+    qs = quantiles(df.where(finite(bound)), bound, targets)
     return qs.select(F.inline(F.arrays_zip(F.array(*map(F.lit, targets)).alias("target"), F.col("q").alias("err_max"))))
 
 
@@ -134,8 +155,9 @@ def select_candidates(df: DataFrame, keys: Sequence[str], score: str, bound: str
     Thresholds: score max(floor, q90) and max(floor, q95), bound q25 and q75, over all best rows.
     """
     best = keep_best(df, keys, [F.col(error).asc_nulls_last(), F.col(bound).asc_nulls_last(), *(F.col(k) for k in df.columns if k not in (error, bound))])
-    s, b = F.percentile(score, F.array(F.lit(0.9), F.lit(0.95))), F.percentile(bound, F.array(F.lit(0.25), F.lit(0.75)))
-    q = best.agg(F.struct(F.greatest(F.lit(floors[0]), s[0]).alias("high"), F.greatest(F.lit(floors[1]), s[1]).alias("very"), b[0].alias("narrow"), b[1].alias("wide")).alias("__q"))
+    s, b = F.col("s"), F.col("b")
+    both = quantiles(best, score, (0.9, 0.95), name="s").crossJoin(F.broadcast(quantiles(best, bound, (0.25, 0.75), name="b")))
+    q = both.select(F.struct(F.greatest(F.lit(floors[0]), s[0]).alias("high"), F.greatest(F.lit(floors[1]), s[1]).alias("very"), b[0].alias("narrow"), b[1].alias("wide")).alias("__q"))
     rows = best.crossJoin(F.broadcast(q)).withColumn("__l", label_candidate(score, bound, error, {k: F.col("__q")[k] for k in ("high", "very", "narrow", "wide")}))
     level = F.col("__l")
     high = level["score_level"].isin("very_high", "high")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import finite
-from marlstone.operators.agg import composition
-from marlstone.operators.order import prefix_sum
+from marlstone.functions.expr import finite, novelty_label, quantile_bin_label, similarity_label
+from marlstone.operators.agg import composition, quantile_spec
+from marlstone.operators.joins import seen_flag
+from marlstone.operators.metrics import with_subsets
+from marlstone.operators.order import group_sums, prefix_sum, quantiles
+from marlstone.operators.text import nearest_similarity
 
 
 def categorical_shift(df: DataFrame, dataset: str, a: str, b: str, factors: Sequence[str]) -> DataFrame:
@@ -33,19 +36,66 @@ def two_sample(df: DataFrame, dataset: str, a: str, b: str, c: str) -> DataFrame
     return run.agg(F.max(after).alias("ks"), F.sum(F.col("x") * (before - after)).alias("wasserstein"))
 
 
-def numeric_shift(df: DataFrame, dataset: str, a: str, b: str, variables: Sequence[str]) -> DataFrame:
-    """variable: n, mean, sd and median of each side, smd (pooled population variance), ks, wasserstein."""
+def ks_p_value(ks: Column, na: Column, nb: Column) -> Column:
+    """Two-sided p of the two-sample statistic by its limiting distribution (the series' first 100 terms)."""
+    size = F.sqrt(na * nb / (na + nb))
+    x = (size + 0.12 + 0.11 / size) * ks
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
+
+
+def numeric_shift(df: DataFrame, dataset: str, a: str, b: str, variables: Sequence[str], basis: str | None = None, by: str | None = None) -> DataFrame:
+    """variable: n, mean, sd (population) and median of each side, smd (pooled population variance), ks, ks_p, wasserstein.
+
+    basis: a column whose values count once in each data set (unique compounds or targets; the variable's smallest value
+    stands for them), else every row counts. by: also one block for each of its few values, named in ``subset``.
+    """
+    named = with_subsets(df.where(F.col(dataset).isin(a, b)), by)
     out = None
     for v in variables:
-        rows = df.where(F.col(dataset).isin(a, b) & finite(v))
-        side = lambda n, s, v=v: [F.count(F.when(F.col(dataset) == n, F.col(v))).alias(f"n_{s}"), F.avg(F.when(F.col(dataset) == n, F.col(v))).alias(f"mean_{s}"), F.stddev_samp(F.when(F.col(dataset) == n, F.col(v))).alias(f"sd_{s}"), F.percentile(F.when(F.col(dataset) == n, F.col(v)), F.lit(0.5)).alias(f"median_{s}"), F.var_pop(F.when(F.col(dataset) == n, F.col(v))).alias(f"v_{s}")]
-        s = rows.agg(*side(a, "a"), *side(b, "b"))
+        rows = named.where(finite(v)).select("subset", F.col(dataset).alias("side"), F.col(v).cast("double").alias("x"), *([basis] if basis and basis != v else []))
+        if basis:
+            rows = rows.groupBy("subset", "side", basis if basis != v else "x").agg(F.min("x").alias("x0")).select("subset", "side", F.col("x0").alias("x"))
+        of = lambda n: F.when(F.col("side") == n, F.col("x"))
+        side = lambda n, s: [F.count(of(n)).alias(f"n_{s}"), F.avg(of(n)).alias(f"mean_{s}"), F.stddev_pop(of(n)).alias(f"sd_{s}"), F.var_pop(of(n)).alias(f"v_{s}")]
+        s = rows.groupBy("subset").agg(*side(a, "a"), *side(b, "b"))
+        middle = quantiles(rows, "x", [0.5], ["subset", "side"]).groupBy("subset").agg(*(F.max(F.when(F.col("side") == n, F.col("q")[0])).alias(f"median_{t}") for n, t in ((a, "a"), (b, "b"))))
+        counts = rows.groupBy("subset", "x").agg(F.count_if(F.col("side") == a).alias("na"), F.count_if(F.col("side") == b).alias("nb"))
+        run = group_sums(counts, ["subset"], ["x"], ["na", "nb"])
+        gap = lambda p, q: F.try_divide(p, F.col("total_na")) - F.try_divide(q, F.col("total_nb"))
+        before, after = F.abs(gap(F.col("before_na"), F.col("before_nb"))), F.abs(gap(F.col("before_na") + F.col("na"), F.col("before_nb") + F.col("nb")))
+        far = run.groupBy("subset").agg(F.max(after).alias("ks"), F.sum(F.col("x") * (before - after)).alias("wasserstein"))
         smd = F.try_divide(F.col("mean_b") - F.col("mean_a"), F.sqrt((F.col("v_a") + F.col("v_b")) / 2))
-        part = s.select(F.lit(v).alias("variable"), *(f"{x}_{y}" for y in "ab" for x in ("n", "mean", "sd", "median")), smd.alias("smd")).crossJoin(F.broadcast(two_sample(df, dataset, a, b, v)))
+        part = s.join(middle, "subset", "left").join(far, "subset", "left")
+        part = part.select(F.lit(v).alias("variable"), *(["subset"] if by else []), *(f"{x}_{y}" for y in "ab" for x in ("n", "mean", "sd", "median")), smd.alias("smd"), "ks", ks_p_value(F.col("ks"), F.col("n_a"), F.col("n_b")).alias("ks_p"), "wasserstein")
         out = part if out is None else out.union(part)
     return out
 
 
+def enrich(df: DataFrame, ref: DataFrame, compound: str, target: str, endpoint: str, y: str, sequence: str, valid: str | None = None, acyclic: str | None = None, scaffold: str | None = None) -> DataFrame:
+    """Adds what ``ref`` (the training rows) says of each row: seen_compound, seen_target, seen_pair, scaffold_seen,
+    compound_novelty, similarity (of the target's sequence with the nearest in ``ref``, by 3-grams), target_novelty,
+    target_length, px_bin and px_distance (of y among the endpoint's training values; null without any).
+
+    valid, acyclic and scaffold name columns of df (scaffold of ref too); what is not given counts as valid, not acyclic,
+    without scaffold.
+    """
+    out = seen_flag(seen_flag(seen_flag(df, ref, [compound], "seen_compound"), ref, [target], "seen_target"), ref, [compound, target], "seen_pair")
+    if scaffold:
+        out = seen_flag(out, ref.where(F.col(scaffold) != ""), [scaffold], "scaffold_seen").withColumn("scaffold_seen", F.col("scaffold_seen") & (F.coalesce(F.col(scaffold), F.lit("")) != ""))
+    else:
+        out = out.withColumn("scaffold_seen", F.lit(False))
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c else F.lit(default)
+    texts = df.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("__s")).distinct().withColumn("__id", F.xxhash64("__s"))
+    known = ref.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("__s")).distinct().withColumn("__id", F.xxhash64("__s"))
+    near = texts.join(nearest_similarity(texts, known, "__id", "__s"), "__id").select(F.col("__s").alias(sequence), "similarity")
+    spec = quantile_spec(ref, y, [endpoint])
+    out = out.join(near, sequence, "left").join(F.broadcast(spec), endpoint, "left")  # one row an endpoint
+    out = out.withColumns({"compound_novelty": novelty_label("seen_compound", flag(valid, True), flag(acyclic, False), "scaffold_seen"), "target_novelty": similarity_label("seen_target", "similarity"), "target_length": F.length(sequence)})
+    out = out.withColumns({"px_bin": F.when(F.col("q50").isNotNull(), quantile_bin_label(y, F.struct("q05", "q25", "q50", "q75", "q95"))), "px_distance": F.abs(F.col(y) - F.col("q50")) / F.col("iqr")})
+    return out.drop("q05", "q25", "q50", "q75", "q95", "iqr")
+
+
 def standardize_mix(df: DataFrame, dataset: str, base: str, other: str, factors: Sequence[str], error2: str) -> DataFrame:
     """factor, mse_base, mse_other, mse_standardised, gap_removed, percent, weight_covered.
 

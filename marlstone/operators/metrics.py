@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import finite
-from marlstone.operators.order import average_rank, quantile_higher
+from marlstone.functions.expr import finite, gaussian_interval, prob_ge
+from marlstone.functions.shared import written
+from marlstone.operators.order import average_rank, group_sums, quantile_higher, quantiles, running
 
 
 def with_subsets(df: DataFrame, by: str | None, overall: bool = True) -> DataFrame:
@@ -40,10 +41,7 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: str | None = None) ->
 def spearman(df: DataFrame, y: str, p: str, by: str | None = None) -> DataFrame:
     """subset, spearman: correlation of average ranks, ranked within the subset."""
     rows = with_subsets(df.where(finite(y, p)).select(y, p, *([by] if by else [])), by)
-    if by is None:
-        rows = average_rank(average_rank(rows, y, "ry"), p, "rp")
-    else:
-        rows = average_rank(average_rank(rows, y, "ry", ["subset"]), p, "rp", ["subset"])
+    rows = average_rank(average_rank(rows, y, "ry", ["subset"]), p, "rp", ["subset"])
     return rows.groupBy("subset").agg(F.corr("ry", "rp").alias("spearman"))
 
 
@@ -67,73 +65,62 @@ def rm2(df: DataFrame, y: str, p: str, by: str | None = None, convention: str =
     return s.withColumns({"rm2_mean": (F.col("rm2") + F.col("rm2_inverse")) / 2, "rm2_delta": F.abs(F.col("rm2") - F.col("rm2_inverse"))})
 
 
-def _concordant(y: np.ndarray, p: np.ndarray, n: np.ndarray, other: np.ndarray | None = None) -> tuple[float, float]:
-    """(pairs with different y, concordant ones with prediction ties as a half) among weighted points, by merging."""
-    order = np.lexsort((p, y))
-    y, p, n = y[order], p[order], n[order].astype(np.float64)
-    ranks = np.unique(p, return_inverse=True)[1]
-    tree = np.zeros(len(ranks) + 2)
-
-    def add(i, v):
-        i += 1
-        while i < len(tree):
-            tree[i] += v
-            i += i & -i
-
-    def upto(i):  # weight with rank < i
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    pairs = good = seen = 0.0
-    k = 0
-    while k < len(y):
-        j = k
-        while j < len(y) and y[j] == y[k]:
-            below, tie = upto(int(ranks[j])), upto(int(ranks[j]) + 1)
-            pairs += n[j] * seen
-            good += n[j] * (below + (tie - below) / 2)
-            j += 1
-        for i in range(k, j):
-            add(int(ranks[i]), n[i])
-            seen += n[i]
-        k = j
+def _concordant(y: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(pairs with different y, concordant ones with prediction ties as a half) among weighted points.
+
+    Two labels' ranks differ first in one binary digit. So for each digit the points with the same higher digits form a
+    block, in which those with a 0 meet those with a 1: every pair once, and sorted arrays count what lies below.
+    """
+    y, p, n = np.unique(y, return_inverse=True)[1], np.unique(p, return_inverse=True)[1], n.astype(np.float64)
+    span, pairs, good = int(p.max(initial=0)) + 1, 0.0, 0.0
+    for digit in range(int(y.max(initial=0)).bit_length()):
+        block, upper = (y >> (digit + 1)) * span, (y >> digit) & 1 == 1
+        low = np.argsort((block + p)[~upper], kind="stable")
+        keys, weights = (block + p)[~upper][low], np.concatenate(([0.0], np.cumsum(n[~upper][low])))
+        asked, first = (block + p)[upper], block[upper]
+        start, below, tied, end = (weights[np.searchsorted(keys, k, s)] for k, s in ((first, "left"), (asked, "left"), (asked, "right"), (first + span - 1, "right")))
+        pairs += float(n[upper] @ (end - start))
+        good += float(n[upper] @ ((below + tied) / 2 - start))
     return pairs, good
 
 
-def concordance(df: DataFrame, y: str, p: str, cells: int = 64) -> DataFrame:
-    """n_pairs and ci: exact share of pairs with different labels that the predictions order alike (ties count a half).
+def concordance(df: DataFrame, y: str, p: str, by: str | None = None) -> DataFrame:
+    """n_pairs and ci (with ``by``: of each subset, overall included): exact share of pairs with different labels that the predictions order alike (ties count a half).
 
-    Rows fall together by distinct (y, p) and into a grid of label by prediction buckets (edges at exact quantiles; equal
-    values never part). Pairs of cells in different label and different prediction buckets are counted from the grid's
-    counts alone; pairs within one label bucket, and pairs within one prediction bucket but different label buckets, are
-    counted bucket by bucket. So a task holds one bucket of distinct points, never all rows.
+    Rows fall together by distinct (y, p) and into a grid of label by prediction buckets of about as many points each,
+    as many buckets as the square root of the points' number asks for. A value that would fill a bucket has one of its
+    own, so that no task grows with a tie. Pairs of points in different label and different prediction buckets are
+    counted from the grid's counts alone, those in one heavy prediction bucket (all ties) too; the rest bucket by bucket.
     """
-    points = df.where(finite(y, p)).groupBy(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")).agg(F.count("*").alias("n"))
-    qs = F.array(*(F.lit(k / cells) for k in range(1, cells)))
-    edges = points.agg(F.array_distinct(F.percentile("y", qs)).alias("ey"), F.array_distinct(F.percentile("p", qs)).alias("ep"))
-    placed = points.crossJoin(F.broadcast(edges)).select("y", "p", "n", F.size(F.filter("ey", lambda e: e < F.col("y"))).alias("by"), F.size(F.filter("ep", lambda e: e < F.col("p"))).alias("bp"))
-    # The grid (cells * cells rows, empty ones too) by running sums: what lies in lower label buckets, by prediction bucket.
-    spots = df.sparkSession.range(cells * cells).select(F.floor(F.col("id") / cells).cast("int").alias("by"), (F.col("id") % cells).cast("int").alias("bp"))
-    grid = spots.join(placed.groupBy("by", "bp").agg(F.sum("n").alias("n")), ["by", "bp"], "left").fillna(0, ["n"])
-    before = lambda part, order: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    points = with_subsets(df.where(finite(y, p)), by).groupBy("subset", F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")).agg(F.count("*").alias("n"))
+    points = written(points)
+    sizes = points.groupBy("subset").agg(F.count("*").alias("many"))
+    cells = max(4, math.isqrt(sizes.agg(F.max("many")).first()[0] or 0) // 16)
+
+    def buckets(c: str, name: str) -> DataFrame:
+        width = F.greatest(F.lit(1.0), F.col("n") / cells)
+        return running(points, c, ["subset"]).select("subset", F.col("value").alias(c), (2 * F.floor(F.col("before") / width) + (F.col("k") >= width).cast("int")).cast("int").alias(name))
+
+    placed = written(points.join(buckets("y", "by"), ["subset", "y"]).join(buckets("p", "bp"), ["subset", "p"]))
+    side = 2 * cells + 2
+    spots = df.sparkSession.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("by"), (F.col("id") % side).cast("int").alias("bp")).crossJoin(F.broadcast(sizes.select("subset")))
+    grid = spots.join(placed.groupBy("subset", "by", "bp").agg(F.sum("n").alias("n")), ["subset", "by", "bp"], "left").fillna(0, ["n"])
+    before = lambda part, order: Window.partitionBy("subset", part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("lower", F.coalesce(F.sum("n").over(before("bp", "by")), F.lit(0)))
-    grid = grid.withColumns({"less": F.coalesce(F.sum("lower").over(before("by", "bp")), F.lit(0)), "all": F.sum("lower").over(Window.partitionBy("by"))})
-    across = grid.agg(F.sum(F.col("n") * (F.col("all") - F.col("lower"))).cast("double").alias("pairs"), F.sum(F.col("n") * F.col("less")).cast("double").alias("good"))
+    grid = grid.withColumns({"less": F.coalesce(F.sum("lower").over(before("by", "bp")), F.lit(0)), "all": F.sum("lower").over(Window.partitionBy("subset", "by"))})
+    ties = F.when(F.col("bp") % 2 == 1, F.col("n") * F.col("lower")).otherwise(0)  # a heavy prediction's own bucket
+    across = grid.groupBy("subset").agg(F.sum(F.col("n") * (F.col("all") - F.col("lower")) + ties).cast("double").alias("pairs"), F.sum(F.col("n") * F.col("less") + ties / 2).cast("double").alias("good"))
 
     def in_label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_concordant(pdf.y.to_numpy(), pdf.p.to_numpy(), pdf.n.to_numpy())], columns=["pairs", "good"])
+        return pd.DataFrame([(pdf.subset.iloc[0], *_concordant(pdf.y.to_numpy(), pdf.p.to_numpy(), pdf.n.to_numpy()))], columns=["subset", "pairs", "good"])
 
-    def in_prediction(pdf: pd.DataFrame) -> pd.DataFrame:
-        all_pairs = np.array(_concordant(pdf.y.to_numpy(), pdf.p.to_numpy(), pdf.n.to_numpy()))
-        for _, part in pdf.groupby("by"):
-            all_pairs -= _concordant(part.y.to_numpy(), part.p.to_numpy(), part.n.to_numpy())
-        return pd.DataFrame([all_pairs], columns=["pairs", "good"])
+    def in_prediction(pdf: pd.DataFrame) -> pd.DataFrame:  # label buckets are in the labels' order
+        return pd.DataFrame([(pdf.subset.iloc[0], *_concordant(pdf.by.to_numpy(), pdf.p.to_numpy(), pdf.n.to_numpy()))], columns=["subset", "pairs", "good"])
 
-    parts = across.union(placed.groupBy("by").applyInPandas(in_label, "pairs double, good double")).union(placed.groupBy("bp").applyInPandas(in_prediction, "pairs double, good double"))
-    return parts.agg(F.sum("pairs").cast("long").alias("n_pairs"), F.try_divide(F.sum("good"), F.sum("pairs")).alias("ci"))
+    kind = "subset string, pairs double, good double"
+    parts = across.union(placed.where("by % 2 = 0").groupBy("subset", "by").applyInPandas(in_label, kind))
+    parts = parts.union(placed.where("bp % 2 = 0").groupBy("subset", "bp").applyInPandas(in_prediction, kind))
+    return parts.groupBy(*(["subset"] if by else [])).agg(F.coalesce(F.sum("pairs").cast("long"), F.lit(0)).alias("n_pairs"), F.try_divide(F.sum("good"), F.sum("pairs")).alias("ci"))
 
 
 def concordance_sampled(df: DataFrame, key: str, y: str, p: str, n: int, seed: int = 0) -> DataFrame:
@@ -153,19 +140,19 @@ def concordance_sampled(df: DataFrame, key: str, y: str, p: str, n: int, seed: i
     return pairs.agg(F.count("*").alias("n_pairs"), F.avg(good).alias("ci"))
 
 
-def abs_error_shares(df: DataFrame, y: str, p: str, thresholds=(0.5, 1.0, 1.5), by: str | None = None) -> DataFrame:
+def abs_error_shares(df: DataFrame, y: str, p: str, thresholds=(0.5, 1.0, 1.5), by: str | None = None, q: float = 0.9) -> DataFrame:
+    """subset, share of rows with an absolute error within each threshold, and the error's "higher" quantile as ae_q<100 q>."""
     rows = with_subsets(df.where(finite(y, p)).withColumn("__e", F.abs(F.col(y) - F.col(p))), by)
     shares = [F.avg((F.col("__e") <= t).cast("double")).alias(f"within_{str(t).replace('.', '_')}") for t in thresholds]
     out = rows.groupBy("subset").agg(*shares)
-    return out.join(quantile_higher(rows, "__e", 0.9, ["subset"]).select("subset", F.col("value").alias("ae_q90")), "subset")
+    return out.join(quantile_higher(rows, "__e", q, ["subset"]).select("subset", F.col("value").alias(f"ae_q{round(100 * q)}")), "subset")
 
 
 def _score_counts(df: DataFrame, label: Column, score: str, by: str | None) -> DataFrame:
-    rows = with_subsets(df.where(finite(score)), by).groupBy("subset", F.col(score).alias("s")).agg(F.sum(label.cast("long")).alias("pos"), F.count("*").alias("all"))
-    down = Window.partitionBy("subset").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("subset")
-    rows = rows.withColumn("neg", F.col("all") - F.col("pos"))
-    return rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
+    """subset, pos, neg, tp, fp (with the score or a higher one), P, N of each distinct score of each subset."""
+    rows = with_subsets(df.where(finite(score)), by).groupBy("subset", (-F.col(score)).alias("s")).agg(F.sum(label.cast("long")).alias("pos"), F.count("*").alias("all"))
+    rows = group_sums(rows.select("subset", "s", "pos", (F.col("all") - F.col("pos")).alias("neg")), ["subset"], ["s"], ["pos", "neg"])
+    return rows.select("subset", "pos", "neg", (F.col("before_pos") + F.col("pos")).alias("tp"), (F.col("before_neg") + F.col("neg")).alias("fp"), F.col("total_pos").alias("P"), F.col("total_neg").alias("N"))
 
 
 def roc_auc(df: DataFrame, label: Column, score: str, by: str | None = None) -> DataFrame:
@@ -181,9 +168,9 @@ def pr_auc(df: DataFrame, label: Column, score: str, method: str = "step", by: s
     if method == "step":
         cell = F.col("precision") * F.col("pos")
     else:
-        before = F.coalesce(F.lag("precision").over(Window.partitionBy("subset").orderBy(F.desc("s"))), F.lit(1.0))
-        c = c.withColumn("__before", before)
-        cell = (F.col("precision") + F.col("__before")) / 2 * F.col("pos")
+        higher = F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
+        before = F.when(higher > 0, (F.col("tp") - F.col("pos")) / higher).otherwise(1.0)
+        cell = (F.col("precision") + before) / 2 * F.col("pos")
     return c.groupBy("subset").agg(F.try_divide(F.sum(cell), F.max("P")).alias("aupr"))
 
 
@@ -202,7 +189,7 @@ def probability_scores(df: DataFrame, label: Column, prob: str, by: str | None =
 def interval_metrics(df: DataFrame, y: str, lo: str, hi: str, by: str | None = None) -> DataFrame:
     rows = with_subsets(df.where(finite(y, lo, hi)), by)
     width, d = F.col(hi) - F.col(lo), lambda c: F.avg(c.cast("double"))
-    return rows.groupBy("subset").agg(F.count("*").alias("n"), d((F.col(y) >= F.col(lo)) & (F.col(y) <= F.col(hi))).alias("coverage"), F.avg(width).alias("width_mean"), F.percentile(width, F.lit(0.5)).alias("width_median"), d(F.col(y) < F.col(lo)).alias("below"), d(F.col(y) > F.col(hi)).alias("above"))
+    return rows.groupBy("subset").agg(F.count("*").alias("n"), d((F.col(y) >= F.col(lo)) & (F.col(y) <= F.col(hi))).alias("coverage"), F.avg(width).alias("width_mean"), d(F.col(y) < F.col(lo)).alias("below"), d(F.col(y) > F.col(hi)).alias("above")).join(quantiles(rows.select("subset", width.alias("__w")), "__w", [0.5], ["subset"]).select("subset", F.col("q")[0].alias("width_median")), "subset", "left")
 
 
 def coverage_metrics(df: DataFrame, y: str, p: str, half: str, level: Column, by: list[str]) -> DataFrame:
@@ -210,7 +197,8 @@ def coverage_metrics(df: DataFrame, y: str, p: str, half: str, level: Column, by
     z = 1.959963984540054
     e = F.abs(F.col(y) - F.col(p))
     score = 2 * F.col(half) + F.greatest(F.lit(0.0), e - F.col(half)) * 2 / (1 - level)
-    s = df.where(finite(y, p, half)).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(e <= F.col(half)).alias("covered"), F.max(level).alias("__l"), F.avg(2 * F.col(half)).alias("width_mean"), F.percentile(2 * F.col(half), F.array(F.lit(0.5), F.lit(0.9))).alias("__w"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mae"), F.avg(score).alias("interval_score"))
+    s = df.where(finite(y, p, half)).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(e <= F.col(half)).alias("covered"), F.max(level).alias("__l"), F.avg(2 * F.col(half)).alias("width_mean"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mae"), F.avg(score).alias("interval_score"))
+    s = s.join(quantiles(df.where(finite(y, p, half)).select(*by, (2 * F.col(half)).alias("__x")), "__x", (0.5, 0.9), by, "__w"), list(by))
     c, n = F.col("covered") / F.col("n"), F.col("n")
     mid, half_w = (c + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(c * (1 - c) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return s.select(*by, "n", "covered", c.alias("coverage"), (c - F.col("__l")).alias("gap"), (mid - half_w).alias("wilson_lo"), (mid + half_w).alias("wilson_hi"), "width_mean", F.col("__w")[0].alias("width_median"), F.col("__w")[1].alias("width_p90"), "rmse", "mae", "interval_score")
@@ -218,7 +206,7 @@ def coverage_metrics(df: DataFrame, y: str, p: str, half: str, level: Column, by
 
 def width_distribution(df: DataFrame, width: str, by: list[str]) -> DataFrame:
     ps = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    s = df.where(finite(width)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(width).alias("mean"), F.stddev_pop(width).alias("sd"), F.min(width).alias("min"), F.max(width).alias("max"), F.percentile(width, F.array(*map(F.lit, ps))).alias("__q"))
+    s = df.where(finite(width)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(width).alias("mean"), F.stddev_pop(width).alias("sd"), F.min(width).alias("min"), F.max(width).alias("max")).join(quantiles(df.where(finite(width)), width, ps, by, "__q"), list(by))
     return s.select(*by, "n", "mean", "sd", "min", "max", *(F.col("__q")[k].alias(f"p{round(100 * q):02d}") for k, q in enumerate(ps)))
 
 
@@ -233,31 +221,76 @@ def prevalence(df: DataFrame, label: Column, accepted: Column, by: str | None =
     return with_subsets(df, by).groupBy("subset").agg(F.count("*").alias("n"), F.avg(label.cast("double")).alias("positive_rate"), F.avg(accepted.cast("double")).alias("accepted_rate"), F.count_if(accepted).alias("n_accepted"))
 
 
-def metric_pack(df: DataFrame, y: str, p: str, threshold: float, by: str | None = None) -> DataFrame:
-    """regression metrics, spearman, Rm2, error shares, AUC and AUPR of each subset in one row."""
-    label = F.col(y) >= threshold
+def metric_pack(df: DataFrame, y: str, p: str, threshold: float, by: str | None = None, q: float = 0.99) -> DataFrame:
+    """One row a subset: n, rmse, mse, mae, r2, bias, pearson and spearman with their p-values, the Rm2 block (rm2,
+    rm2_inverse, rm2_mean, rm2_delta, r02, r02_inverse, k, k_inverse), error shares and quantile ae_q<100 q>, q_used,
+    ci (exact), auc and aupr of y >= threshold."""
+    label, rows = F.col(y) >= threshold, df.where(finite(y, p))
     out = regression_metrics(df, y, p, by)
-    for part in (spearman(df, y, p, by), rm2(df, y, p, by).select("subset", "rm2", "rm2_mean", "rm2_delta"), abs_error_shares(df, y, p, by=by), roc_auc(df, label, p, by), pr_auc(df, label, p, by=by)):
+    for part in (spearman(df, y, p, by), rm2(df, y, p, by).drop("r2"), abs_error_shares(df, y, p, by=by, q=q), concordance(df, y, p, by).drop("n_pairs") if by else concordance(df, y, p).select(F.lit("overall").alias("subset"), "ci"), roc_auc(rows, label, p, by), pr_auc(rows, label, p, by=by)):
         out = out.join(part, "subset", "left")
+    return out.withColumns({"pearson_p": correlation_p("pearson", "n"), "spearman_p": correlation_p("spearman", "n"), "q_used": F.lit(float(q))})
+
+
+def prediction_summary(df: DataFrame, y: str, p: str, sigma: str, lo: str, hi: str, endpoint: str, split: str, qs=(0.5, 0.9, 0.95)) -> DataFrame:
+    """section, name, value: what a user of scored rows looks at first.
+
+    counts (rows, valid, with_interval, with_sigma), the metric block of the valid rows, mean and quantiles of absolute
+    error, half-width and sigma, and counts by endpoint and by split (null: ``NA``). One pass for the sums, one running
+    count for each quantile block.
+    """
+    valid, bounded = finite(y, p), finite(lo, hi) & (F.col(hi) >= F.col(lo))
+    rows = df.withColumns({"__e": F.when(valid, F.abs(F.col(y) - F.col(p))), "__h": F.when(bounded, (F.col(hi) - F.col(lo)) / 2), "__s": F.when(finite(sigma), F.col(sigma).cast("double"))})
+    sides = {"__e": "abs_error", "__h": "half_width", "__s": "sigma"}
+    cells = [("counts", "rows", F.count("*")), ("counts", "valid", F.count("__e")), ("counts", "with_interval", F.count("__h")), ("counts", "with_sigma", F.count("__s")), *((n, "mean", F.avg(c)) for c, n in sides.items())]
+    told = lambda d, parts: d.select(F.inline(F.array(*(F.struct(F.lit(a).alias("section"), F.lit(b).alias("name"), v.cast("double").alias("value")) for a, b, v in parts))))
+    out = told(rows.agg(*(x.alias(f"s{k}") for k, (_, _, x) in enumerate(cells))), [(a, b, F.col(f"s{k}")) for k, (a, b, _) in enumerate(cells)])
+    measures = ["rmse", "mae", "r2", "bias", "pearson"]
+    out = out.union(told(regression_metrics(df, y, p), [("metrics", m, F.col(m)) for m in measures]))
+    for c, n in sides.items():
+        out = out.union(told(quantiles(rows, c, qs), [(n, f"q{round(100 * q)}", F.get("q", F.lit(k))) for k, q in enumerate(qs)]))
+    for kind, c in (("endpoint", endpoint), ("split", split)):
+        out = out.union(df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(kind).alias("section"), "name", "value"))
     return out
 
 
-def correlation_p_value(r: float, n: int) -> float:
-    """Two-sided p of a correlation under normality: Student's t with n - 2 degrees, by the incomplete beta function."""
-    if n < 3 or abs(r) >= 1:
-        return 0.0 if abs(r) >= 1 and n >= 3 else float("nan")
-    d = n - 2
-    x, a, b = d / (d + r * r * d / (1 - r * r)), d / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-
-    def fraction(x, a, b):
-        c, h = 1.0, 1.0 / max(1e-300, 1 - (a + b) * x / (a + 1))
-        e = h
-        for m in range(1, 400):
-            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                h = 1.0 / (1 + top * h or 1e-300)
-                c = 1 + top / c or 1e-300
-                e *= c * h
-        return e
-
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+def export_predictions(df: DataFrame, y: str, p: str, sigma: str, threshold: float, level: float = 0.9) -> DataFrame:
+    """Adds the columns of an export row: abs_err, pred_lo, pred_hi (Gaussian interval), prob_strong, label (1 from 0.5 on)."""
+    interval, prob = gaussian_interval(p, sigma, level), prob_ge(p, sigma, threshold)
+    return df.withColumns({"abs_err": F.abs(F.col(y) - F.col(p)), "pred_lo": interval["lo"], "pred_hi": interval["hi"], "prob_strong": prob, "label": (prob >= 0.5).cast("int")})
+
+
+def correlation_p(r: str, n: str) -> Column:
+    """Two-sided p of a correlation under normality: Student's t with n - 2 degrees; null below three rows.
+
+    p = I_x(d/2, 1/2) with x = 1 - r^2, d = n - 2: a continued fraction (whichever of the two converges fast), and
+    gamma(a + 1/2) / gamma(a) by its asymptotic series after eight steps of recurrence.
+    """
+    d = F.col(n) - F.lit(2.0)
+    a, b, x = d / 2, F.lit(0.5), F.greatest(F.lit(0.0), 1 - F.col(r) * F.col(r))
+    far = a + 8
+    ratio = F.log(far) / 2 - 1 / (8 * far) + 1 / (192 * F.pow(far, F.lit(3.0))) - 1 / (640 * F.pow(far, F.lit(5.0)))
+    for k in range(8):
+        ratio = ratio + F.log((a + k) / (a + k + 0.5))
+    inside = (x > 0) & (x < 1)
+    safe = F.when(inside, x).otherwise(0.5)
+    front = F.exp(ratio - math.log(math.sqrt(math.pi)) + a * F.log(safe) + b * F.log(1 - safe))
+
+    def fraction(z: Column, s: Column, t: Column) -> Column:
+        solid = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+        def step(acc: Column, m: Column) -> Column:
+            even, odd = m * (t - m) * z / ((s + 2 * m - 1) * (s + 2 * m)), -(s + m) * (s + t + m) * z / ((s + 2 * m) * (s + 2 * m + 1))
+            one = lambda g, top: F.struct((F.lit(1.0) / solid(1 + top * g["h"])).alias("h"), solid(1 + top / g["c"]).alias("c"), g["e"].alias("e"))
+            grown = lambda g: F.struct(g["h"].alias("h"), g["c"].alias("c"), (g["e"] * g["c"] * g["h"]).alias("e"))
+            half = F.transform(F.array(grown(one(acc, even))), lambda g: grown(one(g, odd)))  # an array of one names the first half
+            return F.get(half, F.lit(0))
+
+        h = F.lit(1.0) / solid(1 - (s + t) * z / (s + 1))
+        init = F.struct(h.alias("h"), F.lit(1.0).alias("c"), h.alias("e"))
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda m: m.cast("double")), init, step)["e"]
+
+    low = front * fraction(safe, a, b) / a
+    high = 1 - front * fraction(1 - safe, b, a) / b
+    p = F.when(safe < (a + 1) / (a + 2.5), low).otherwise(high)
+    return F.when((F.col(n) >= 3) & F.col(r).isNotNull(), F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(p))

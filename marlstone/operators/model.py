@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import apply_affine, finite, prob_ge, residual_target, sigma_from_log
+from marlstone.functions.shared import written
 from marlstone.operators.metrics import regression_metrics
 from marlstone.operators.rules import accept
 from marlstone.operators.split import hash_key, train_rows
@@ -22,8 +23,9 @@ def text_features(df: DataFrame, text: str, numeric: Sequence[str] = (), max_fea
     return Pipeline(stages=steps).fit(train_rows(df, split))
 
 
-def assemble(df: DataFrame, cols: Sequence[str], name: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=name, handleInvalid="skip").transform(df)
+def assemble(df: DataFrame, cols: Sequence[str], name: str = "features", invalid: str = "skip") -> DataFrame:
+    """Adds the vector of ``cols``; rows with a null or NaN among them are left out, or kept with NaN (invalid="keep")."""
+    return VectorAssembler(inputCols=list(cols), outputCol=name, handleInvalid=invalid).transform(df)
 
 
 def scale_target(df: DataFrame, y: str, split: str = "split") -> tuple[DataFrame, float, float]:
@@ -33,10 +35,15 @@ def scale_target(df: DataFrame, y: str, split: str = "split") -> tuple[DataFrame
 
 
 def fit_ridge(df: DataFrame, y: str, weight: str, alpha: float = 1.0, split: str = "split"):
-    """Ridge with the penalty alpha on the summed loss: Spark's is on the mean, so it is divided by the weights' sum."""
+    """Ridge with the penalty alpha on the summed loss: sum of w (y - x b)^2 + alpha b^2.
+
+    Spark's penalty stands beside the mean loss of a label of unit spread: so alpha is divided by the weights' sum and
+    multiplied by the label's standard deviation.
+    """
     train = train_rows(df, split)
-    total = train.agg(F.sum(weight)).first()[0]
-    return LinearRegression(labelCol=y, weightCol=weight, elasticNetParam=0.0, regParam=alpha / total, standardization=False).fit(train)
+    w, v = F.col(weight), F.col(y)
+    total, spread = train.agg(F.sum(w), F.sqrt(F.greatest(F.lit(0.0), F.sum(w * v * v) / F.sum(w) - F.pow(F.sum(w * v) / F.sum(w), F.lit(2.0))))).first()
+    return LinearRegression(labelCol=y, weightCol=weight, elasticNetParam=0.0, regParam=alpha / total * (spread or 1.0), standardization=False).fit(train)
 
 
 def fit_elastic_net(df: DataFrame, y: str, weight: str, alpha: float = 1e-5, l1: float = 0.15, split: str = "split"):
@@ -56,12 +63,16 @@ def fit_boosted(df: DataFrame, y: str, weight: str, stages: int = 10, every: int
 
 
 def fit_sigma(df: DataFrame, y: str, p: str, features: str = "features", kind: str = "squared", least: int = 200, seed: int = 7):
-    """A regressor of the log residual on features and prediction; below ``least`` rows an error."""
+    """A regressor of the log residual on features and prediction; below ``least`` rows an error.
+
+    A fifth of the rows, by a hash of label and prediction, is held out; trees are added until its loss stops falling.
+    """
     rows = df.where(finite(y, p))
     if rows.limit(least).count() < least:
         raise ValueError(f"the sigma model needs {least} rows")
     rows = VectorAssembler(inputCols=[features, p], outputCol="__sigma_features").transform(rows.withColumn("__target", residual_target(y, p, kind)))
-    return GBTRegressor(labelCol="__target", featuresCol="__sigma_features", predictionCol="__log_sigma", maxIter=8, maxDepth=3, seed=seed).fit(rows)
+    rows = rows.withColumn("__held", F.pmod(F.xxhash64(y, p, F.lit(seed)), F.lit(5)) == 0)
+    return GBTRegressor(labelCol="__target", featuresCol="__sigma_features", predictionCol="__log_sigma", validationIndicatorCol="__held", validationTol=0.01, maxIter=20, maxDepth=3, seed=seed).fit(rows)
 
 
 def predict_sigma(df: DataFrame, model, p: str, features: str = "features", kind: str = "squared") -> DataFrame:
@@ -74,12 +85,13 @@ def fit_by_endpoint(df: DataFrame, endpoint: str, y: str, weight: str, most: int
     names = [r[0] for r in df.select(endpoint).distinct().limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} endpoints")
+    df = written(df)
     return {n: fit_ridge(df.where(F.col(endpoint) == n), y, weight, split=split) for n in sorted(names)}
 
 
 def cross_validate(df: DataFrame, fold: str, y: str, weight: str, k: int) -> DataFrame:
     """fold, n, rmse, mae, r2 of a ridge fitted on the other folds."""
-    out = None
+    df, out = written(df), None  # features are made once, not once a fold
     for j in range(k):
         marked = df.withColumn("split", F.when(F.col(fold) == j, "valid").otherwise("train"))
         scored = fit_ridge(marked, y, weight).transform(marked.where("split = 'valid'"))
@@ -89,11 +101,12 @@ def cross_validate(df: DataFrame, fold: str, y: str, weight: str, k: int) -> Dat
 
 
 def score(df: DataFrame, model, calibration: tuple[float, float], q_scale: float, threshold: float, err_max: float, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
-    """Prediction, bounds, acceptance and probability of each row that has features and sigma."""
+    """Prediction, bounds, acceptance and probability of each row; null where a feature is NaN (see ``assemble``)."""
     out = model.transform(df)
+    out = out.withColumn("prediction", F.when(finite("prediction"), F.col("prediction")))
     a, b = calibration
     out = out.withColumn("y_pred", apply_affine(F.col("prediction") * sd + mean, a, b)).withColumn("err_bound", F.col("sigma") * q_scale)
-    return out.withColumns({"pred_lo": F.col("y_pred") - F.col("err_bound"), "pred_hi": F.col("y_pred") + F.col("err_bound"), "accepted": accept("err_bound", err_max), "prob_strong": prob_ge("y_pred", "sigma", threshold)}).drop("prediction")
+    return out.withColumns({"pred_lo": F.col("y_pred") - F.col("err_bound"), "pred_hi": F.col("y_pred") + F.col("err_bound"), "accepted": accept("err_bound", err_max), "prob_strong": F.when(F.col("y_pred").isNotNull(), prob_ge("y_pred", "sigma", threshold))}).drop("prediction")
 
 
 def grouped_importance(df: DataFrame, groups: dict[str, Sequence[str]], y: str, key: str, repeats: int = 3, seed: int = 5) -> DataFrame:
@@ -106,6 +119,7 @@ def grouped_importance(df: DataFrame, groups: dict[str, Sequence[str]], y: str,
 
     cols = [c for g in groups.values() for c in g]
     rows = df.where(finite(y, *cols)).withColumn("__test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5)) == 0)
+    rows = written(rows.select(key, y, *cols, "__test"))  # read again by every tree and every permutation
     model = GBTRegressor(labelCol=y, maxIter=10, maxDepth=4, seed=seed).fit(assemble(rows.where("not __test"), cols))
     test = rows.where("__test").select(key, y, *cols)
     error = lambda d: model.transform(assemble(d, cols)).agg(F.avg((F.col("prediction") - F.col(y)) * (F.col("prediction") - F.col(y))).alias("mse"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +30,28 @@ def prefix_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], parti
     return out.withColumns({f"before_{v}": F.col(f"__r_{v}") + F.col(f"__b_{v}") for v in values}).drop("__part", *(f"__{k}_{v}" for k in "rb" for v in values))
 
 
-def rank_within(df: DataFrame, stratum: str, order: Sequence[str], name: str) -> DataFrame:
-    """Adds the 1-based rank within each of a few large strata: the global rank less that of the stratum's first row.
+def group_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Adds before_<v> (sum of v over the group's earlier rows in ``order``) and total_<v> (over the whole group); v >= 0.
 
-    No stratum is gathered in one task, as a window over it would do. ``order`` must be total.
+    No group is gathered in one task, as a window over it would do: running sums go over all rows in order of group and
+    ``order``, and each group's first one is taken off. Null is a group of its own.
     """
-    ranked = prefix_sum(df.withColumn("__one", F.lit(1)), [stratum, *order], ["__one"])
-    starts = ranked.groupBy(stratum).agg(F.min("before___one").alias("__start"))
-    return ranked.join(F.broadcast(starts), stratum).withColumn(name, F.col("before___one") - F.col("__start") + 1).drop("__one", "before___one", "__start")
+    run = prefix_sum(df, [*by, *order], values)
+    ends = run.groupBy(*(F.col(b).alias(f"__g_{b}") for b in by)).agg(*(F.min(f"before_{v}").alias(f"__s_{v}") for v in values), *(F.sum(v).alias(f"total_{v}") for v in values))
+    out = run.join(ends, reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__g_{b}")) for b in by])) if by else run.crossJoin(F.broadcast(ends))
+    return out.withColumns({f"before_{v}": F.col(f"before_{v}") - F.col(f"__s_{v}") for v in values}).drop(*(f"__g_{b}" for b in by), *(f"__s_{v}" for v in values))
+
+
+def rank_within(df: DataFrame, stratum: str, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the 1-based rank within each of a few large strata. ``order`` must be total."""
+    ranked = group_sums(df.withColumn("__one", F.lit(1)), [stratum], order, ["__one"])
+    return ranked.withColumn(name, F.col("before___one") + 1).drop("__one", "before___one", "total___one")
+
+
+def running(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, value, k (rows with that value), before (rows of the group with a smaller one), n (rows of the group); nulls left out."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).alias("value")).agg(F.count("*").alias("k"))
+    return group_sums(counts, by, ["value"], ["k"]).select(*by, "value", "k", F.col("before_k").alias("before"), F.col("total_k").alias("n"))
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
@@ -47,15 +62,24 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
 
 def order_stat(df: DataFrame, c: str, position: Column, by: Sequence[str] = ()) -> DataFrame:
     """The value at a 1-based position computed from ``n`` (count of non-null values): globally, or for each group."""
-    if by:
-        groups = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).alias("value")).agg(F.count("*").alias("k"))
-        w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        run = groups.withColumns({"upto": F.sum("k").over(w), "n": F.sum("k").over(Window.partitionBy(*by))})
-        return run.where(F.col("upto") >= position).groupBy(*by).agg(F.min("value").alias("value"), F.max("n").alias("n"))
-    counts = value_counts(df, c)
-    total = counts.agg(F.sum("n").alias("__n"))
-    placed = counts.withColumnRenamed("n", "k").crossJoin(F.broadcast(total)).withColumnRenamed("__n", "n")
-    return placed.where(F.col("before") + F.col("k") >= position).agg(F.min("value").alias("value"), F.max("n").alias("n"))
+    run = running(df, c, by)
+    return run.where(F.col("before") + F.col("k") >= position).groupBy(*by).agg(F.min("value").alias("value"), F.max("n").alias("n"))
+
+
+def quantiles(df: DataFrame, c: str, qs: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
+    """by and ``name``: array of exact quantiles, linear between the two nearest rows, of the non-null values.
+
+    From running counts of distinct values, so that no task or buffer holds all of a group's. No values: no row (one
+    row with null where there is no ``by``).
+    """
+    run = running(df, c, by)
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("k") > place), F.col("value").cast("double")))
+    spot = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    ends = [(at(F.floor(spot(q))), at(F.ceil(spot(q))), F.max(spot(q) - F.floor(spot(q)))) for q in qs]
+    cells = [x.alias(f"__{k}_{j}") for k, e in enumerate(ends) for j, x in enumerate(e)]
+    found = run.groupBy(*by).agg(*cells)
+    mixed = [F.col(f"__{k}_0") + F.col(f"__{k}_2") * (F.col(f"__{k}_1") - F.col(f"__{k}_0")) for k in range(len(qs))]
+    return found.select(*by, F.when(F.col("__0_0").isNotNull(), F.array(*mixed)).alias(name))
 
 
 def quantile_higher(df: DataFrame, c: str, q: float, by: Sequence[str] = ()) -> DataFrame:
@@ -71,13 +95,9 @@ def quantile_conformal(df: DataFrame, c: str, level: float, by: Sequence[str] =
 
 def average_rank(df: DataFrame, c: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds the average rank (ties share it); null has none."""
-    if by:
-        counts = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("__n"))
-        w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-        return df.join(ranks, [*by, c], "left")
-    ranks = value_counts(df, c).select(F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, c, "left")
+    ranks = running(df, c, by).select(*(F.col(b).alias(f"__b_{b}") for b in by), F.col("value").alias("__v"), (F.col("before") + (F.col("k") + 1) / 2).alias(name))
+    same = [F.col(c) == F.col("__v"), *(F.col(b).eqNullSafe(F.col(f"__b_{b}")) for b in by)]
+    return df.join(ranks, reduce(lambda a, b: a & b, same), "left").drop("__v", *(f"__b_{b}" for b in by))
 
 
 def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -95,8 +115,8 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str] = ()
 
 def bin_edges(df: DataFrame, c: str, n: int, by: Sequence[str] = ()) -> DataFrame:
     """edges: distinct exact quantiles at 0, 1/n .. 1."""
-    qs = F.array(*(F.lit(k / n) for k in range(n + 1)))
-    return df.groupBy(*by).agg(F.array_distinct(F.percentile(c, qs)).alias("edges"))
+    found = quantiles(df, c, [k / n for k in range(n + 1)], by, "edges")
+    return found.withColumn("edges", F.coalesce(F.array_distinct("edges"), F.array().cast("array<double>")))
 
 
 def qcut(df: DataFrame, c: str, n: int, name: str = "bin", by: Sequence[str] = ()) -> DataFrame:
@@ -126,6 +146,11 @@ def select_best(df: DataFrame, metric: str, stage: str, higher: bool, eps: float
 
 def auto_grid(df: DataFrame, c: str, least: int = 20, default: Sequence[float] = (0.5, 1.0, 1.5)) -> DataFrame:
     """grid: distinct 10..90 % quantiles rounded half-even to 3 places; the default below ``least`` rows."""
-    qs = F.percentile(c, F.array(*(F.lit(k / 10) for k in range(1, 10))))
-    grid = F.array_distinct(F.transform(qs, lambda x: F.bround(x, 3)))
-    return df.agg(F.when(F.count(c) >= least, grid).otherwise(F.array(*map(F.lit, default))).alias("grid"))
+    found = quantiles(df, c, [k / 10 for k in range(1, 10)]).crossJoin(F.broadcast(df.agg(F.count(c).alias("n"))))
+    grid = F.array_distinct(F.transform("q", lambda x: F.bround(x, 3)))
+    return found.select(F.when(F.col("n") >= least, grid).otherwise(F.array(*map(F.lit, default))).alias("grid"))
+
+
+def sort_output(df: DataFrame, key: str, endpoint: str) -> DataFrame:
+    """Rows in their final order: source row, then endpoint; nulls first. A global sort by ranges."""
+    return df.orderBy(F.col(key).asc_nulls_first(), F.col(endpoint).asc_nulls_first())

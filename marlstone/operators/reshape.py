@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.order import quantiles
 from marlstone.functions.expr import finite
 
 
@@ -45,5 +46,6 @@ def flatten_metrics(df: DataFrame, subset: str, metric: str, value: str, names:
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Null and non-finite values become the column's exact median, 0 if it has no finite value."""
     clean = df.select(*(F.when(finite(c), F.col(c).cast("double")).alias(c) for c in cols))
-    medians = clean.agg(*(F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(f"__{c}") for c in cols))
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.when(finite(c), F.col(c).cast("double")).otherwise(F.col(f"__{c}")) for c in cols}).drop(*(f"__{c}" for c in cols))
+    for c in cols:
+        df = df.crossJoin(F.broadcast(quantiles(clean, c, [0.5]).select(F.coalesce(F.get("q", F.lit(0)), F.lit(0.0)).alias(f"__{c}"))))
+    return df.withColumns({c: F.when(finite(c), F.col(c).cast("double")).otherwise(F.col(f"__{c}")) for c in cols}).drop(*(f"__{c}" for c in cols))

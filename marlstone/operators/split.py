@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.order import prefix_sum, qcut, rank_within
+from marlstone.operators.order import prefix_sum, qcut, quantiles, rank_within
 
 
 def hash_key(key: str | Sequence[str], seed: int) -> Column:
@@ -34,10 +34,15 @@ def group_columns(mode: str, compound: str, protein: str) -> list[str]:
     return {"random": [], "compound": [compound], "protein": [protein], "pair": [compound, protein]}[mode]
 
 
+def _medians(df: DataFrame, group: str, y: str) -> DataFrame:
+    """group, __m: its median, null if it has no value."""
+    return df.select(group).distinct().join(quantiles(df, y, [0.5], [group]).select(group, F.col("q")[0].alias("__m")), group, "left")
+
+
 def group_stratified_split(df: DataFrame, group: str, y: str, fraction: float, seed: int, bins: int = 5) -> DataFrame:
     """Adds ``split`` by whole groups: in each quantile bin of the groups' medians round(m fraction), at least 1, are
     held out; then trimmed or topped up by hash to round(groups fraction) groups."""
-    groups = df.groupBy(group).agg(F.percentile(y, F.lit(0.5)).alias("__m"))
+    groups = _medians(df, group, y)
     binned = qcut(groups, "__m", bins, "__bin").withColumn("__h", hash_key(group, seed))
     sizes = binned.groupBy("__bin").agg(F.count("*").alias("__size"))
     drawn = rank_within(binned, "__bin", ["__h", group], "__k").join(F.broadcast(sizes), "__bin").withColumn("__in", F.col("__k") <= F.greatest(F.lit(1), F.bround(F.col("__size") * fraction).cast("int")))
@@ -49,7 +54,7 @@ def group_stratified_split(df: DataFrame, group: str, y: str, fraction: float, s
 
 def group_kfold(df: DataFrame, group: str, y: str, k: int, seed: int, bins: int = 5) -> DataFrame:
     """Adds ``fold`` 0..k-1 by whole groups, dealt in turn by hash within each bin of the groups' medians."""
-    groups = df.groupBy(group).agg(F.percentile(y, F.lit(0.5)).alias("__m"))
+    groups = _medians(df, group, y)
     binned = qcut(groups, "__m", bins, "__bin").withColumn("__h", hash_key(group, seed))
     ranked = rank_within(binned, "__bin", ["__h", group], "__k")
     return df.join(ranked.select(group, ((F.col("__k") - 1) % k).cast("int").alias("fold")), group)
@@ -86,6 +91,23 @@ def check_split(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return keys.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.count_if(F.col("parts") > 1).alias("n_overlap"), F.sum("none").alias("n_unassigned"))
 
 
+def restrict(df: DataFrame, endpoint: str, name: str) -> DataFrame:
+    """The rows of one endpoint, with the split that they have in the whole table."""
+    return df.where(F.col(endpoint) == name)
+
+
+def membership(df: DataFrame, key: str, endpoint: str, subset: str = "subset") -> DataFrame:
+    """key, endpoint, subset of every row that is in a subset: what another run needs to take the same rows."""
+    return df.where(F.col(subset).isNotNull()).select(key, endpoint, subset)
+
+
+def check_nested(small: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """n_small, n_large, n_outside (keys of the smaller sample that the larger lacks) and ok."""
+    outside = small.select(key).distinct().join(large.select(key), key, "left_anti").agg(F.count("*").alias("n_outside"))
+    sizes = small.agg(F.count("*").alias("n_small")).crossJoin(F.broadcast(large.agg(F.count("*").alias("n_large"))))
+    return sizes.crossJoin(F.broadcast(outside)).withColumn("ok", F.col("n_outside") == 0)
+
+
 def fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """n and an order-free digest of the rows' content; equal tables give equal digests however they are partitioned."""
     h = F.xxhash64(*cols)

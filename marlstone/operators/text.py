@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marlstone.functions.shared import written
 
 
 def char_ngrams(c: Column | str, lo: int, hi: int) -> Column:
@@ -73,32 +78,72 @@ def char_vocabulary(df: DataFrame, c: str) -> DataFrame:
     return chars.withColumn("code", F.row_number().over(Window.orderBy("char")) + 1)  # one row a character
 
 
-def nearest_similarity(query: DataFrame, ref: DataFrame, key: str, c: str, n: int = 3, max_features: int = 8192) -> DataFrame:
+def nearest_similarity(query: DataFrame, ref: DataFrame, key: str, c: str, n: int = 3, max_features: int = 8192, others: bool = False, block: int = 1024, part: int = 4096) -> DataFrame:
     """key, similarity, nearest: 1 for a text that occurs in ``ref``, else the largest cosine of L2 TF-IDF n-grams.
 
-    Both sides meet by term; products are added up before the largest is taken. The frequent terms' rows are many on
-    both sides: adaptive execution splits them. ``nearest`` is the smallest reference key of the largest cosine.
+    The vocabulary is the ``max_features`` most frequent n-grams of ``ref``. others: the query's rows are rows of ``ref``
+    too, and a row is not its own neighbour. Every query meets every reference text, in blocks: a task multiplies up to
+    about ``block`` queries with about ``part`` texts as matrices and keeps the best of each query. ``nearest`` is the
+    smallest reference key of the largest cosine (to 9 places). Null and empty texts have no n-gram and similarity 0.
     """
-    ref_texts = ref.select(F.col(key).alias("ref_key"), F.col(c).alias("text")).groupBy("text").agg(F.min("ref_key").alias("ref_key"))
-    counts = term_counts(ref_texts, "ref_key", char_ngrams("text", n, n))
+    ref_texts = ref.select(F.col(key).alias("ref_key"), F.col(c).alias("text")).where("text is not null").groupBy("text").agg(F.min("ref_key").alias("ref_key"), F.max("ref_key").alias("last_key"), F.count("*").alias("copies"))
+    ref_texts = written(ref_texts)
+    counts = written(term_counts(ref_texts, "ref_key", char_ngrams("text", n, n)))
     vocab = fit_vocabulary(counts, 1, max_features)
+    vocab = written(vocab.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("at")))  # max_features rows at most
     total = ref_texts.agg(F.count("*").alias("n"))
-    a = tfidf(term_counts(query.select(F.col(key).alias("query_key"), F.col(c).alias("text")), "query_key", char_ngrams("text", n, n)), vocab, total, "query_key", sublinear=False)
-    b = tfidf(counts, vocab, total, "ref_key", sublinear=False).withColumnRenamed("weight", "other")
-    products = a.join(b, "term").groupBy("query_key", "ref_key").agg(F.sum(F.col("weight") * F.col("other")).alias("cosine"))
-    best = products.groupBy("query_key").agg(F.max_by("ref_key", F.struct(F.round("cosine", 9), -F.col("ref_key"))).alias("nearest"), F.max("cosine").alias("cosine"))
-    same = query.select(F.col(key).alias("query_key"), F.col(c).alias("text")).join(ref_texts, "text", "left").join(best, "query_key", "left")
-    return same.select(F.col("query_key").alias(key), F.when(F.col("ref_key").isNotNull(), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("cosine", F.lit(0.0)))).alias("similarity"), F.coalesce("ref_key", "nearest").alias("nearest"))
+    asked = query.select(F.col(key).alias("query_key"), F.col(c).alias("text")).join(ref_texts, "text", "left")
+
+    def vectors(terms: DataFrame, name: str) -> DataFrame:
+        rows = tfidf(terms, vocab, total, name, sublinear=False).join(F.broadcast(vocab.select("term", "at")), "term")
+        return rows.groupBy(name).agg(F.collect_list("at").alias("at"), F.collect_list("weight").alias("w"))
+
+    a = vectors(term_counts(asked, "query_key", char_ngrams("text", n, n)), "query_key").join(asked.select("query_key", F.col("ref_key").alias("own")), "query_key")
+    b = vectors(counts, "ref_key")
+    blocks, parts = -(-query.count() // block) or 1, -(-ref_texts.count() // part) or 1
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    a = a.select("query_key", "own", "at", "w", F.pmod(F.xxhash64("query_key"), F.lit(blocks)).cast("int").alias("block"), spread(parts).alias("part"))
+    b = b.select("ref_key", "at", "w", F.pmod(F.xxhash64("ref_key"), F.lit(parts)).cast("int").alias("part"), spread(blocks).alias("block"))
+
+    def dense(table: pa.Table) -> np.ndarray:
+        at, w = table.column("at").combine_chunks(), table.column("w").combine_chunks()
+        out = np.zeros((len(at), max_features))
+        out[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.values.to_numpy()] = w.values.to_numpy()
+        return out
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        best, who = np.full(left.num_rows, -1.0), np.zeros(left.num_rows, np.int64)
+        own = left.column("own").to_pylist()
+        if left.num_rows and right.num_rows:
+            asked_rows, order = dense(left), np.argsort(right.column("ref_key").to_numpy(), kind="stable")
+            right = right.take(pa.array(order))
+            keys = right.column("ref_key").to_numpy()
+            for k in range(0, right.num_rows, 512):
+                some = np.round(asked_rows @ dense(right.slice(k, 512)).T, 9)
+                if others:
+                    for i, o in enumerate(own):
+                        some[i, keys[k : k + 512] == o] = -1.0
+                top = some.argmax(axis=1)
+                value = some[np.arange(len(top)), top]
+                better = value > best
+                best[better], who[better] = value[better], keys[k : k + 512][top[better]]
+        return pa.table({"query_key": left.column("query_key"), "cosine": best, "ref": pa.array(who, pa.int64(), mask=best < 0)})
+
+    met = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInArrow(meet, "query_key long, cosine double, ref long")
+    best = met.where("ref is not null").groupBy("query_key").agg(F.max_by("ref", F.struct("cosine", -F.col("ref"))).alias("nearest"), F.max("cosine").alias("cosine"))
+    there = (F.col("copies") > 1) if others else F.col("ref_key").isNotNull()
+    twin = F.when(F.col("ref_key") == F.col("query_key"), F.col("last_key")).otherwise(F.col("ref_key")) if others else F.col("ref_key")
+    return asked.join(best, "query_key", "left").select(F.col("query_key").alias(key), F.when(there, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("cosine", F.lit(0.0)))).alias("similarity"), F.when(there, twin).otherwise(F.col("nearest")).alias("nearest"))
 
 
 def learn_subwords(df: DataFrame, c: str, merges: int = 50, per_pass: int = 10) -> list[tuple[str, str]]:
     """Merge list by repeatedly joining the most frequent neighbouring symbols; bounded by ``merges``.
 
-    Works on distinct words with counts; a pass takes up to ``per_pass`` pairs without common symbols and applies them
-    with one expression. Words carry their symbols as one text with blanks between.
+    Works on distinct words with counts, written after each pass; a pass takes up to ``per_pass`` pairs without common
+    symbols, of which the driver sees four times as many. Words carry their symbols as one text with blanks between.
     """
     words = df.select(F.explode(F.split(F.lower(c), r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    symbols = words.select("n", F.concat(F.lit(" "), F.array_join(F.filter(F.split("w", ""), lambda x: x != ""), " "), F.lit(" ")).alias("s"))
+    symbols = written(words.select("n", F.concat(F.lit(" "), F.array_join(F.filter(F.split("w", ""), lambda x: x != ""), " "), F.lit(" ")).alias("s")))
     done: list[tuple[str, str]] = []
     while len(done) < merges:
         parts = F.split(F.trim("s"), " ")
@@ -116,20 +161,48 @@ def learn_subwords(df: DataFrame, c: str, merges: int = 50, per_pass: int = 10)
         s = F.col("s")
         for a, b in taken:
             s = F.replace(F.replace(s, F.lit(f" {a} {b} "), F.lit(f" {a}{b} ")), F.lit(f" {a} {b} "), F.lit(f" {a}{b} "))
-        symbols = symbols.select("n", s.alias("s"))
+        symbols = written(symbols.select("n", s.alias("s")))
         done += taken
     return done
 
 
-def apply_subwords(c: Column | str, merges: Sequence[tuple[str, str]]) -> Column:
-    """Array of the subwords of a text's words, by the merge list."""
-    c = F.col(c) if isinstance(c, str) else c
-    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+def merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The word's symbols after all merges, each in its turn."""
+    parts, last = list(word), -1
+    while True:
+        found = [r for x in zip(parts[:-1], parts[1:], strict=True) if (r := ranks.get(x, -1)) > last]
+        if not found:
+            return parts
+        last, out = min(found), []
+        for s in parts:
+            if out and ranks.get((out[-1], s)) == last:
+                out[-1] += s
+            else:
+                out.append(s)
+        parts = out
 
-    def one(w: Column) -> Column:
-        s = F.concat(F.lit(" "), F.array_join(F.filter(F.split(w, ""), lambda x: x != ""), " "), F.lit(" "))
-        for a, b in merges:
-            s = F.replace(F.replace(s, F.lit(f" {a} {b} "), F.lit(f" {a}{b} ")), F.lit(f" {a} {b} "), F.lit(f" {a}{b} "))
-        return F.split(F.trim(s), " ")
 
-    return F.flatten(F.transform(words, one))
+def apply_subwords(df: DataFrame, c: str, merges: Sequence[tuple[str, str]], name: str = "subwords") -> DataFrame:
+    """Adds the array of the subwords of a text's words, by the merge list; null counts as empty.
+
+    Words met before are looked up in a table of each task, emptied beyond 100,000 words.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))])
+    at, ranks = df.columns.index(c), {x: k for k, x in enumerate(merges)}
+
+    def run(batches):
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            rows = []
+            for text in batch.column(at).to_pylist():
+                out = []
+                for w in (text or "").lower().split():
+                    if w not in known:
+                        if len(known) > 100_000:
+                            known.clear()
+                        known[w] = merged(w, ranks)
+                    out += known[w]
+                rows.append(out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ FRAMES = {
       user_id as compound, event_type as target from {events}""",
     "G": """select o_orderkey as row_key, o_custkey as compound, o_orderpriority as endpoint, o_orderstatus as target,
       round(log10(o_totalprice),4) as y, 0.5e0 + (o_orderkey % 7)/4e0 as w from {orders}""",
-    "T": """select doc_id, lang as endpoint, source, substr(upper(regexp_replace(text,'[^A-Za-z]',''$G)),1,200) as seq, text from {documents}""",
+    "T": """select doc_id, lang as endpoint, source, upper(regexp_replace(text,'[^A-Za-z]',''$G)) as seq, text from {documents}""",
     "C": """select p.p_partkey as compound, p.p_brand as accession, concat(p.p_brand,'|',p.p_type,'| |nan') as tokens, s.s_suppkey as xid, n.n_name, r.r_name
       from {part} p join {supplier} s on p.p_partkey % 100 = s.s_suppkey % 100 join {nation} n on s.s_nationkey=n.n_nationkey join {region} r on n.n_regionkey=r.r_regionkey""",
 }

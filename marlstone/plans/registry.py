@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
-from marlstone.functions.shared import written
+from marlstone.functions.shared import shared_path, written
 from marlstone.operators import agg, conformal, drift, joins, metrics, model, order, reshape, rules, split, text, verify
 from marlstone.plans.frames import FRAMES, duck, frame
 from marlstone.sources import measurements
+from marlstone.streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,16 +71,15 @@ _SIGN_PLACE = "case sign when '=' then 1 when '≈' then 2 when '>' then 3 when
 @query(
     "b01_text_cleaning",
     r"""select doc_id, trim(split_part(source || ' |' || endpoint, '|', 1)) as stripped,
-      regexp_replace(upper(regexp_replace(substr(text, 1, 300), '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') as alphabet,
-      upper(regexp_replace(substr(text, 1, 300), '[^A-Za-z]', '', 'g')) as letters, source || '|' || endpoint as joined, source as first_token,
+      regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') as alphabet,
+      upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as letters, source || '|' || endpoint as joined, source as first_token,
       case when doc_id % 2 = 0 then 'ABCDXYZ' else '' end as chain from t """,
 )
 def b01(spark, d):
     t = frame(spark, d, "T")
-    head = F.substring("text", 1, 300)
     chains = F.when(F.col("doc_id") % 2 == 0, F.lit("ABCDXYZ|ABCEXYZ")).otherwise(F.lit("ABCDXYZ|ABCDXYZW"))
     return t.select(
-        "doc_id", X.strip_suffix(F.concat_ws(" |", "source", "endpoint")).alias("stripped"), X.keep_alphabet(head).alias("alphabet"), X.letters_upper(head).alias("letters"), X.join_nonempty(["source", F.lit(" "), F.lit("nan"), "endpoint"]).alias("joined"),
+        "doc_id", X.strip_suffix(F.concat_ws(" |", "source", "endpoint")).alias("stripped"), X.keep_alphabet("text").alias("alphabet"), X.letters_upper("text").alias("letters"), X.join_nonempty(["source", F.lit(" "), F.lit("nan"), "endpoint"]).alias("joined"),
         X.first_token(F.concat(F.lit(" |nan|"), F.col("source"))).alias("first_token"), X.collapse_equivalent(chains).alias("chain"),
     )
 
@@ -591,7 +591,22 @@ def h16(spark, d):
     return rounded(metrics.prevalence(frame(spark, d, "P"), F.col("y_true") >= 3, F.col("sigma") <= 0.3, "endpoint"))
 
 
-@query("h17_pack")
+@query(
+    "h17_pack",
+    f"""with {_SUB}, mu as (select subset, avg(y_true) as my, avg(y_pred) as mp, sum(y_true*y_pred)/sum(y_pred*y_pred) as k, sum(y_true*y_pred)/sum(y_true*y_true) as ki from s group by 1),
+      v as (select subset, count(*) as n, sum((y_true-y_pred)**2) as sse, sum(abs(y_true-y_pred)) as sae, avg(y_pred-y_true) as bias, corr(y_true, y_pred) as pearson, sum((y_true-my)**2) as syy, any_value(k) as k, any_value(ki) as ki, 1 - sum((y_true-y_pred)**2)/(sum((y_true-my)**2)+1e-12) as r2, 1 - sum((y_true-k*y_pred)**2)/(sum((y_true-my)**2)+1e-12) as r0, 1 - sum((y_pred-ki*y_true)**2)/(sum((y_pred-mp)**2)+1e-12) as ri from s join mu using (subset) group by 1),
+      w as (select *, r2*(1-sqrt(abs(r2-r0))) as a, r2*(1-sqrt(abs(r2-ri))) as b from v),
+      sp as (select subset, corr(a, b) as spearman from (select subset, rank() over (partition by subset order by y_true) + (count(*) over (partition by subset, y_true) - 1) / 2 as a, rank() over (partition by subset order by y_pred) + (count(*) over (partition by subset, y_pred) - 1) / 2 as b from s) group by 1),
+      e as (select subset, abs(y_true - y_pred) as e, row_number() over (partition by subset order by abs(y_true - y_pred)) as k, count(*) over (partition by subset) as n from s),
+      es as (select subset, avg(cast(e <= 0.5 as int)) as w1, avg(cast(e <= 1.0 as int)) as w2, avg(cast(e <= 1.5 as int)) as w3, min(e) filter (where k >= ceil(0.99 * (n - 1)) + 1) as q from e group by 1),
+      sc as (select subset, y_pred as x, count(*) filter (where y_true >= 3) as pos, count(*) filter (where y_true < 3) as neg from s group by 1, 2), su as (select *, sum(pos) over o as tp, sum(neg) over o as fp, sum(pos) over (partition by subset) as np, sum(neg) over (partition by subset) as nn from sc window o as (partition by subset order by x desc)),
+      au as (select subset, sum(neg * (tp - pos / 2)) / max(np * nn) as auc, sum(tp / (tp + fp) * pos) / max(np) as aupr from su group by 1),
+      pt as (select subset, y_true as y, y_pred as q, count(*) as n from s group by all),
+      ci as (select a.subset, sum(a.n * b.n * case when a.q = b.q then 0.5e0 when a.q < b.q then 1e0 else 0e0 end) / sum(a.n * b.n) as ci from pt a join pt b on a.subset = b.subset and a.y < b.y group by 1)
+      select subset, n, round(sqrt(sse / n), 6) as rmse, round(sse / n, 6) as mse, round(sae / n, 6) as mae, round(1 - sse / syy, 6) as r2, round(bias, 6) as bias, round(pearson, 6) as pearson, round(spearman, 6) as spearman, round(k, 6) as k, round(ki, 6) as k_inverse, round(r0, 6) as r02, round(ri, 6) as r02_inverse,
+        round(a, 6) as rm2, round(b, 6) as rm2_inverse, round((a + b) / 2, 6) as rm2_mean, round(abs(a - b), 6) as rm2_delta, round(w1, 6) as within_0_5, round(w2, 6) as within_1_0, round(w3, 6) as within_1_5, round(q, 6) as ae_q99, round(ci, 6) as ci, round(auc, 6) as auc, round(aupr, 6) as aupr, 0e0 as pearson_p, 0e0 as spearman_p, 0.99e0 as q_used
+      from w join sp using (subset) join es using (subset) join au using (subset) join ci using (subset)""",
+)
 def h17(spark, d):
     return rounded(metrics.metric_pack(frame(spark, d, "P"), "y_true", "y_pred", 3.0, "endpoint"))
 
@@ -652,13 +667,23 @@ def i06(spark, d):
 
 @query(
     "i07_selective",
-    "with t as (select unnest([0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0]) as threshold), h as (select threshold, y_true as y, y_pred as q, avg(y_true) over (partition by threshold) as m from t join p on sigma <= threshold) select threshold, count(*) as accepted, round(count(*) / (select count(*) from p ), 6) as coverage, round(1 - count(*) / (select count(*) from p ), 6) as reject_rate, round(sqrt(avg((y - q) ** 2)), 6) as rmse, round(1 - sum((y - q) ** 2) / sum((y - m) ** 2), 6) as r2 from h group by 1",
+    """with t as (select unnest([0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0]) as threshold), h as (select threshold, y_true as y, y_pred as q, abs(y_true - y_pred) as e, avg(y_true) over (partition by threshold) as m, row_number() over (partition by threshold order by abs(y_true - y_pred)) as k, count(*) over (partition by threshold) as n from t join p on sigma <= threshold)
+      select threshold, count(*) as accepted, (select count(*) from p ) as total, round(count(*) / (select count(*) from p ), 6) as coverage, round(1 - count(*) / (select count(*) from p ), 6) as reject_rate, round(sqrt(avg((y - q) ** 2)), 6) as rmse, round(1 - sum((y - q) ** 2) / sum((y - m) ** 2), 6) as r2, round(min(e) filter (where k >= ceil(0.99 * (n - 1)) + 1), 6) as ae_q99 from h group by 1""",
 )
 def i07(spark, d):
     grid = spark.range(1, 6).select((F.col("id") / 10).alias("threshold"))
     return rounded(conformal.selective_table(frame(spark, d, "P"), grid, "y_true", "y_pred", "sigma"))
 
 
+@query(
+    "i08_curve",
+    """with q as (select unnest(quantile_cont(sigma, [0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0])) as threshold from p union all select quantile_cont(sigma, 0.95) from p), t as (select distinct threshold from q where threshold not in (select quantile_cont(sigma, 0.0) from p))
+      select round(threshold, 6) as threshold, count(*) as accepted, round(sqrt(avg((y_true - y_pred) ** 2)), 6) as rmse from t join p on sigma <= threshold group by t.threshold""".replace("[0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0]", "[" + ", ".join(repr(0.95 * (k + 1) / 19) for k in range(18)) + "]"),
+)
+def i08_curve(spark, d):
+    return rounded(conformal.selective_curve(frame(spark, d, "P"), "y_true", "y_pred", "sigma").select("threshold", "accepted", "rmse"))
+
+
 @query("i08_err_max", "select unnest([0.5e0, 0.8e0, 0.95e0]) as target, round(unnest(quantile_cont(sigma, [0.5, 0.8, 0.95])), 6) as err_max from p ")
 def i08(spark, d):
     return rounded(conformal.err_max_for_coverage(frame(spark, d, "P"), "sigma", [0.5, 0.8, 0.95]))
@@ -751,8 +776,16 @@ def j08(spark, d):
     return split.check_split(split.random_split(frame(spark, d, "G").select("row_key"), "row_key", 0.2, 5313), "row_key")
 
 
-@query("j09_fingerprint")
+@query("j09_fingerprint", "select count(*) as n, true as same from g ")
 def j09(spark, d):
+    rows = split.random_split(frame(spark, d, "G").select("row_key"), "row_key", 0.2, 5313)
+    a, b = split.fingerprint(rows, ["row_key", "split"]), split.fingerprint(rows.repartition(5), ["row_key", "split"])
+    both = a.crossJoin(b.select(F.col("sum_hash").alias("s"), F.col("xor_hash").alias("x")))  # one row each
+    return both.select("n", ((F.col("sum_hash") == F.col("s")) & (F.col("xor_hash") == F.col("x"))).alias("same"))
+
+
+@query("j09_digest")
+def j09_digest(spark, d):
     return split.fingerprint(split.random_split(frame(spark, d, "G").select("row_key"), "row_key", 0.2, 5313), ["row_key", "split"])
 
 
@@ -773,7 +806,7 @@ def k03(spark, d):
 
 # --- L: text ---------------------------------------------------------------------------------------------------------
 
-_GRAMS = "gr as (select doc_id, substr(seq, cast(i as int), 3) as term from t , range(1, 199) r(i) where i <= length(seq) - 2), tf as (select doc_id, term, count(*) as tf from gr group by 1, 2), df as (select term, count(*) as df, sum(tf) as total from tf group by 1)"
+_GRAMS = "gr as (select doc_id, substr(seq, cast(i as int), 3) as term from (select doc_id, seq, unnest(generate_series(1, length(seq) - 2)) as i from t )), tf as (select doc_id, term, count(*) as tf from gr group by 1, 2), df as (select term, count(*) as df, sum(tf) as total from tf group by 1)"
 
 
 @query("l03_vocabulary", f"with {_GRAMS} select term, df, cast(total as bigint) as total from df where df >= 2 order by total desc, term limit 1000")
@@ -788,37 +821,36 @@ def l04(spark, d):
     return rounded(text.tfidf(counts, text.fit_vocabulary(counts, 2), t.agg(F.count("*").alias("n")), "doc_id"))
 
 
-@query("l02_token_counts", r"with k as (select doc_id, unnest(string_split_regex(trim(substr(text, 1, 400)), '\s+')) as term from t ), tf as (select doc_id, term, count(*) as tf from k where term <> '' group by 1, 2), df as (select term from tf group by 1 having count(*) >= 2) select doc_id, term, round(tf / sqrt(sum(tf * tf) over (partition by doc_id)), 6) as weight from tf join df using (term)")
+@query("l02_token_counts", r"with k as (select doc_id, unnest(string_split_regex(trim(text), '\s+')) as term from t ), tf as (select doc_id, term, count(*) as tf from k where term <> '' group by 1, 2), df as (select term from tf group by 1 having count(*) >= 2) select doc_id, term, round(tf / sqrt(sum(tf * tf) over (partition by doc_id)), 6) as weight from tf join df using (term)")
 def l02(spark, d):
-    counts = text.term_counts(frame(spark, d, "T"), "doc_id", text.token_ngrams(F.substring("text", 1, 400)))
+    counts = text.term_counts(frame(spark, d, "T"), "doc_id", text.token_ngrams("text"))
     return rounded(text.count_vectors(counts, text.fit_vocabulary(counts, 2), "doc_id"))
 
 
-@query("l07_encode", "select doc_id, length(seq) as n, greatest(length(seq) - 100, 0) as n_truncated, 0 as n_unknown, list_aggregate(list_transform(string_split(substr(seq, 1, 5), ''), lambda x: ascii(x) - 63), 'string_agg', ',') as head from t where length(seq) >= 5")
+@query("l07_encode", "select doc_id, length(seq) as n, greatest(length(seq) - 100, 0) as n_truncated, 0 as n_unknown, coalesce(list_aggregate(list_transform(list_filter(string_split(rpad(substr(seq, 1, 5), 5, '0'), ''), lambda x: x <> ''), lambda x: greatest(ascii(x) - 63, 0)), 'string_agg', ','), '') as head from t ")
 def l07(spark, d):
-    t = frame(spark, d, "T").where("length(seq) >= 5")
+    t = frame(spark, d, "T")
     out = text.encode_chars(t, "seq", text.char_vocabulary(t, "seq"), 100)
     return out.select("doc_id", F.length("seq").alias("n"), "n_truncated", "n_unknown", F.array_join(F.transform(F.slice("codes", 1, 5), lambda x: x.cast("string")), ",").alias("head"))
 
 
 @query(
     "l08_nearest",
-    """with u as (select seq, min(doc_id) as doc_id from t where doc_id % 50 <> 0 group by 1), gr as (select doc_id, substr(seq, cast(i as int), 3) as term from u, range(1, 199) r(i) where i <= length(seq) - 2), tf as (select doc_id, term, count(*) as tf from gr group by 1, 2), df as (select term, count(*) as df, sum(tf) as total from tf group by 1 order by total desc, term limit 8192), n as (select count(*) as n from u),
+    """with u as (select seq, min(doc_id) as doc_id, count(*) as copies from t group by 1), gr as (select doc_id, substr(seq, cast(i as int), 3) as term from (select doc_id, seq, unnest(generate_series(1, length(seq) - 2)) as i from u)), tf as (select doc_id, term, count(*) as tf from gr group by 1, 2), df as (select term, count(*) as df, sum(tf) as total from tf group by 1 order by total desc, term limit 8192), n as (select count(*) as n from u),
       rw as (select tf.doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term), n), rn as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from rw),
-      qg as (select doc_id, substr(seq, cast(i as int), 3) as term from t , range(1, 199) r(i) where doc_id % 50 = 0 and i <= length(seq) - 2), qt as (select doc_id, term, count(*) as tf from qg group by 1, 2), qw as (select qt.doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from qt join df using (term), n), qn as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from qw),
-      c as (select q.doc_id, r.doc_id as ref, sum(q.w * r.w) as c from qn q join rn r using (term) group by 1, 2), b as (select doc_id, max(c) as c from c group by 1)
-      select t.doc_id, round(case when exists(select 1 from u where u.seq = t.seq) then 1e0 else least(1e0, coalesce(b.c, 0e0)) end, 6) as similarity from t left join b using (doc_id) where doc_id % 50 = 0""",
+      own as (select t.doc_id, u.doc_id as own, copies from t join u on t.seq = u.seq where t.doc_id % 50 = 0),
+      c as (select own.doc_id, r.doc_id as ref, sum(q.w * r.w) as c from own join rn q on q.doc_id = own.own join rn r using (term) where r.doc_id <> own.own group by 1, 2), b as (select doc_id, max(c) as c from c group by 1)
+      select doc_id, round(case when copies > 1 then 1e0 else least(1e0, coalesce(b.c, 0e0)) end, 6) as similarity from own left join b using (doc_id)""",
 )
 def l08(spark, d):
     t = frame(spark, d, "T").select("doc_id", "seq")
-    return rounded(text.nearest_similarity(t.where("doc_id % 50 = 0"), t.where("doc_id % 50 <> 0"), "doc_id", "seq").select("doc_id", "similarity"))
+    return rounded(text.nearest_similarity(t.where("doc_id % 50 = 0"), t, "doc_id", "seq", others=True).select("doc_id", "similarity"))
 
 
 @query("l09_subwords")
 def l09(spark, d):
     t = frame(spark, d, "T").select("doc_id", "text")
-    merges = text.learn_subwords(t, "text", 20)
-    return t.select("doc_id", F.size(text.apply_subwords("text", merges)).alias("n_subwords"))
+    return text.apply_subwords(t, "text", text.learn_subwords(t, "text", 20)).select("doc_id", F.size("subwords").alias("n_subwords"))
 
 
 # --- N, Q: drift and checks ------------------------------------------------------------------------------------------
@@ -838,11 +870,25 @@ def n01(spark, d):
     "n05_numeric_shift",
     """with v as (select y_true as x, count(*) filter (where dataset = 'random_validation') as a, count(*) filter (where dataset = 'temporal') as b from p group by 1), c as (select x, sum(a) over (order by x) / sum(a) over () - sum(b) over (order by x) / sum(b) over () as gap, lead(x) over (order by x) as nx from v),
       w as (select max(abs(gap)) as ks, sum(abs(gap) * (nx - x)) as wd from c),
-      s as (select count(*) filter (where dataset = 'random_validation') as na, count(*) filter (where dataset = 'temporal') as nb, avg(y_true) filter (where dataset = 'random_validation') as ma, avg(y_true) filter (where dataset = 'temporal') as mb, stddev_samp(y_true) filter (where dataset = 'random_validation') as sa, stddev_samp(y_true) filter (where dataset = 'temporal') as sb, quantile_cont(y_true, 0.5) filter (where dataset = 'random_validation') as da, quantile_cont(y_true, 0.5) filter (where dataset = 'temporal') as db, var_pop(y_true) filter (where dataset = 'random_validation') as va, var_pop(y_true) filter (where dataset = 'temporal') as vb from p )
+      s as (select count(*) filter (where dataset = 'random_validation') as na, count(*) filter (where dataset = 'temporal') as nb, avg(y_true) filter (where dataset = 'random_validation') as ma, avg(y_true) filter (where dataset = 'temporal') as mb, stddev_pop(y_true) filter (where dataset = 'random_validation') as sa, stddev_pop(y_true) filter (where dataset = 'temporal') as sb, quantile_cont(y_true, 0.5) filter (where dataset = 'random_validation') as da, quantile_cont(y_true, 0.5) filter (where dataset = 'temporal') as db, var_pop(y_true) filter (where dataset = 'random_validation') as va, var_pop(y_true) filter (where dataset = 'temporal') as vb from p )
       select 'y_true' as variable, na as n_a, round(ma, 6) as mean_a, round(sa, 6) as sd_a, round(da, 6) as median_a, nb as n_b, round(mb, 6) as mean_b, round(sb, 6) as sd_b, round(db, 6) as median_b, round((mb - ma) / sqrt((va + vb) / 2), 6) as smd, round(ks, 6) as ks, round(wd, 6) as wasserstein from s, w""",
 )
 def n05(spark, d):
-    return rounded(drift.numeric_shift(frame(spark, d, "P"), "dataset", "random_validation", "temporal", ["y_true"]))
+    return rounded(drift.numeric_shift(frame(spark, d, "P"), "dataset", "random_validation", "temporal", ["y_true"]).drop("ks_p"))
+
+
+@query(
+    "n05_shift_by_endpoint",
+    """with q as (select endpoint, dataset, compound, min(y_true) as y from p group by 1, 2, 3 union all select 'overall', dataset, compound, min(y_true) from p group by 2, 3),
+      k as (select endpoint as subset, y, count(*) filter (where dataset = 'random_validation') as a, count(*) filter (where dataset = 'temporal') as b from q group by 1, 2),
+      c as (select subset, abs(sum(a) over o / sum(a) over (partition by subset) - sum(b) over o / sum(b) over (partition by subset)) as gap from k window o as (partition by subset order by y)),
+      m as (select subset, max(gap) as ks from c group by 1)
+      select 'y_true' as variable, endpoint as subset, count(*) filter (where dataset = 'random_validation') as n_a, round(avg(y) filter (where dataset = 'random_validation'), 6) as mean_a, round(stddev_pop(y) filter (where dataset = 'random_validation'), 6) as sd_a,
+        count(*) filter (where dataset = 'temporal') as n_b, round(quantile_cont(y, 0.5) filter (where dataset = 'temporal'), 6) as median_b, round(ks, 6) as ks from q join m on subset = endpoint group by endpoint, ks""",
+)
+def n05_by(spark, d):
+    out = drift.numeric_shift(frame(spark, d, "P"), "dataset", "random_validation", "temporal", ["y_true"], basis="compound", by="endpoint")
+    return rounded(out.select("variable", "subset", "n_a", "mean_a", "sd_a", "n_b", "median_b", "ks"))
 
 
 @query(
@@ -877,9 +923,10 @@ def a05(spark, d):
     return measurements.load_scored(p, "y_true", "y_pred", "sigma", "endpoint")[0].select("uid", "endpoint", "y_true", "y_pred", "sigma")
 
 
-@query("a10_manifest")
+@query("a10_manifest", "with s as (select endpoint, quantile_cont(y_true, [0.05, 0.5, 0.95]) as q from p group by 1) select endpoint, round(q[1], 6) as q05, round(q[2], 6) as q50, round(q[3], 6) as q95 from s")
 def a10(spark, d):
-    return measurements.manifest(agg.quantile_spec(frame(spark, d, "P"), "y_true", ["endpoint"]))
+    told = measurements.manifest(agg.quantile_spec(frame(spark, d, "P"), "y_true", ["endpoint"]))
+    return rounded(told.select(F.from_json("json", "endpoint string, q05 double, q50 double, q95 double").alias("x")).select("x.*"))
 
 
 @query("a11_row_key", """select sha256(cast(uid as varchar) || chr(31) || endpoint) as row_key from p """)
@@ -927,6 +974,54 @@ def m08(spark, d):
     return rounded(scored.select("doc_id", "y_pred", "err_bound", "pred_lo", "pred_hi", "accepted", "prob_strong"))
 
 
+@query("m01_scale_target", f"with s as (select row_key, y, row_number() over (order by {_H}, row_key) > ceil(count(*) over () * 0.2) as train from g ), m as (select avg(y) as m, stddev_pop(y) as sd from s where train) select row_key, round((y - m) / sd, 6) as y_scaled from s, m")
+def m01(spark, d):
+    rows = split.random_split(frame(spark, d, "G").select("row_key", "y"), "row_key", 0.2, 5313)
+    return rounded(model.scale_target(rows, "y")[0].select("row_key", "y_scaled"))
+
+
+@query("m03_ridge_one_feature", f"with s as (select y as x, w * 1e0 as y, row_number() over (order by {_H}, row_key) > ceil(count(*) over () * 0.2) as train from g ), m as (select avg(x) as mx, avg(y) as my from s where train), f as (select sum((x - mx) * (y - my)) / (sum((x - mx) ** 2) + 1) as b, max(my) as my, max(mx) as mx from s, m where train) select round(b, 6) as slope, round(my - b * mx, 6) as intercept from f")
+def m03_one(spark, d):
+    rows = split.random_split(frame(spark, d, "G").select("row_key", F.col("y").alias("x"), F.col("w").cast("double").alias("y")), "row_key", 0.2, 5313).withColumn("one", F.lit(1.0))
+    fitted = model.fit_ridge(model.assemble(rows, ["x"]), "y", "one")
+    return rounded(rows.agg(F.lit(float(fitted.coefficients[0])).alias("slope"), F.lit(float(fitted.intercept)).alias("intercept")))
+
+
+@query("m05_sigma")
+def m05(spark, d):
+    rows = model.assemble(_model_frame(spark, d), ["n_a", "n_e", "n_seq"])
+    scored = written(model.fit_ridge(rows, "y", "w").transform(rows).select("doc_id", "y", "prediction", "features"))
+    return rounded(model.predict_sigma(scored, model.fit_sigma(scored, "y", "prediction", least=100), "prediction").select("doc_id", "sigma"))
+
+
+@query("m06_by_endpoint")
+def m06(spark, d):
+    rows = model.assemble(_model_frame(spark, d).where("endpoint is not null"), ["n_a", "n_e", "n_seq"])
+    fitted, out = model.fit_by_endpoint(rows, "endpoint", "y", "w"), None
+    for name, m in fitted.items():
+        part = metrics.regression_metrics(m.transform(rows.where(F.col("endpoint") == name)), "y", "prediction").select(F.lit(name).alias("endpoint"), "n", "rmse", "r2")
+        out = part if out is None else out.union(part)
+    return rounded(out)
+
+
+@query("m09_bundle")
+def m09(spark, d):
+    """A ridge and its calibration, saved, loaded and applied."""
+    from pyspark.ml.regression import LinearRegressionModel
+
+    rows, path = model.assemble(_model_frame(spark, d), ["n_a", "n_e", "n_seq"]), shared_path(spark)
+    first = model.fit_ridge(rows, "y", "w")
+    model.save_bundle(first, conformal.fit_affine(first.transform(rows), "y", "prediction"), path)
+    again, calibration = model.load_bundle(spark, path, LinearRegressionModel)
+    return rounded(metrics.regression_metrics(again.transform(rows), "y", "prediction").crossJoin(calibration.select("a", "b")))  # one row each
+
+
+@query("m10_importance")
+def m10(spark, d):
+    rows = _model_frame(spark, d).select("doc_id", "y", "n_a", "n_e", "n_seq")
+    return rounded(model.grouped_importance(rows, {"letters": ["n_a", "n_e"], "size": ["n_seq"]}, "y", "doc_id", repeats=1))
+
+
 @query("m11_compare_runs", "with s as (select dataset, sqrt(avg((y_true - y_pred) ** 2)) as rmse, avg(abs(y_true - y_pred)) as mae from p group by 1), w as (select 'rmse' as metric, max(rmse) filter (where dataset = 'random_validation') as a, max(rmse) filter (where dataset = 'temporal') as b from s union all select 'mae', max(mae) filter (where dataset = 'random_validation'), max(mae) filter (where dataset = 'temporal') from s) select metric, round(a, 6) as a, round(b, 6) as b, round(a - b, 6) as gain from w")
 def m11(spark, d):
     long = metrics.regression_metrics(frame(spark, d, "P"), "y_true", "y_pred", "dataset").unpivot(["subset"], ["rmse", "mae"], "metric", "value")
@@ -935,17 +1030,81 @@ def m11(spark, d):
 
 @query(
     "n07_enrich",
-    """with r as (select * from p where dataset = 'random_validation'), q as (select endpoint, quantile_cont(y_true, [0.05, 0.25, 0.5, 0.75, 0.95]) as q from r group by 1)
-      select uid, case when compound in (select compound from r) then 'seen' else 'novel_scaffold' end as novelty, case when (compound, target) in (select (compound, target) from r) then true else false end as seen_pair,
-        case when y_true < q[1] then '<q05' when y_true < q[2] then 'q05-q25' when y_true < q[3] then 'q25-q50' when y_true < q[4] then 'q50-q75' when y_true <= q[5] then 'q75-q95' else '>q95' end as bin from p left join q using (endpoint) where dataset = 'temporal'""",
+    """with r as (select * from p where dataset = 'random_validation' and target <> 'click'), q as (select endpoint, quantile_cont(y_true, [0.05, 0.25, 0.5, 0.75, 0.95]) as q from r group by 1),
+      u as (select distinct target as s from r), gr as (select s, substr(s, cast(i as int), 3) as term from (select s, unnest(generate_series(1, length(s) - 2)) as i from u)), tf as (select s, term, count(*) as tf from gr group by 1, 2), df as (select term, count(*) as df from tf group by 1), n as (select count(*) as n from u),
+      rw as (select s, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term), n), rn as (select s, term, w / sqrt(sum(w * w) over (partition by s)) as w from rw),
+      qt as (select s, term, count(*) as tf from (select s, substr(s, cast(i as int), 3) as term from (select s, unnest(generate_series(1, length(s) - 2)) as i from (select distinct target as s from p where dataset = 'temporal'))) group by 1, 2),
+      qw as (select s, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from qt join df using (term), n), qn as (select s, term, w / sqrt(sum(w * w) over (partition by s)) as w from qw),
+      b as (select s, max(c) as c from (select a.s, b.s as o, sum(a.w * b.w) as c from qn a join rn b using (term) group by 1, 2) group by 1),
+      f as (select p.*, compound in (select compound from r) as sc, target in (select target from r) as st, case when target in (select s from u) then 1e0 else least(1e0, coalesce(b.c, 0e0)) end as sim from p left join b on b.s = p.target where dataset = 'temporal')
+      select uid, case when sc then 'seen' when y_true > 4 then 'acyclic' else 'novel_scaffold' end as compound_novelty, case when st then 'seen' when sim >= 0.9 then '>=0.90' when sim >= 0.7 then '>=0.70' else 'low' end as target_novelty, exists(select 1 from r where r.compound = f.compound and r.target = f.target) as seen_pair, round(sim, 6) as similarity, length(target) as target_length,
+        case when y_true < q[1] then '<q05' when y_true < q[2] then 'q05-q25' when y_true < q[3] then 'q25-q50' when y_true < q[4] then 'q50-q75' when y_true <= q[5] then 'q75-q95' when q is not null then '>q95' end as px_bin, round(abs(y_true - q[3]) / greatest(q[4] - q[2], 1e-8), 6) as px_distance from f left join q using (endpoint)""",
 )
 def n07(spark, d):
-    p = frame(spark, d, "P")
-    ref, new = p.where("dataset = 'random_validation'"), p.where("dataset = 'temporal'")
-    out = joins.seen_flag(joins.seen_flag(new, ref, ["compound"], "seen"), ref, ["compound", "target"], "seen_pair")
-    out = out.join(F.broadcast(agg.quantile_spec(ref, "y_true", ["endpoint"])), "endpoint", "left")
-    none = F.lit(False)
-    return out.select("uid", X.novelty_label("seen", F.lit(True), none, none).alias("novelty"), "seen_pair", X.quantile_bin_label("y_true", F.struct("q05", "q25", "q50", "q75", "q95")).alias("bin"))
+    p = frame(spark, d, "P").withColumns({"sequence": F.col("target"), "acyclic": F.col("y_true") > 4})
+    out = drift.enrich(p.where("dataset = 'temporal'"), p.where("dataset = 'random_validation' and target <> 'click'"), "compound", "target", "endpoint", "y_true", "sequence", acyclic="acyclic")
+    return rounded(out.select("uid", "compound_novelty", "target_novelty", "seen_pair", "similarity", "target_length", "px_bin", "px_distance"))
+
+
+@query(
+    "f20_summary",
+    """with v as (select *, abs(y_true - y_pred) as e from p ), m as (select avg(y_true) as my from p )
+      select 'counts' as section, unnest(['rows', 'valid', 'with_interval', 'with_sigma']) as name, cast(unnest([count(*), count(*), count(*) filter (where uid % 3 <> 0), count(*)]) as double) as value from v
+      union all select 'abs_error', unnest(['mean', 'q50', 'q90', 'q95']), round(unnest([avg(e), quantile_cont(e, 0.5), quantile_cont(e, 0.9), quantile_cont(e, 0.95)]), 6) from v
+      union all select 'half_width', unnest(['mean', 'q50', 'q90', 'q95']), round(unnest([avg(sigma), quantile_cont(sigma, 0.5), quantile_cont(sigma, 0.9), quantile_cont(sigma, 0.95)]), 6) from v where uid % 3 <> 0
+      union all select 'sigma', unnest(['mean', 'q50', 'q90', 'q95']), round(unnest([avg(sigma), quantile_cont(sigma, 0.5), quantile_cont(sigma, 0.9), quantile_cont(sigma, 0.95)]), 6) from v
+      union all select 'metrics', unnest(['rmse', 'mae', 'r2', 'bias', 'pearson']), round(unnest([sqrt(avg(e * e)), avg(e), 1 - sum(e * e) / sum((y_true - my) ** 2), avg(y_pred - y_true), corr(y_true, y_pred)]), 6) from v, m
+      union all select 'endpoint', endpoint, cast(count(*) as double) from v group by 2 union all select 'split', dataset, cast(count(*) as double) from v group by 2""",
+)
+def f20(spark, d):
+    p = frame(spark, d, "P").withColumns({"lo": F.col("y_pred") - F.col("sigma"), "hi": F.when(F.col("uid") % 3 != 0, F.col("y_pred") + F.col("sigma"))})
+    return rounded(metrics.prediction_summary(p, "y_true", "y_pred", "sigma", "lo", "hi", "endpoint", "dataset"))
+
+
+@query(
+    "b24_export",
+    f"""with s as (select *, abs((3.0 - y_pred) / sigma) / sqrt(2e0) as z from p ), e as (select *, case when y_pred <= 3.0 then 0.5 * {_ERFC} else 1 - 0.5 * {_ERFC} end as q from s)
+      select uid, round(abs(y_true - y_pred), 6) as abs_err, round(y_pred - 1.6448536269514722 * sigma, 6) as pred_lo, round(y_pred + 1.6448536269514722 * sigma, 6) as pred_hi, round(q, 5) as prob_strong, cast(q >= 0.5 as int) as label from e""",
+)
+def b24(spark, d):
+    out = metrics.export_predictions(frame(spark, d, "P"), "y_true", "y_pred", "sigma", 3.0)
+    return rounded(out.select("uid", "abs_err", "pred_lo", "pred_hi", F.round("prob_strong", 5).alias("prob_strong"), "label"))
+
+
+@query("g10_sorted", "select uid, endpoint, y_true from p ")
+def g10(spark, d):
+    return order.sort_output(frame(spark, d, "P"), "uid", "endpoint").select("uid", "endpoint", "y_true")
+
+
+@query("j10_restrict", f"select row_key, endpoint, case when k <= ceil(n * 0.2) then 'valid' else 'train' end as split from (select row_key, endpoint, row_number() over (order by {_H}, row_key) as k, count(*) over () as n from g ) where endpoint = '1-URGENT'")
+def j10(spark, d):
+    return split.restrict(split.random_split(frame(spark, d, "G").select("row_key", "endpoint"), "row_key", 0.2, 5313), "endpoint", "1-URGENT")
+
+
+@query("j11_membership", f"with {_STRATA} select g.row_key, g.endpoint, case when sel.row_key is not null then 'calibration' else 'evaluation' end as subset from g left join sel on g.row_key = sel.row_key")
+def j11(spark, d):
+    return split.membership(split.calibration_split(frame(spark, d, "G"), "row_key", "endpoint", "y", 0.5, 5313), "row_key", "endpoint")
+
+
+@query("j02_group_columns", "select count(distinct compound) as n_compound, count(distinct target) as n_protein, count(distinct (compound, target)) as n_pair from m ")
+def j02(spark, d):
+    m = frame(spark, d, "M")
+    sizes = [m.select(*split.group_columns(k, "compound", "target")).distinct().agg(F.count("*").alias(f"n_{k}")) for k in ("compound", "protein", "pair")]
+    return sizes[0].crossJoin(sizes[1]).crossJoin(sizes[2])  # one row each
+
+
+@query("j08_nested", f"with r as (select row_key, row_number() over (order by {_H}, row_key) as k, count(*) over () as n from g ) select count(*) filter (where k <= ceil(n * 0.1)) as n_small, count(*) filter (where k <= ceil(n * 0.2)) as n_large, 0 as n_outside, true as ok from r")
+def j08_nested(spark, d):
+    g = frame(spark, d, "G").select("row_key")
+    part = lambda f: split.random_split(g, "row_key", f, 5313).where("split = 'valid'")
+    return split.check_nested(part(0.1), part(0.2), "row_key")
+
+
+@query("b11_signed", "select o_orderkey, case o_orderkey % 4 when 0 then '=' when 1 then '>' when 2 then '<=' else '=' end || cast(floor(o_totalprice) as bigint) as told from orders")
+def b11(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    sign = F.element_at(F.array(F.lit(""), F.lit(">"), F.lit("<="), F.lit("missing")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", X.format_signed(sign, F.floor("o_totalprice").cast("double"), 9).alias("told"))
 
 
 @query("q01_metrics", "select subset, round(sqrt(avg(e)), 6) as found, round(sqrt(avg(e)) + 1, 6) as expected, 1e0 as difference, false as ok from (select 'overall' as subset, (y_true - y_pred) ** 2 as e from p union all select endpoint, (y_true - y_pred) ** 2 from p ) group by 1")
@@ -959,3 +1118,50 @@ def q03(spark, d):
     p = frame(spark, d, "P").withColumns({"half": 1.5 * F.col("sigma"), "subset": F.when(F.col("uid") % 2 == 1, "evaluation").otherwise("calibration")})
     table = metrics.coverage_metrics(p.where("subset = 'evaluation'"), "y_true", "y_pred", "half", F.lit(0.9), ["endpoint"])
     return verify.verify_conformal(p.drop("subset"), p.select("uid", "endpoint", "subset"), table, "uid", "endpoint", "y_true", "y_pred", "half")
+
+
+@query(
+    "a01_delimited",
+    """select o_orderkey as order_key, case o_orderkey % 3 when 0 then '>' || cast(o_orderkey as varchar) when 1 then null else cast(o_orderkey as varchar) end as reading, o_orderpriority as kind from orders where o_orderkey % 7 <> 0""",
+)
+def a01(spark, d):
+    """Orders written as a tab-separated file, in which every seventh line has a field too many, read back."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    reading = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(">"), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 3 == 1, "").otherwise(F.col("o_orderkey").cast("string"))
+    line = F.concat_ws("\t", F.col("o_orderkey").cast("string"), reading, F.concat(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 7 == 0, "\textra").otherwise("")))
+    path = shared_path(spark)
+    spark.range(1).select(F.lit("key\tKi (nM)\tkind").alias("value")).unionAll(o.select(line.alias("value"))).coalesce(1).write.text(path)
+    good, _ = measurements.read_measurements(spark, path, {"key": "order_key", "Ki (nM)": "reading", "kind": "kind"})
+    return good.withColumn("order_key", F.col("order_key").cast("long"))
+
+
+@query("a04_predictions", "select cast(uid as varchar) as compound, target, endpoint, y_true, y_pred from p where uid % 6 <> 0")
+def a04(spark, d):
+    """Scored rows written as CSV under other names, with labels that are no number, read back."""
+    p, path = frame(spark, d, "P"), shared_path(spark)
+    label = F.when(F.col("uid") % 6 == 0, "n/a").otherwise(F.col("y_true").cast("string"))
+    p.select(F.col("uid").cast("string").alias("SMILES"), F.col("target").alias("Protein"), F.col("endpoint").alias("affinity_type"), label.alias("affinity_value"), F.col("y_pred").alias("pred_pX")).write.option("header", True).csv(path)
+    return measurements.read_predictions(spark, [path]).select("compound", "target", "endpoint", "y_true", "y_pred")
+
+
+@query("a07_table", "select uid, endpoint, cast(null as varchar) as note from p ")
+def a07(spark, d):
+    path = shared_path(spark)
+    measurements.write_table(frame(spark, d, "P"), ["uid", "endpoint", "note"], path)
+    return spark.read.parquet(path)
+
+
+@query("p01_stream", "select endpoint, count(*) as n, round(avg(abs(y_true - y_pred)), 6) as mae from p group by 1")
+def p01(spark, d):
+    """The scored rows as a file stream, each scored once, then summed up."""
+    p, path = frame(spark, d, "P").select("uid", "endpoint", "y_true", "y_pred"), shared_path(spark)
+    p.write.parquet(f"{path}/in")
+    scoring.score_stream(spark, f"{path}/in", p.schema, "uid", lambda b: b.withColumn("error", F.abs(F.col("y_true") - F.col("y_pred"))), f"{path}/out", f"{path}/mark")
+    return rounded(spark.read.parquet(f"{path}/out").groupBy("endpoint").agg(F.count("*").alias("n"), F.avg("error").alias("mae")))
+
+
+@query("p02_windowed_errors", "select cast(date_trunc('day', ts) as varchar) as day, event_type, count(*) as n, round(avg(value), 6) as mean_error from events group by 1, 2")
+def p02(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    out = scoring.windowed_errors(rows, "ts", "event_type", "value")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("mean_error", 6).alias("mean_error"))

@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.expr import finite, normalize_endpoint
 
-#: Fixed lists: names a logical column goes by, best first.
+#: Names a logical column goes by, best first.
 ALIASES = {
-    "compound": ["smiles_norm", "smiles", "compound", "ligand"],
-    "target": ["protein_clean", "protein", "sequence", "target"],
-    "endpoint": ["affinity_type", "endpoint", "type"],
-    "y_true": ["y_true", "affinity_value", "label", "y"],
+    "compound": ["smiles_norm", "canonical_smiles", "canonical_smiles_norm", "smiles", "SMILES"],
+    "target": ["protein_clean", "protein_sequence", "target_sequence", "protein", "sequence"],
+    "endpoint": ["affinity_type", "endpoint", "endpoint_type", "measure_type", "metric"],
+    "y_true": ["y_true", "affinity_value", "observed_px", "observed_pX", "px_true", "label"],
+    "y_pred": ["y_pred", "y_pred_raw", "pred_pX", "pred_final", "prediction", "predicted_px", "predicted_pX", "pred"],
+}
+#: Further names that this library takes, after those.
+for _name, _more in {"compound": ["compound", "ligand"], "target": ["target"], "endpoint": ["type"], "y_true": ["y"]}.items():
+    ALIASES[_name] += _more
+#: Names that predictions and their uncertainty go by in scored tables, best first.
+SCORED = {
     "y_pred": ["y_pred_calibrated", "y_pred", "pred_pX", "prediction", "pred"],
-    "sigma": ["sigma", "pred_sigma", "std"],
+    "sigma": ["sigma", "pred_sigma", "sigma_pred", "std"],
     "lo": ["pred_lo", "lo", "lower"],
     "hi": ["pred_hi", "hi", "upper"],
+    "bound": ["err_bound", "error_bound", "bound"],
 }
 
 
@@ -42,13 +50,23 @@ def resolve_columns(columns: Sequence[str], aliases: dict[str, Sequence[str]] =
     return out
 
 
-def read_measurements(spark: SparkSession, path: str, colmap: dict[str, str], encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+def infer_columns(columns: Sequence[str], candidates: dict[str, Sequence[str]] = SCORED) -> dict[str, str | None]:
+    """What each role's column is called in a scored table, None where nothing fits; an interval needs both of its ends."""
+    found = resolve_columns(columns, candidates)
+    out = {role: found.get(role) for role in candidates}
+    if "lo" in out and "hi" in out and not (out["lo"] and out["hi"]):
+        out |= {"lo": None, "hi": None}
+    return out
+
+
+def read_measurements(spark: SparkSession, path: str, colmap: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(measurements, bad lines) of a tab-separated file without quotes; all columns are text, named as colmap says.
 
-    Columns are picked by the header, the first line. A tab or backslash after a backslash is part of a field. A line
+    Columns are picked by the header, the first line; lines equal to it head further files. A line that is not UTF-8 is
+    read as latin-1. A tab or backslash after a backslash is part of a field. A line
     with more or fewer fields than the header is bad; an empty field is null.
     """
-    lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    lines = spark.read.text(path).select(F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).alias("line"))
     head = lines.first()
     if head is None:
         raise ValueError(f"{path} has no header")
@@ -68,6 +86,7 @@ def read_predictions(spark: SparkSession, paths: Sequence[str], aliases: dict[st
     for path in paths:
         raw = spark.read.csv(path, header=True, mode="DROPMALFORMED")
         names = resolve_columns(raw.columns, aliases, ["compound", "target", "y_true", *(["y_pred"] if require_pred else [])])
+        names |= {n: c for n, c in infer_columns(raw.columns).items() if c and n in ("sigma", "lo", "hi")}
         rows = raw.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items()))
         if "endpoint" not in names:
             rows = rows.withColumn("endpoint", normalize_endpoint(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\..*$", "")))
@@ -81,7 +100,7 @@ def load_scored(df: DataFrame, y: str, p: str, sigma: str, endpoint: str, least:
     """(rows with finite label and prediction and a positive sigma, number removed); below ``least`` rows an error."""
     rows = df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in (y, p, sigma)})
     good = rows.where(finite(y, p, sigma) & (F.col(sigma) > 0) & F.col(endpoint).isNotNull())
-    n, kept = df.count(), good.count()
+    n, kept = df.agg(F.count("*"), F.count_if(finite(*(F.col(c).cast("string").try_cast("double") for c in (y, p, sigma))) & (F.col(sigma).cast("string").try_cast("double") > 0) & F.col(endpoint).isNotNull())).first()  # one scan
     if kept < least:
         raise ValueError(f"{kept} scored rows; {least} are needed")
     return good, n - kept

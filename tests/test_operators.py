@@ -28,7 +28,7 @@ def brute_ci(rows):
 
 @pytest.mark.parametrize("rows", [[(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], [(1.0, 3.0), (2.0, 2.0), (3.0, 1.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 3.0)], [(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 3.0), (3.0, 2.0)], [(1.0, 1.0), (1.0, 2.0)]])
 def test_concordance_cases(spark, rows):
-    got = one(metrics.concordance(spark.createDataFrame(rows, "y double, p double"), "y", "p", cells=3))
+    got = one(metrics.concordance(spark.createDataFrame(rows, "y double, p double"), "y", "p"))
     pairs, ci = brute_ci(rows)
     assert got.n_pairs == pairs and (got.ci is None if ci is None else math.isclose(got.ci, ci))
 
@@ -37,7 +37,7 @@ def test_concordance_random_and_symmetric(spark):
     rng = random.Random(3)
     rows = [(round(rng.random(), 1), round(rng.random(), 1)) for _ in range(200)]
     df = spark.createDataFrame(rows, "y double, p double")
-    got, mirrored = one(metrics.concordance(df, "y", "p", cells=5)), one(metrics.concordance(df.withColumn("p", -F.col("p")), "y", "p", cells=7))
+    got, mirrored = one(metrics.concordance(df, "y", "p")), one(metrics.concordance(df.withColumn("p", -F.col("p")), "y", "p"))
     assert math.isclose(got.ci, brute_ci(rows)[1]) and math.isclose(got.ci + mirrored.ci, 1.0)
 
 
@@ -148,5 +148,130 @@ def test_empty_tables(spark):
     assert text.term_counts(spark.createDataFrame([], "k int, t string"), "k", text.char_ngrams("t", 2, 3)).count() == 0
 
 
-def test_correlation_p_value():
-    assert math.isclose(metrics.correlation_p_value(0.5, 20), 0.02475, rel_tol=2e-2)
+def test_correlation_p(spark):
+    """Against numbers of Student's t: r = 0.5 and 20 rows, 2 degrees in closed form (p = 1 - |r|), r = 0 and 1."""
+    rows = spark.createDataFrame([(0.5, 20), (0.3, 4), (0.0, 10), (1.0, 5), (0.2, 2), (0.05, 100_000)], "r double, n long")
+    got = [x[0] for x in rows.select(metrics.correlation_p("r", "n")).collect()]
+    assert math.isclose(got[0], 0.02475, rel_tol=1e-3) and math.isclose(got[1], 0.7, rel_tol=1e-6) and got[2:5] == [1.0, 0.0, None] and got[5] < 1e-50
+
+
+def test_concordance_with_heavy_ties_by_subset(spark):
+    """A label and a prediction that fill buckets of their own; each subset against all pairs."""
+    rng = random.Random(8)
+    rows = [("a" if k % 3 else "b", 1.0 if rng.random() < 0.4 else round(rng.random() * 9, 2), 5.0 if rng.random() < 0.4 else round(rng.random() * 9, 1)) for k in range(900)]
+    got = {r.subset: r for r in metrics.concordance(spark.createDataFrame(rows, "g string, y double, p double"), "y", "p", "g").collect()}
+    for name, keep in (("overall", "ab"), ("a", "a"), ("b", "b")):
+        pairs, ci = brute_ci([r[1:] for r in rows if r[0] in keep])
+        assert got[name].n_pairs == pairs and math.isclose(got[name].ci, ci)
+
+
+def test_replicates_with_null_keys_and_odd_numbers(spark):
+    rows = [(None, 1, "k", 10.0, 1.0, "="), (None, 1, "k", 1000.0, 3.0, ">"), (None, 1, "k", 1000.0, 1.0, ">"), (2, None, "k", 5.0, 1.0, "<"), (2, None, "k", float("nan"), 1.0, "="), (3, 3, "k", 1.0, 1.0, "="), (3, 3, "k", 1e6, 1.0, "="), (3, 3, "d", 7.0, 1.0, "=")]
+    df = spark.createDataFrame(rows, "c int, t int, endpoint string, value double, weight double, sign string")
+    got = {(r.c, r.t): r for r in agg.aggregate_replicates(df, ["c", "t"]).collect()}
+    assert set(got) == {(None, 1), (2, None)}  # 3, 3 conflicts, in one endpoint and so in both
+    a, b = got[None, 1], got[2, None]
+    assert a.n == 3 and a.sign_set == "=|>" and a.sign == ">" and math.isclose(a.value, 10 + (0.5 - 0.2) / 0.8 * 990) and math.isclose(a.weight, 3 * (1 + math.log10(3)))
+    assert b.n == 2 and b.value == 5.0 and math.isclose(b.p_value, 9 - math.log10(5))
+
+
+def test_quantiles_by_group_with_nulls(spark):
+    rows = [("a", float(k)) for k in range(10)] + [(None, 4.0), (None, 5.0), ("b", None)]
+    got = {r.g: r.q for r in order.quantiles(spark.createDataFrame(rows, "g string, x double"), "x", (0.0, 0.25, 0.5, 1.0), ["g"]).collect()}
+    assert got == {"a": [0.0, 2.25, 4.5, 9.0], None: [4.0, 4.25, 4.5, 5.0]}
+    assert one(order.quantiles(spark.createDataFrame([], "x double"), "x", [0.5])).q is None
+
+
+def test_no_window_over_a_whole_subset(spark):
+    """Ranks, areas and order statistics by subset: no plan gathers a subset in one window partition."""
+    df = spark.range(50).select(F.col("id").cast("double").alias("y"), (F.col("id") % 7).cast("double").alias("p"), F.lit("g").alias("g"))
+    for out in (metrics.spearman(df, "y", "p", "g"), metrics.roc_auc(df, F.col("y") > 3, "p", "g"), order.quantiles(df, "y", [0.5], ["g"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert all("__part" in line for line in plan.split("\n") if "Window [" in line)
+
+
+def test_weights_that_are_not_each_others_inverse():
+    assert [x[:2] for x in X.weight_asymmetry({">": 1.3, "<": 0.7, ">=": 1.0, "<=": 0.96})] == [(">", "<")]
+
+
+def test_ks_p_value_and_unique_basis(spark):
+    from marlstone.operators import drift
+
+    rows = [("a", "c1", 1.0), ("a", "c1", 1.0), ("a", "c2", 2.0), ("b", "c1", 5.0), ("b", None, 6.0)]
+    df = spark.createDataFrame(rows, "d string, c string, x double")
+    got = one(drift.numeric_shift(df, "d", "a", "b", ["x"], basis="c"))
+    assert (got.n_a, got.n_b, got.mean_a, got.sd_a, got.ks) == (2, 2, 1.5, 0.5, 1.0)
+    p = one(spark.range(1).select(drift.ks_p_value(F.lit(0.2), F.lit(100.0), F.lit(100.0)).alias("p"))).p
+    assert 0.025 < p < 0.04  # the exact value is 0.037, the limit with this correction 0.031
+
+
+def test_nearest_of_other_rows(spark):
+    rows = [(1, "abcabc"), (2, "abcabd"), (3, "abcabc"), (4, "xyzxyz"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r.k: (round(r.similarity, 6), r.nearest) for r in text.nearest_similarity(df, df, "k", "t", others=True, part=2, block=2).collect()}
+    assert got[1] == (1.0, 3) and got[3] == (1.0, 1) and got[2][1] == 1 and 0 < got[2][0] < 1 and got[4][0] == 0.0 and got[5][0] == 0.0 and got[6][0] == 0.0
+
+
+def test_subwords_against_plain_merging(spark):
+    texts = ["low lower lowest", "new newer newest widest", "low low low new", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    merges = text.learn_subwords(df, "t", 8, per_pass=1)
+    words = [w for t in texts for w in (t or "").split()]
+    parts, want = {w: list(w) for w in words}, []
+    for _ in range(8):
+        pairs = {}
+        for w in words:
+            for x in zip(parts[w][:-1], parts[w][1:], strict=True):
+                pairs[x] = pairs.get(x, 0) + 1
+        (a, b), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        if n < 2:
+            break
+        want.append((a, b))
+        for w in parts:
+            out = []
+            for s in parts[w]:
+                if out and (out[-1], s) == (a, b):
+                    out[-1] += s
+                else:
+                    out.append(s)
+            parts[w] = out
+    assert merges == want
+    for r in text.apply_subwords(df, "t", merges).collect():
+        assert r.subwords == [s for w in (r.t or "").split() for s in parts[w]]
+
+
+def test_other_encodings_and_inferred_columns(spark, tmp_path):
+    (tmp_path / "l.tsv").write_bytes("a\tb\nµ\t1\n".encode() + "é\t2\n".encode("latin-1"))
+    good, _ = measurements.read_measurements(spark, str(tmp_path / "l.tsv"), {"a": "a", "b": "b"})
+    assert sorted(r.a for r in good.collect()) == ["é", "µ"] or sorted(r.a for r in good.collect()) == ["µ", "é"]
+    assert measurements.infer_columns(["Pred_PX", "sigma", "pred_lo"]) == {"y_pred": "Pred_PX", "sigma": "sigma", "lo": None, "hi": None, "bound": None}
+
+
+def test_models_against_closed_forms_and_guards(spark):
+    from marlstone.operators import model
+
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 20).cast("double").alias("x"), ((F.col("id") % 20) * 2.0 + F.col("id") % 3).alias("y"), F.lit(1.0).alias("w"), F.when(F.col("id") % 5 == 0, "valid").otherwise("train").alias("split"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("e"))
+    rows = model.assemble(df, ["x"])
+    fit = model.fit_ridge(rows, "y", "w", alpha=3.0)
+    train = [(r.x, r.y) for r in df.where("split = 'train'").collect()]
+    mx, my = (sum(v[k] for v in train) / len(train) for k in (0, 1))
+    slope = sum((x - mx) * (y - my) for x, y in train) / (sum((x - mx) ** 2 for x, _ in train) + 3.0)
+    assert math.isclose(fit.coefficients[0], slope, rel_tol=1e-6)
+    assert set(model.fit_by_endpoint(rows, "e", "y", "w")) == {"a", "b"}
+    scaled, mean, sd = model.scale_target(df, "y")
+    assert math.isclose(mean, my) and math.isclose(one(scaled.where("split = 'train'").agg(F.avg("y_scaled").alias("m"))).m, 0.0, abs_tol=1e-9)
+    holes = model.assemble(df.withColumn("x", F.when(F.col("k") != 7, F.col("x"))).withColumn("sigma", F.lit(1.0)), ["x"], invalid="keep")
+    out = {r.k: r for r in model.score(holes, fit, (0.0, 1.0), 2.0, 5.0, 3.0).collect()}
+    assert len(out) == 400 and out[7].y_pred is None and out[7].prob_strong is None and out[8].y_pred is not None
+    with pytest.raises(ValueError, match="200 rows"):
+        model.fit_sigma(fit.transform(rows).limit(50), "y", "prediction")
+    shares = {r.group: r.share for r in model.grouped_importance(df.withColumn("noise", F.pmod(F.xxhash64("k"), F.lit(9)).cast("double")), {"x": ["x"], "noise": ["noise"]}, "y", "k", repeats=1).collect()}
+    assert shares["x"] > 0.9
+
+
+def test_selective_table_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, 1.5, 0.1), (2.0, 2.0, 0.2), (3.0, 1.0, 0.9)], "y double, p double, b double")
+    grid = spark.createDataFrame([(0.1,), (0.5,), (1.0,)], "threshold double")
+    got = {r.threshold: r for r in conformal.selective_table(df, grid, "y", "p", "b", ranking=True).collect()}
+    assert got[0.1].accepted == 1 and got[0.1].rmse is None and got[0.1].ae_q99 is None and got[0.5].ae_q99 == 0.5 and got[1.0].total == 3
+    assert math.isclose(got[1.0].ci, brute_ci([(1.0, 1.5), (2.0, 2.0), (3.0, 1.0)])[1]) and got[1.0].rm2 is not None
