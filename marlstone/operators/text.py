@@ -13,19 +13,30 @@ from pyspark.sql import types as T
 from marlstone.functions.shared import written
 
 
+def _runs(parts: Column, lo: int, hi: int, join: str) -> Column:
+    """Array of the runs of lo to hi neighbouring parts, shortest first.
+
+    The parts are named once (as the one element of an array): as they stand they would be made anew for each run, in
+    time that grows with the square of the text.
+    """
+
+    def of(xs: Column) -> Column:
+        one = lambda n: F.transform(F.slice(xs, F.lit(1), F.greatest(F.size(xs) - (n - 1), F.lit(0))), lambda x, i: F.concat_ws(join, x, *(F.get(xs, i + k) for k in range(1, n))))
+        return F.concat(*(one(n) for n in range(lo, hi + 1)))
+
+    return F.flatten(F.transform(F.array(parts), of))
+
+
 def char_ngrams(c: Column | str, lo: int, hi: int) -> Column:
-    """Array of the text's character n-grams, shortest first."""
+    """Array of the text's character n-grams, shortest first; null counts as empty."""
     c = F.col(c) if isinstance(c, str) else c
-    one = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(one(n) for n in range(lo, hi + 1)))
+    return _runs(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != ""), lo, hi, "")
 
 
 def token_ngrams(c: Column | str, lo: int = 1, hi: int = 1) -> Column:
-    """Array of n-grams of the text's blank-separated tokens, joined by one blank."""
+    """Array of n-grams of the text's blank-separated tokens, joined by one blank; null counts as empty."""
     c = F.col(c) if isinstance(c, str) else c
-    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-    one = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(one(n) for n in range(lo, hi + 1)))
+    return _runs(F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""), lo, hi, " ")
 
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:

@@ -817,13 +817,13 @@ def l03(spark, d):
 @query("l04_tfidf", f"with {_GRAMS}, n as (select count(*) as n from t ), w as (select doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term), n where df >= 2) select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w")
 def l04(spark, d):
     t = frame(spark, d, "T")
-    counts = text.term_counts(t, "doc_id", text.char_ngrams("seq", 3, 3))
+    counts = written(text.term_counts(t, "doc_id", text.char_ngrams("seq", 3, 3)))
     return rounded(text.tfidf(counts, text.fit_vocabulary(counts, 2), t.agg(F.count("*").alias("n")), "doc_id"))
 
 
 @query("l02_token_counts", r"with k as (select doc_id, unnest(string_split_regex(trim(text), '\s+')) as term from t ), tf as (select doc_id, term, count(*) as tf from k where term <> '' group by 1, 2), df as (select term from tf group by 1 having count(*) >= 2) select doc_id, term, round(tf / sqrt(sum(tf * tf) over (partition by doc_id)), 6) as weight from tf join df using (term)")
 def l02(spark, d):
-    counts = text.term_counts(frame(spark, d, "T"), "doc_id", text.token_ngrams("text"))
+    counts = written(text.term_counts(frame(spark, d, "T"), "doc_id", text.token_ngrams("text")))
     return rounded(text.count_vectors(counts, text.fit_vocabulary(counts, 2), "doc_id"))
 
 
