@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import release
+
 OPEN, CLOSE, HOLD = "### ", " </turn>\n", "<|"
 #: Control string and its escape, in the order of escaping; undone in reverse order.
 ESCAPES = [("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), ("<|", "\\p")]
@@ -53,16 +55,14 @@ class Flattener:
         kind = part.get("type") or "text"
         if kind == "text":
             self.write(escape(part.get("text") or ""))
-        elif kind in EXPANDED:
-            self.attach(kind, part)
         else:
-            raise ValueError(f"unknown part type {kind!r}")
+            self.attach(kind, part)
 
     def attach(self, kind: str, part: dict) -> None:
-        tokens = part.get("tokens") if part.get("tokens") is not None else EXPANDED[kind]
+        tokens = part.get("tokens") if part.get("tokens") is not None else EXPANDED.get(kind, 0)
         slot = len(self.attachments)
         self.attachments.append({"slot": slot, "type": kind, "ref": part.get("ref"), "tokens": tokens, "at": self.size})
-        self.write(f"{HOLD}{kind}:{slot}|>")
+        self.write(f"{HOLD}{escape(kind, line=True)}:{slot}|>")
 
 
 def format_turns(turns: list[dict], trained: str = "assistant") -> dict:
@@ -97,7 +97,8 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
 
     Content comes from ``parts`` (array of typed parts) or, where that is not given, from ``text`` as one text part; null
     is empty. A null role is an empty role; null turns come first; equal turns are ordered by role and content and all
-    kept, as are repeated rows. A null conv_id is a conversation of its own. Other columns are left out. A conversation is one document and so one row;
+    kept, as are repeated rows. A part of any other type is an attachment too, of no tokens unless it says so. An empty
+    table gives an empty table. A null conv_id is a conversation of its own. Other columns are left out. A conversation is one document and so one row;
     its turns are gathered with partial aggregation.
     """
     content = F.col(parts) if parts else F.array(F.struct(F.lit("text").alias("type"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("tokens")))
@@ -110,6 +111,7 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
                 turns = sorted(turns.as_py(), key=lambda t: (t["turn"] is not None, t["turn"] or 0, t["role"] or "", str(t["parts"])))
                 made = format_turns(turns, trained)
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.schema.field(0).type), *(pa.array([made[n]], kind) for n, kind in _KINDS)], names=["conv_id", *(n for n, _ in _KINDS)])
+        release()
 
     return gathered.mapInArrow(run, f"conv_id {df.schema[conv_id].dataType.simpleString()}, {FORMATTED}")
 
@@ -120,14 +122,18 @@ _KINDS = [("formatted", pa.string()), ("loss", pa.list_(_SPAN)), ("attachments",
 
 
 def read_conversations(df: DataFrame) -> DataFrame:
-    """Reads formatted conversations back: digests of the turns and of what the loss mask covers, from ``formatted`` and ``loss`` alone."""
+    """Reads formatted conversations back: digests of the turns and of what the loss mask covers, from ``formatted`` and ``loss`` alone.
+
+    One row for each row; a null ``formatted`` has no turns, a null ``loss`` covers nothing. Other columns are left out.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for key, formatted, loss in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "loss")), strict=True):
+                formatted = formatted or ""
                 turns = read_turns(formatted)
-                learnt = "".join(unescape(formatted[s["start"] : s["end"]]) for s in loss)
+                learnt = "".join(unescape(formatted[s["start"] : s["end"]]) for s in loss or ())
                 told = "".join(f"{r}\n{t}\n" for r, t in turns)
                 digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
                 rows.append((key, len(turns), digest(told), len(learnt), digest(learnt), len(formatted)))

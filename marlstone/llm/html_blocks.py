@@ -30,7 +30,8 @@ RAW = frozenset("script style noscript template iframe svg math object canvas te
 VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
 #: An open element of the first kind ends when one of the second kind begins.
 IMPLIED = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside header footer nav form blockquote pre main figure hr address".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
+#: Comments, declarations, tags (a quote opens a value after "=" only), text, a "<" that begins nothing.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)|[^<]+|<", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 48, 16, 8, 16
@@ -47,7 +48,8 @@ class Block:
 def blocks_of(html: str | None) -> list[Block]:
     """The page's leaf blocks in order; white space is one blank, character references are decoded.
 
-    Comments, declarations and the content of RAW elements are no text. A head ends, with its end tag or without, at the
+    Comments, declarations and the content of RAW elements are no text. A quote in an attribute counts only after "=";
+    one that is not closed does not reach past the tag's end; a tag that the page's end cuts off is dropped. A head ends, with its end tag or without, at the
     first thing that cannot stand in it (all its own elements are RAW or VOID), so its tags are skipped. Unclosed elements end with the page; an end
     tag without a start is skipped; an unclosed comment or RAW element reaches to the end.
     """
@@ -352,7 +354,7 @@ def train(words: list[str], pages: int = 1600, epochs: int = 10, batch: int = 32
 def fit_labeller(pages: DataFrame, html: str = "html", sample: int = 64) -> dict:
     """Weights trained with the words of at most ``sample`` pages (those with the smallest hashes)."""
     rows = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.xxhash64(html).alias("h"))
-    drawn = {r["h"] for r in rows.select("h").orderBy("h").limit(sample).collect()}  # a page's copies teach no other words
+    drawn = {r["h"] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()}  # a page's copies teach no other words
     texts = [r["html"] for r in rows.where(F.col("h").isin(*drawn)).select("h", "html").dropDuplicates(["h"]).collect()]
     words = sorted({w for t in texts for b in blocks_of(t) for w in b.text.split(" ")})
     rng = np.random.default_rng(1)
@@ -363,7 +365,7 @@ def extract_main_text(pages: DataFrame, weights: dict, html: str = "html", cut:
     """Adds ``text`` (article blocks in page order, joined by one blank; empty if none), ``n_blocks`` and ``n_kept``.
 
     The whole html is read; null or empty html gives an empty text. Other columns pass; columns already named so are
-    replaced. Repeated rows give repeated results.
+    replaced. Repeated rows give repeated results, an empty table an empty one; long pages are read whole.
     """
     keep = [c for c in pages.columns if c not in ("text", "n_blocks", "n_kept")]
     pages = pages.select(*(F.col(f"`{c}`") for c in keep))

@@ -4,7 +4,7 @@ A shingle is five words (lower case, ASCII marks left out); its weight is its co
 inverse document frequency of its words. Frequencies of words, not of shingles, so that copies do not lower the weight
 of what they share; they are counted over all documents in a fixed number of hashed buckets.
 
-1. Equal texts fall together by digest; one of each stands for all.
+1. Equal texts fall together by digest, which names them from here on; one of each stands for all.
 2. Each text gets bands x rows samples, one row for each band's key.
 3. A bucket (texts with one key) of up to ``SMALL`` texts gives all its pairs. A larger one gives its pairs with its
    first text (the hub), so that rows grow with the bucket's size and not with its square.
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bucket_df, mix, release, shingles, staged, text_array, word_blocks
@@ -99,8 +99,13 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((grouped * odd[:, :rows]).sum(2, dtype=np.uint64) + odd[:, rows]).view(np.int64)
 
 
+def digest_of(text: str) -> Column:
+    """16 bytes that stand for a text (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def _signatures(df: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
-    kind = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("bands", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -114,12 +119,12 @@ def _signatures(df: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(cuts, keys.ravel())], schema=kind)
         release()
 
-    return df.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text").mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    return df.select("doc_id", digest_of("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool = False) -> DataFrame:
     """a, b, similarity, shared, weight_a, weight_b of each pair; outside: also b's shingles that a lacks or has fewer times, with the weight that a lacks."""
-    rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    rows = pairs.select("a", "b").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     names = ["a", "b", "similarity", "shared", "weight_a", "weight_b", "extra", "extra_weights"]
 
     def sets(column):
@@ -150,7 +155,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[c] for f in found], kind) for c, kind in enumerate([*[pa.float64()] * 4, pa.list_(pa.int64()), pa.list_(pa.float64())]))], names=names)
         release()
 
-    return rows.mapInArrow(run, "a long, b long, similarity double, shared double, weight_a double, weight_b double, extra array<long>, extra_weights array<double>")
+    return rows.mapInArrow(run, "a binary, b binary, similarity double, shared double, weight_a double, weight_b double, extra array<long>, extra_weights array<double>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,24 +178,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class) and similar (the text was joined with a different text).
+    """doc_id, class_id (smallest doc_id of the class), similar (the text was joined with a different text), links
+    (different texts it was joined with), digest (of the text), class_key (digest of the class's first text, by doc_id)
+    and chosen (the row's id and text stand for the class).
 
     One row for each row of ``df``. Null texts count as empty; texts without a word are alike only if equal. A row
-    without doc_id takes the class of the texts equal to its own, or null. Repeated rows are copies. An empty table
-    gives an empty table. Other columns are left out. Texts below five words have one shingle of all their words.
+    without doc_id takes the class of the texts equal to its own, or null, and is never chosen. Repeated rows are copies.
+    Where several texts share a doc_id each is compared for itself; class_key tells classes apart that so have one
+    class_id. Ties cannot change a class, only which of its pairs are verified. An empty table gives an empty table;
+    other columns are left out. Texts below five words have one shingle of all their words; long texts are read whole.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     idf = smooth_idf(*bucket_df(docs, "text", BITS))
     signed = staged(_signatures(docs, idf, bands, rows), "signatures")
-    reps = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "distinct")
-    members = reps.where(F.col("rep").isNotNull()).select("rep", F.explode("bands").alias("key"))
+    reps = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "distinct")
+    members = reps.where(F.col("first").isNotNull()).select(F.col("digest").alias("rep"), "first", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     placed = staged(members.join(buckets, "key"), "buckets")
     small = placed.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list("rep").alias("m"))
     small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
     hubs = placed.where((F.col("size") > SMALL) & (F.col("rep") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
-    texts = staged(docs.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    wanted = placed.select(F.col("first").alias("doc_id"), F.col("rep").alias("digest")).distinct()
+    texts = docs.withColumn("digest", digest_of("text")).join(wanted.hint("merge"), ["doc_id", "digest"])  # by both: a text's copies are not dealt to one task
+    texts = staged(texts.dropDuplicates(["digest"]).select("digest", "text"), "texts")
     simple = staged(_verify(small, texts, idf).where(F.col("similarity") >= threshold).select("a", "b"), "pairs")
     starred = staged(_verify(hubs, texts, idf, outside=True), "stars")
     linked = simple.union(starred.where(F.col("similarity") >= threshold).select("a", "b"))
@@ -218,6 +228,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         rest = side(open_, "f").join(side(known, "m"), "a").where((F.col("label_f") != F.col("label_m")) & bound)
         rest = rest.select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
         linked = staged(linked.union(_verify(rest, texts, idf).where(F.col("similarity") >= threshold).select("a", "b")), "linked")
-    labels = components(linked)
-    classes = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"), F.col("label").isNotNull().alias("similar"))
-    return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "similar")
+    linked = staged(linked.distinct(), "linked")
+    named = components(linked).join(reps.select(F.col("digest").alias("node"), "first"), "node")
+    heads = named.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head"))
+    degrees = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
+    nodes = named.join(heads, "label").join(degrees, "node").select(F.col("node").alias("digest"), F.col("head")["first"].alias("class_id"), F.col("head")["node"].alias("class_key"), "links")
+    classes = reps.select("digest", "first").join(nodes, "digest", "left").select("digest", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_key", "digest").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = signed.select("doc_id", "digest").join(classes, "digest")
+    chosen = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_key")), F.lit(False))
+    return out.select("doc_id", "class_id", (F.col("links") > 0).alias("similar"), "links", "digest", "class_key", chosen.alias("chosen"))

@@ -33,10 +33,13 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     n_words (runs without white space), word_chars (code points in them), n_symbols, n_lines (with a word),
     n_dup_lines (equal to an earlier line), n_repeat_words (words in windows of three words that occur twice or more),
     n_stop (stop words) and n_upper (upper-case ASCII letters). Ratios of an empty text are 0. Windows are told apart by
-    a 64-bit hash of their three words. Other columns pass; a column already named so is replaced.
+    a 64-bit hash of their three words. Other columns pass, whatever their names; a column already named so is replaced.
+    Repeated rows give repeated results, an empty table an empty one.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c != "quality_measures"]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    names = [c for c in df.columns if c != "quality_measures"]
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"))  # so that no column of theirs meets one of ours
+    keep = [F.col("__row")]
+    t = F.coalesce(F.col("__row").getField(text), F.lit(""))
     plain = F.regexp_replace(t, SPACES, "")
     step = df.select(
         *keep,
@@ -62,7 +65,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     long = lambda c: F.col(c).cast("long")
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return step.select(
-        *keep,
+        *(F.col("__row").getField(c).alias(c) for c in names),
         F.struct(
             long("__n").alias("n_words"),
             long("__chars").alias("word_chars"),

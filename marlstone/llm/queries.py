@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, chat, decontam, hdlang, html_blocks, licenses, neardup, quality, secrets, token_files
+from marlstone.llm.common import staged
 
 #: A vocabulary file of the public tokenizers that the machine offers; never copied here.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,7 +46,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
     rows = rows.union(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema))
-    return chat.read_conversations(chat.format_conversations(rows))
+    return chat.read_conversations(staged(chat.format_conversations(rows), "conversations"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "similar", "links")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -8,8 +8,8 @@ its letters' places in that alphabet are tested:
   that grows with the length, so the p-value of the discovery falls with the length (length-aware);
 * a runs test about the middle of the alphabet and a lag-1 serial correlation, which a random run must pass.
 
-Within a document (the family) the discoveries are those that the step-up false-discovery rule keeps at level q,
-p-values weighted by length.
+Within a document the runs that pass those tests are the family; the discoveries are those that the step-up
+false-discovery rule keeps at level q, p-values weighted by length (weights average 1).
 """
 
 from __future__ import annotations
@@ -103,25 +103,36 @@ def battery(body: Column) -> Column:
 
 
 def _discoveries(spans: Column, q: float, alpha: float) -> Column:
-    """Spans that the step-up rule keeps: weighted p of the k-th smallest at most q k / m, and both randomness tests passed."""
-    judged = F.transform(spans, lambda s: F.struct((s["t"]["p"] * 40.0 / F.length(s["body"])).alias("p"), s["start"].alias("start"), s["end"].alias("end"), s["t"].alias("t")))
-    ranked = F.array_sort(judged)
-    cut = F.array_max(F.transform(ranked, lambda s, k: F.when(s["p"] * F.size(ranked) <= q * (k + 1), s["p"])))
-    return F.filter(judged, lambda s: F.coalesce(s["p"] <= cut, F.lit(False)) & (F.least(s["t"]["p_runs"], s["t"]["p_serial"]) * 2.0 >= alpha))
+    """Spans that the weighted step-up rule keeps: the k-th smallest p / weight at most q k / m.
+
+    The family is the document's m runs that pass both randomness tests; a run's weight is its length over the family's
+    mean length, so that weights average 1, as the rule asks.
+    """
+
+    def step_up(family: Column) -> Column:
+        mean = F.aggregate(family, F.lit(0.0), lambda a, s: a + F.length(s["body"])) / F.size(family)
+        judged = F.transform(F.array(mean), lambda m: F.array_sort(F.transform(family, lambda s: F.struct((s["t"]["p"] * m / F.length(s["body"])).alias("p"), s["start"].alias("start"), s["end"].alias("end")))))
+        cut = lambda ranked: F.array_max(F.transform(ranked, lambda s, k: F.when(s["p"] * F.size(ranked) <= q * (k + 1), s["p"])))
+        kept = F.transform(judged, lambda ranked: F.get(F.transform(F.array(cut(ranked)), lambda c: F.filter(ranked, lambda s: F.coalesce(s["p"] <= c, F.lit(False)))), F.lit(0)))
+        return F.get(kept, F.lit(0))
+
+    random = F.filter(spans, lambda s: F.least(s["t"]["p_runs"], s["t"]["p_serial"]) * 2.0 >= alpha)
+    return F.get(F.transform(F.array(random), step_up), F.lit(0))
 
 
 def scan_secrets(df: DataFrame, text: str = "text", q: float = 0.01, alpha: float = 0.002) -> DataFrame:
     """Adds ``secrets``: array<struct<start:int, rank:int, end:int>> by start, in code points, end exclusive (rank: place in KINDS).
 
     Null and empty texts give an empty array. The whole text is scanned; other columns pass unchanged; a column
-    already named ``secrets`` is replaced; repeated rows give repeated results.
+    already named ``secrets`` is replaced; repeated rows give repeated results, an empty table an empty one.
     """
     keep = [c for c in df.columns if c != "secrets"]
     none = F.array().cast("array<struct<start:int,end:int,body:string>>")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lazily = lambda pattern, found: F.when(t.rlike(pattern), found).otherwise(none)
+    row = F.struct(*(F.col(f"`{c}`") for c in keep))  # so that no column of theirs meets one of ours
     step = df.select(
-        *(F.col(f"`{c}`") for c in keep),
+        row.alias("__row"),
         F.struct(
             lazily(ASSIGN, _found(t, ASSIGN, 2, 6)).alias("assign"),
             lazily(ACCESS, _found(t, ACCESS, None, 20)).alias("access"),
@@ -131,11 +142,11 @@ def scan_secrets(df: DataFrame, text: str = "text", q: float = 0.01, alpha: floa
     )
     found = F.col("__found")
     base = F.concat(*(_kind(found[k], k) for k in KINDS[:3]))
-    step = step.select(*(F.col(f"`{c}`") for c in keep), base.alias("__base"), found["run"].alias("__run"))
+    step = step.select("__row", base.alias("__base"), found["run"].alias("__run"))
     free = F.filter("__run", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    step = step.select(*(F.col(f"`{c}`") for c in keep), "__base", F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), battery(s["body"]).alias("t"))).alias("__run"))
+    step = step.select("__row", "__base", F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), battery(s["body"]).alias("t"))).alias("__run"))
     added = F.when(F.size("__run") > 0, _kind(_discoveries(F.col("__run"), q, alpha), "random")).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
-    return step.select(*(F.col(f"`{c}`") for c in keep), F.array_sort(F.concat("__base", added)).alias("secrets"))
+    return step.select(*(F.col("__row").getField(c).alias(c) for c in keep), F.array_sort(F.concat("__base", added)).alias("secrets"))
 
 
 def span_text(secrets: Column, base_only: bool = False) -> Column:

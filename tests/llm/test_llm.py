@@ -263,7 +263,7 @@ def test_licenses(spark, docs, odd):
     pattern = "General Public License, version 3|CC BY-NC 4.0|under the MIT License|Apache License, Version 2.0"
     for r in licenses.scan_licenses(docs).collect():
         assert bool(r.licenses) == bool(re.search(pattern, r.text))
-    mit = dict(licenses.TEMPLATES)["MIT"]
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT")
     changed = "🙂 İ before " + mit.replace("free of charge", "at no cost").replace("deal in the Software", "deal in it") + " after"
     got = licenses.scan_licenses(spark.createDataFrame([(changed,), ((changed + " x ") * 3,)], "text string")).collect()
     m = got[0].licenses[0]
