@@ -20,36 +20,43 @@ LEAST_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or far from every language."""
+    """Rejects documents without a letter (null and empty texts too) or far from every language.
+
+    Rows without id or label teach nothing but are judged like the others; repeated rows are kept or rejected alike; if
+    nothing was learnt, nothing is kept. Columns beyond those of ``documents`` are left out, here and in all stages.
+    """
     prototypes = hdlang.fit_prototypes(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     found = hdlang.identify_language(docs.select(COLUMNS), prototypes)
     return found.where((F.col("lang_pred") != hdlang.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document whose id is its class's smallest; of rows that repeat that id, one; rows without id stay."""
-    classes = neardup.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
-    first = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.join(first, "doc_id", "left_anti").unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
+    """Keeps one document of each class: the text and id that the operator chose; of rows that repeat both, one.
+
+    Rows without id cannot be chosen and stay; null texts count as empty and are copies of each other.
+    """
+    found = neardup.near_duplicates(docs)
+    kept = staged(found.where("chosen").groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "kept")
+    named = docs.where(F.col("doc_id").isNotNull()).select(*COLUMNS, neardup.digest_of("text").alias("digest"))
+    once = named.join(kept.where("n = 1"), ["doc_id", "digest"], "left_semi")
+    repeated = named.join(kept.where("n > 1"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return once.unionByName(repeated).select(COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts hold none; repeated rows go or stay alike."""
     found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
     return found.where(~F.col("contaminated")).select(COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blanks secrets out of the texts; n_chars follows."""
+    """Blanks secrets out of the texts; n_chars follows where a text changed. Null texts stay null; no row is dropped."""
     clean = secrets.redact(secrets.scan_secrets(docs.select(COLUMNS)))
     return clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them; a null text counts as empty."""
     out = bpe.bpe_round_trip(docs.select("doc_id", "text"), BYTE_BPE)
     told = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
