@@ -110,7 +110,7 @@ def _discoveries(spans: Column, q: float, alpha: float) -> Column:
     """
 
     def step_up(family: Column) -> Column:
-        mean = F.aggregate(family, F.lit(0.0), lambda a, s: a + F.length(s["body"])) / F.size(family)
+        mean = F.try_divide(F.aggregate(family, F.lit(0.0), lambda a, s: a + F.length(s["body"])), F.size(family))
         judged = F.transform(F.array(mean), lambda m: F.array_sort(F.transform(family, lambda s: F.struct((s["t"]["p"] * m / F.length(s["body"])).alias("p"), s["start"].alias("start"), s["end"].alias("end")))))
         cut = lambda ranked: F.array_max(F.transform(ranked, lambda s, k: F.when(s["p"] * F.size(ranked) <= q * (k + 1), s["p"])))
         kept = F.transform(judged, lambda ranked: F.get(F.transform(F.array(cut(ranked)), lambda c: F.filter(ranked, lambda s: F.coalesce(s["p"] <= c, F.lit(False)))), F.lit(0)))

@@ -89,6 +89,11 @@ def test_step_up_against_a_plain_version(spark):
     assert {text[s.start : s.end] for s in found if s.rank == 3} == want and want
 
 
+def test_no_run_that_passes_the_tests(spark):
+    df = spark.createDataFrame([("a" * 40 + " and " + "ab" * 30,), ("zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz",)], "text string")
+    assert [r.secrets for r in secrets.scan_secrets(df).where("size(secrets) = 0").collect() if r.secrets] == []
+
+
 def test_chat_other_parts_ties_and_empty_tables(spark):
     parts = "array<struct<type:string,text:string,ref:string,tokens:int>>"
     rows = [(1, 0, "user", [("audio", None, "a.wav", None), ("vid|>eo", None, "v", None), ("text", "x", None, None)]), (1, 0, "user", [("text", "same", None, None)]), (1, 0, "user", [("text", "same", None, None)])]
