@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import release
-from marlstone.llm.parts import Parts, slices
+from marlstone.llm.common import release, slices
+from marlstone.llm.parts import Parts
 
 #: Size of a worker's table of parts and their ids: 2**BITS slots, at most half of them in use.
 BITS = 21

@@ -14,6 +14,17 @@ from marlstone.functions.shared import shared_path, written
 
 shared_dir, staged = shared_path, written
 
+def slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000, rows: int = 4096):
+    """The batch in runs of at most so many rows and about so many bytes of ``column``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes), 0
+    while first < batch.num_rows:
+        base = ends[first] - sizes[first]
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, base + chars, "right"))))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 # --- words as hashes -------------------------------------------------------------------------------------------------
 
 _BYTES = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,11 +147,11 @@ def bucket_df(df: DataFrame, text: str, bits: int, separator: str = "words") ->
     def count(batches):
         table, rows = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
-            texts = text_array(batch.column(0))
-            for first, last, hashes, counts, _, _ in word_blocks(texts, sep):
-                owner = np.repeat(np.arange(last - first, dtype=np.int64), counts)
-                keys = np.unique((owner << bits) | (hashes >> np.uint64(64 - bits)).astype(np.int64))
-                table += np.bincount(keys & ((1 << bits) - 1), minlength=1 << bits)
+            for part in slices(batch, 0):
+                for first, last, hashes, counts, _, _ in word_blocks(text_array(part.column(0)), sep):
+                    owner = np.repeat(np.arange(last - first, dtype=np.int64), counts)
+                    keys = np.unique((owner << bits) | (hashes >> np.uint64(64 - bits)).astype(np.int64))
+                    table += np.bincount(keys & ((1 << bits) - 1), minlength=1 << bits)
             rows += batch.num_rows
         for k in range(0, 1 << bits, width):
             part = table[k : k + width]

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import release
-from marlstone.llm.parts import slices
+from marlstone.llm.common import release, slices
 
 UNKNOWN = "und"
 #: Characters of a text looked at at once.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import PLACES, mix, release, text_array, word_blocks
+from marlstone.llm.common import PLACES, mix, release, slices, text_array, word_blocks
 
 K, WINDOW, BAND = 3, 3, 8
 #: Fixed texts: notices as their licences word them (public), a name and a text each.
@@ -212,7 +212,7 @@ def scan_licenses(df: DataFrame, text: str = "text", least: float = 0.8, templat
 
     def run(batches):
         index = Index(chosen)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts, out = text_array(batch.column(at)), []
             raw = texts.buffers()[2]
             offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else []

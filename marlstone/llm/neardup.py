@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_df, mix, release, shingles, staged, text_array, word_blocks
-from marlstone.llm.parts import slices
+from marlstone.llm.common import bucket_df, mix, release, shingles, slices, staged, text_array, word_blocks
 
 BITS, SMALL = 16, 8
 WORDS, BANDS, ROWS, THRESHOLD = 5, 12, 4, 0.8
@@ -104,19 +103,25 @@ def digest_of(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def node_of(first: str, digest: str) -> Column:
+    """24 bytes in the order of (doc_id, digest): a group's smallest id, mostly its origin, becomes its hubs."""
+    place = F.lpad(F.hex(F.col(first).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(place), F.col(digest))
+
+
 def _signatures(df: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
     kind = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            texts = text_array(batch.column(2))
-            for first, ids, weights, starts in weighted_sets(texts, idf):
-                full = np.flatnonzero(np.diff(starts))
-                keys = band_keys(consistent_samples(ids, weights, starts[full], bands * rows), bands, rows) if len(full) else np.zeros((0, bands), np.int64)
-                sizes = np.where(np.diff(starts) > 0, bands, 0)
-                cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                part = batch.slice(first, len(starts) - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(cuts, keys.ravel())], schema=kind)
+        for whole in batches:
+            for batch in slices(whole, 2):
+                for first, ids, weights, starts in weighted_sets(text_array(batch.column(2)), idf):
+                    full = np.flatnonzero(np.diff(starts))
+                    keys = band_keys(consistent_samples(ids, weights, starts[full], bands * rows), bands, rows) if len(full) else np.zeros((0, bands), np.int64)
+                    sizes = np.where(np.diff(starts) > 0, bands, 0)
+                    cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    part = batch.slice(first, len(starts) - 1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(cuts, keys.ravel())], schema=kind)
         release()
 
     return df.select("doc_id", digest_of("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
@@ -124,7 +129,7 @@ def _signatures(df: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFr
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, outside: bool = False) -> DataFrame:
     """a, b, similarity, shared, weight_a, weight_b of each pair; outside: also b's shingles that a lacks or has fewer times, with the weight that a lacks."""
-    rows = pairs.select("a", "b").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    rows = pairs.select("a", "b").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     names = ["a", "b", "similarity", "shared", "weight_a", "weight_b", "extra", "extra_weights"]
 
     def sets(column):
@@ -192,15 +197,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     idf = smooth_idf(*bucket_df(docs, "text", BITS))
     signed = staged(_signatures(docs, idf, bands, rows), "signatures")
     reps = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "distinct")
-    members = reps.where(F.col("first").isNotNull()).select(F.col("digest").alias("rep"), "first", F.explode("bands").alias("key"))
+    members = reps.where(F.col("first").isNotNull()).select(node_of("first", "digest").alias("rep"), "first", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     placed = staged(members.join(buckets, "key"), "buckets")
     small = placed.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list("rep").alias("m"))
     small = small.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b").distinct()
     hubs = placed.where((F.col("size") > SMALL) & (F.col("rep") > F.col("hub"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = placed.select(F.col("first").alias("doc_id"), F.col("rep").alias("digest")).distinct()
+    wanted = placed.select(F.col("first").alias("doc_id"), F.substring("rep", 9, 16).alias("digest"), "rep").distinct()
     texts = docs.withColumn("digest", digest_of("text")).join(wanted.hint("merge"), ["doc_id", "digest"])  # by both: a text's copies are not dealt to one task
-    texts = staged(texts.dropDuplicates(["digest"]).select("digest", "text"), "texts")
+    texts = staged(texts.dropDuplicates(["rep"]).select("rep", "text"), "texts")
     simple = staged(_verify(small, texts, idf).where(F.col("similarity") >= threshold).select("a", "b"), "pairs")
     starred = staged(_verify(hubs, texts, idf, outside=True), "stars")
     linked = simple.union(starred.where(F.col("similarity") >= threshold).select("a", "b"))
@@ -229,10 +234,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         rest = rest.select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
         linked = staged(linked.union(_verify(rest, texts, idf).where(F.col("similarity") >= threshold).select("a", "b")), "linked")
     linked = staged(linked.distinct(), "linked")
-    named = components(linked).join(reps.select(F.col("digest").alias("node"), "first"), "node")
-    heads = named.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head"))
+    named = components(linked).join(reps.where("first is not null").select(node_of("first", "digest").alias("node"), "first", "digest"), "node")
+    heads = named.groupBy("label").agg(F.min(F.struct("first", "digest")).alias("head"))
     degrees = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    nodes = named.join(heads, "label").join(degrees, "node").select(F.col("node").alias("digest"), F.col("head")["first"].alias("class_id"), F.col("head")["node"].alias("class_key"), "links")
+    nodes = named.join(heads, "label").join(degrees, "node").select("digest", F.col("head")["first"].alias("class_id"), F.col("head")["digest"].alias("class_key"), "links")
     classes = reps.select("digest", "first").join(nodes, "digest", "left").select("digest", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_key", "digest").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
     out = signed.select("doc_id", "digest").join(classes, "digest")
     chosen = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_key")), F.lit(False))

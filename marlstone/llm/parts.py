@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from marlstone.llm.common import hash_runs, text_array
 
@@ -198,14 +197,3 @@ class Parts:
         a = self._window(data[: cuts[middle]], cuts[: middle + 1])
         b = self._window(data[cuts[middle] :], cuts[middle:] - cuts[middle])
         return np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
-
-
-def slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000, rows: int = 4096):
-    """The batch in runs of at most so many rows and about so many bytes of ``column``."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
-    ends, first = np.cumsum(sizes), 0
-    while first < batch.num_rows:
-        base = ends[first] - sizes[first]
-        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, base + chars, "right"))))
-        yield batch.slice(first, last - first)
-        first = last

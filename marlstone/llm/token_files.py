@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from marlstone.llm.common import release, shared_dir
-from marlstone.llm.parts import Parts, plain_split, slices
+from marlstone.llm.common import release, shared_dir, slices
+from marlstone.llm.parts import Parts, plain_split
 
 #: Bytes of text that one file's share should not exceed by far.
 PART_BYTES = 256 << 20
