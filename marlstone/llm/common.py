@@ -9,10 +9,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marlstone.functions.shared import shared_path, written
 
 shared_dir, staged = shared_path, written
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def freed(df: DataFrame, name: str = "table") -> DataFrame:
+    """``staged``, after which the shuffle files that making the table took are removed: the table replaces them."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE, None)
+    conf.set(_FREE, "true")
+    try:
+        return staged(df, name)
+    finally:
+        conf.unset(_FREE) if before is None else conf.set(_FREE, before)
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], rows: str, total: int, most: int = 256) -> DataFrame:
+    """Inner join of ``many`` with ``one``, whose keys are unique and whose column ``rows`` tells how many rows of ``many``
+    each key has. Keys with at least ``total / most`` rows, of which there cannot be more than ``most``, are broadcast, so that
+    no task gets all rows of a hot key; the others are shuffled. ``total``: rows of ``many`` with a key."""
+    keys = [key] if isinstance(key, str) else key
+    hot, cold = one.where(F.col(rows) * most >= total), one.where(F.col(rows) * most < total)
+    return many.join(F.broadcast(hot), keys).unionByName(many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 def slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000, rows: int = 4096):
     """The batch in runs of at most so many rows and about so many bytes of ``column``."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, decontam, hdlang, html_blocks, licenses, neardup, quality, secrets, token_files
+from marlstone.llm import bpe, chat, decontam, hdlang, html_blocks, licenses, neardup, prefix_trie, quality, secrets, token_files
 from marlstone.llm.common import staged
 
 #: A vocabulary file of the public tokenizers that the machine offers; never copied here.
@@ -81,7 +81,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdlang.identify_language(docs.select("doc_id", held_out().alias("held_out"), "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_token_files, op4_license_scan, op5_chat_format, op6_quality_rules, op7_decontamination, op8_bpe, op9_near_duplicates, op10_language_id)}
+def rebuilt_turns(turns: DataFrame) -> DataFrame:
+    """The turns of conversations rebuilt as the contract says: the first h of conversation c - c % 5, then c's own after its
+    first h. A row without digest stands for the conversation itself."""
+    h, base = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9, F.col("conv_id") - F.col("conv_id") % 5
+    ids = turns.where("pos = 1").select("conv_id", base.alias("base"), h.alias("h"))
+    first = turns.where((F.col("conv_id") % 5 == 0) & (F.col("pos") <= 8)).select(F.col("conv_id").alias("base"), "pos", "digest", "bytes")
+    taken = ids.join(first, "base").where("pos <= h").select("conv_id", "pos", "digest", "bytes")
+    itself = ids.select("conv_id", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("bytes"))
+    return itself.unionByName(taken).unionByName(turns.where(F.col("pos") > h))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = staged(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie_of(rebuilt_turns(turns)).drop("node", "parent")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_token_files, op4_license_scan, op5_chat_format, op6_quality_rules, op7_decontamination, op8_bpe, op9_near_duplicates, op10_language_id, op11_prefix_trie)}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -99,6 +115,37 @@ ORACLES = {
           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
           cast(sum(4 + length(role) + 1 + n + 9) as bigint) as formatted_chars
         from sized group by conv_id""",
+    "op11_prefix_trie": r"""
+        with turns as (
+          select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+            row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+          from conversations where conv_id is not null),
+        coded as (
+          -- crc32, bit by bit: an element below 256 is a character to take in, 256 is one shift
+          select conv_id, conv_id - conv_id % 5 as base,
+            xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''),
+                lambda c: [ascii(c)::bigint, 256, 256, 256, 256, 256, 256, 256, 256]))),
+              lambda a, x: case when x < 256 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295) % 9 as h
+          from (select distinct conv_id from turns)),
+        rebuilt as (
+          select c.conv_id, t.role, t.text, t.pos from coded c join turns t on t.conv_id = c.base and t.pos <= c.h
+          union all select c.conv_id, t.role, t.text, t.pos from coded c join turns t on t.conv_id = c.conv_id and t.pos > c.h),
+        placed as (
+          select conv_id, text, row_number() over o as depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over o) as node
+          from rebuilt window o as (partition by conv_id order by pos)),
+        paths as (
+          select conv_id, depth, node, octet_length(encode(text)) as bytes from placed
+          union all select conv_id, 0, 'root', 0 from coded),
+        lasts as (select conv_id, max(depth) as depth from paths group by conv_id),
+        ending as (select node, string_agg(conv_id::varchar, ',' order by conv_id) as ids from paths join lasts using (conv_id, depth) group by node),
+        nodes as (select node, min(conv_id) as conv_id, min(depth) as depth, count(*) as n_convs, (count(*) - 1) * min(bytes) as saved from paths group by node),
+        ups as (select n.node, n.saved, n.depth, p.node as above, p.depth as above_depth from nodes n join paths p on p.conv_id = n.conv_id and p.depth <= n.depth),
+        kids as (select above as node, count(*) as n from ups where above_depth = depth - 1 group by above),
+        totals as (select above as node, sum(saved) as saved, count(*) filter (where ups.node not in (select node from kids)) as leaves from ups group by above),
+        parents as (select u.node, p.conv_id as parent_conv_id from ups u join nodes p on p.node = u.above where u.above_depth = u.depth - 1)
+        select n.conv_id, n.depth, p.parent_conv_id, n.n_convs, coalesce(k.n, 0) as n_children, t.leaves as n_leaves,
+          cast(t.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+        from nodes n join totals t using (node) left join kids k using (node) left join parents p using (node) left join ending e using (node)""",
     "op6_quality_rules": rf"""
         with split as (
           select doc_id, coalesce(text, '') as text,
