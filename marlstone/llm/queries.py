@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import alignment, bpe, chat, decontam, hdlang, html_blocks, licenses, neardup, prefix_trie, quality, secrets, token_files
+from marlstone.llm import alignment, bpe, chat, decontam, hdlang, html_blocks, licenses, neardup, prefix_trie, quality, secrets, suffix_dedup, token_files
 from marlstone.llm.common import staged
 
 #: A vocabulary file of the public tokenizers that the machine offers; never copied here.
@@ -98,12 +98,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_of(rebuilt_turns(turns)).drop("node", "parent")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECES, digest=True)
     return found.select("doc_id", *alignment.COUNTS, F.col("groups").alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_token_files, op4_license_scan, op5_chat_format, op6_quality_rules, op7_decontamination, op8_bpe, op9_near_duplicates, op10_language_id, op11_prefix_trie, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_token_files, op4_license_scan, op5_chat_format, op6_quality_rules, op7_decontamination, op8_bpe, op9_near_duplicates, op10_language_id, op11_prefix_trie, op12_suffix_dedup, op13_token_alignment)}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
