@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.shared import written
+from marlstone.operators.nearest import nearest
 
 
 def _runs(parts: Column, lo: int, hi: int, join: str) -> Column:
@@ -39,9 +39,21 @@ def token_ngrams(c: Column | str, lo: int = 1, hi: int = 1) -> Column:
     return _runs(F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""), lo, hi, " ")
 
 
-def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, tf."""
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def counted(terms: Column) -> Column:
+    """Array of (term, tf) of an array of terms, by term: the array is sorted and its runs are measured, within the row."""
+
+    def of(xs: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1))), lambda i: (i <= F.size(xs)) & ((i >= F.size(xs)) | (F.get(xs, i - 1) != F.get(xs, i))))
+        runs = F.transform(F.array(ends), lambda e: F.transform(e, lambda x, k: F.struct(F.get(xs, x - 1).alias("term"), (x - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("long").alias("tf"))))
+        return F.flatten(runs)
+
+    return F.flatten(F.transform(F.array(F.sort_array(terms)), of))
+
+
+def term_counts(df: DataFrame, key: str, terms: Column, unique: bool = False) -> DataFrame:
+    """key, term, tf. Terms are counted within each row first; ``unique`` (each key in one row) then needs no shuffle."""
+    rows = df.select(key, F.explode(counted(terms)).alias("t")).select(key, "t.term", "t.tf")
+    return rows if unique else rows.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 def fit_vocabulary(counts: DataFrame, min_df: int = 2, max_features: int | None = None) -> DataFrame:
@@ -58,16 +70,19 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: DataFrame, key: str, subl
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     rows = counts.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(n_docs.select("n")))
     rows = rows.select(key, "term", (tf * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("weight"))
-    if not normalize:
-        return rows
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return rows.withColumn("weight", F.col("weight") / length)
+    return unit_rows(rows, key) if normalize else rows
+
+
+def unit_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, term, weight with weights scaled to length 1 for each key: a key's terms are gathered once, not sorted."""
+    square = F.sum(F.col("weight") * F.col("weight"))
+    whole = rows.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("__t"), F.sqrt(square).alias("__n"))
+    return whole.select(key, "__n", F.explode("__t").alias("__t")).select(key, "__t.term", (F.col("__t.weight") / F.col("__n")).alias("weight"))
 
 
 def count_vectors(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """key, term, weight: counts of known terms, rows of length 1."""
-    rows = counts.join(vocab.select("term"), "term")
-    return rows.select(key, "term", (F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))).alias("weight"))
+    return unit_rows(counts.join(vocab.select("term"), "term").select(key, "term", F.col("tf").cast("double").alias("weight")), key)
 
 
 def encode_chars(df: DataFrame, c: str, vocab: DataFrame, n: int, name: str = "codes") -> DataFrame:
@@ -89,62 +104,34 @@ def char_vocabulary(df: DataFrame, c: str) -> DataFrame:
     return chars.withColumn("code", F.row_number().over(Window.orderBy("char")) + 1)  # one row a character
 
 
-def nearest_similarity(query: DataFrame, ref: DataFrame, key: str, c: str, n: int = 3, max_features: int = 8192, others: bool = False, block: int = 1024, part: int = 4096) -> DataFrame:
-    """key, similarity, nearest: 1 for a text that occurs in ``ref``, else the largest cosine of L2 TF-IDF n-grams.
+def nearest_similarity(query: DataFrame, ref: DataFrame, key: str, c: str, n: int = 3, max_features: int = 8192, others: bool = False, exact: bool = True, rank: int = 512, block: int = 1024, part: int = 4096) -> DataFrame:
+    """key, similarity, nearest, multiplied: 1 for a text that occurs in ``ref``, else the largest cosine of L2 TF-IDF n-grams.
 
     The vocabulary is the ``max_features`` most frequent n-grams of ``ref``. others: the query's rows are rows of ``ref``
-    too, and a row is not its own neighbour. Every query meets every reference text, in blocks: a task multiplies up to
-    about ``block`` queries with about ``part`` texts as matrices and keeps the best of each query. ``nearest`` is the
-    smallest reference key of the largest cosine (to 9 places). Null and empty texts have no n-gram and similarity 0.
+    too, and a row is not its own neighbour. Texts that do not occur in ``ref`` are held against all of it by an upper bound
+    on each pair (see ``nearest``); ``multiplied`` counts the pairs that it left open. exact=False verifies hashed
+    candidates only. ``nearest`` is the smallest reference key of the largest cosine (to 9 places). Null and empty texts
+    and texts without a known n-gram have similarity 0.
     """
     ref_texts = ref.select(F.col(key).alias("ref_key"), F.col(c).alias("text")).where("text is not null").groupBy("text").agg(F.min("ref_key").alias("ref_key"), F.max("ref_key").alias("last_key"), F.count("*").alias("copies"))
     ref_texts = written(ref_texts)
-    counts = written(term_counts(ref_texts, "ref_key", char_ngrams("text", n, n)))
+    counts = written(term_counts(ref_texts, "ref_key", char_ngrams("text", n, n), unique=True))
     vocab = fit_vocabulary(counts, 1, max_features)
     vocab = written(vocab.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("at")))  # max_features rows at most
     total = ref_texts.agg(F.count("*").alias("n"))
-    asked = query.select(F.col(key).alias("query_key"), F.col(c).alias("text")).join(ref_texts, "text", "left")
 
     def vectors(terms: DataFrame, name: str) -> DataFrame:
-        rows = tfidf(terms, vocab, total, name, sublinear=False).join(F.broadcast(vocab.select("term", "at")), "term")
-        return rows.groupBy(name).agg(F.collect_list("at").alias("at"), F.collect_list("weight").alias("w"))
-
-    a = vectors(term_counts(asked, "query_key", char_ngrams("text", n, n)), "query_key").join(asked.select("query_key", F.col("ref_key").alias("own")), "query_key")
-    b = vectors(counts, "ref_key")
-    blocks, parts = -(-query.count() // block) or 1, -(-ref_texts.count() // part) or 1
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    a = a.select("query_key", "own", "at", "w", F.pmod(F.xxhash64("query_key"), F.lit(blocks)).cast("int").alias("block"), spread(parts).alias("part"))
-    b = b.select("ref_key", "at", "w", F.pmod(F.xxhash64("ref_key"), F.lit(parts)).cast("int").alias("part"), spread(blocks).alias("block"))
-
-    def dense(table: pa.Table) -> np.ndarray:
-        at, w = table.column("at").combine_chunks(), table.column("w").combine_chunks()
-        out = np.zeros((len(at), max_features))
-        out[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.values.to_numpy()] = w.values.to_numpy()
-        return out
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        best, who = np.full(left.num_rows, -1.0), np.zeros(left.num_rows, np.int64)
-        own = left.column("own").to_pylist()
-        if left.num_rows and right.num_rows:
-            asked_rows, order = dense(left), np.argsort(right.column("ref_key").to_numpy(), kind="stable")
-            right = right.take(pa.array(order))
-            keys = right.column("ref_key").to_numpy()
-            for k in range(0, right.num_rows, 512):
-                some = np.round(asked_rows @ dense(right.slice(k, 512)).T, 9)
-                if others:
-                    for i, o in enumerate(own):
-                        some[i, keys[k : k + 512] == o] = -1.0
-                top = some.argmax(axis=1)
-                value = some[np.arange(len(top)), top]
-                better = value > best
-                best[better], who[better] = value[better], keys[k : k + 512][top[better]]
-        return pa.table({"query_key": left.column("query_key"), "cosine": best, "ref": pa.array(who, pa.int64(), mask=best < 0)})
-
-    met = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInArrow(meet, "query_key long, cosine double, ref long")
-    best = met.where("ref is not null").groupBy("query_key").agg(F.max_by("ref", F.struct("cosine", -F.col("ref"))).alias("nearest"), F.max("cosine").alias("cosine"))
-    there = (F.col("copies") > 1) if others else F.col("ref_key").isNotNull()
+        rows = tfidf(terms, F.broadcast(vocab), total, name, sublinear=False, normalize=False).join(F.broadcast(vocab.select("term", "at")), "term")
+        whole = rows.groupBy(name).agg(F.collect_list("at").alias("at"), F.collect_list("weight").alias("w"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__n"))
+        return whole.select(name, "at", F.transform("w", lambda x: x / F.col("__n")).alias("w"))
+
+    asked = written(query.select(F.col(key).alias("query_key"), F.col(c).alias("text")).join(ref_texts, "text", "left"))
+    there = (F.coalesce("copies", F.lit(0)) > 1) if others else F.col("ref_key").isNotNull()
+    left = asked.where(~there & (F.length("text") > 0)).select("query_key", F.col("ref_key").alias("own"), "text")
+    found = nearest(left, vectors(counts, "ref_key"), max_features, others, lambda rows: vectors(term_counts(rows, "query_key", char_ngrams("text", n, n)), "query_key"), exact, rank, block, part)
     twin = F.when(F.col("ref_key") == F.col("query_key"), F.col("last_key")).otherwise(F.col("ref_key")) if others else F.col("ref_key")
-    return asked.join(best, "query_key", "left").select(F.col("query_key").alias(key), F.when(there, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("cosine", F.lit(0.0)))).alias("similarity"), F.when(there, twin).otherwise(F.col("nearest")).alias("nearest"))
+    out = asked.join(found, "query_key", "left")
+    return out.select(F.col("query_key").alias(key), F.when(there, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("cosine", F.lit(0.0)))).alias("similarity"), F.when(there, twin).otherwise(F.col("nearest")).alias("nearest"), F.coalesce("multiplied", F.lit(0)).cast("long").alias("multiplied"))
 
 
 def learn_subwords(df: DataFrame, c: str, merges: int = 50, per_pass: int = 10) -> list[tuple[str, str]]:
