@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.expr import apply_affine, finite, prob_ge, residual_target, sigma_from_log
 from marlstone.functions.shared import written
+from marlstone.operators.gram import gram_sums, predict_linear, ridge_by_group, ridge_folds
 from marlstone.operators.metrics import regression_metrics
 from marlstone.operators.rules import accept
 from marlstone.operators.split import hash_key, train_rows
@@ -80,24 +81,21 @@ def predict_sigma(df: DataFrame, model, p: str, features: str = "features", kind
     return out.withColumn("sigma", sigma_from_log("__log_sigma", kind == "squared")).drop("__sigma_features", "__log_sigma")
 
 
-def fit_by_endpoint(df: DataFrame, endpoint: str, y: str, weight: str, most: int = 100, split: str = "split") -> dict:
-    """A ridge for each endpoint, on the common split."""
-    names = [r[0] for r in df.select(endpoint).distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} endpoints")
-    df = written(df)
-    return {n: fit_ridge(df.where(F.col(endpoint) == n), y, weight, split=split) for n in sorted(names)}
-
-
-def cross_validate(df: DataFrame, fold: str, y: str, weight: str, k: int) -> DataFrame:
-    """fold, n, rmse, mae, r2 of a ridge fitted on the other folds."""
-    df, out = written(df), None  # features are made once, not once a fold
-    for j in range(k):
-        marked = df.withColumn("split", F.when(F.col(fold) == j, "valid").otherwise("train"))
-        scored = fit_ridge(marked, y, weight).transform(marked.where("split = 'valid'"))
-        part = regression_metrics(scored, y, "prediction").select(F.lit(j).alias("fold"), "n", "rmse", "mae", "r2")
-        out = part if out is None else out.union(part)
-    return out
+def fit_by_endpoint(df: DataFrame, endpoint: str, features: Sequence[str], y: str, weight: str, alpha: float = 1.0, split: str = "split") -> DataFrame:
+    """endpoint, n, intercept, coefficients: a ridge for each endpoint on its training rows, all from one pass."""
+    return ridge_by_group(gram_sums(train_rows(df, split), features, y, weight, [endpoint]), [endpoint], alpha)
+
+
+def cross_validate(df: DataFrame, fold: str, features: Sequence[str], y: str, weight: str, alpha: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """fold, n, rmse, mae, r2 (and more: see ``regression_metrics``) of a ridge fitted on the other folds.
+
+    All fits come from the sums of one pass, each fold's own taken off the total; ``by``: a model for each group. A row whose
+    fold has no fit is not judged.
+    """
+    fits = written(ridge_folds(gram_sums(df, features, y, weight, [*by, fold]), fold, by, alpha))
+    scored = predict_linear(df, fits, features, [*by, fold])
+    out = regression_metrics(scored, y, "prediction", fold).where("subset <> 'overall'")
+    return out.withColumn(fold, F.col("subset").cast(df.schema[fold].dataType)).select(fold, "n", "rmse", "mae", "r2")
 
 
 def score(df: DataFrame, model, calibration: tuple[float, float], q_scale: float, threshold: float, err_max: float, mean: float = 0.0, sd: float = 1.0) -> DataFrame:

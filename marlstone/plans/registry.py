@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr as X
 from marlstone.functions.shared import shared_path, written
-from marlstone.operators import agg, conformal, drift, joins, metrics, model, order, reshape, rules, split, text, verify
+from marlstone.operators import agg, conformal, drift, gram, joins, metrics, model, order, reshape, rules, split, text, verify
 from marlstone.plans.frames import FRAMES, duck, frame
 from marlstone.sources import measurements
 from marlstone.streaming import scoring
@@ -977,7 +977,40 @@ def m02(spark, d):
 @query("m07_cross_validate")
 def m07(spark, d):
     rows = split.group_kfold(_model_frame(spark, d).drop("split"), "doc_id", "y", 3, 7)
-    return rounded(model.cross_validate(model.assemble(rows, ["n_a", "n_e", "n_seq"]), "fold", "y", "w", 3))
+    return rounded(model.cross_validate(rows, "fold", ["n_a", "n_e", "n_seq"], "y", "w"))
+
+
+#: Rows of T with two features, a label and a weight; sums about nothing and the ridge of them (penalty 1) in SQL.
+_TWO = """f as (select doc_id, endpoint, doc_id % 4 as fold, length(regexp_replace(seq, '[^A]', '', 'g')) / 100e0 as x1, length(regexp_replace(seq, '[^E]', '', 'g')) / 100e0 as x2, ln(length(text) + 1e0) as y, 1e0 + doc_id % 3 as w from t)"""
+_SUMS = "count(*) as n, sum(w) as sw, sum(w * x1) as s1, sum(w * x2) as s2, sum(w * y) as sy, sum(w * x1 * x1) as s11, sum(w * x1 * x2) as s12, sum(w * x2 * x2) as s22, sum(w * x1 * y) as s1y, sum(w * x2 * y) as s2y"
+_SOLVED = """c as (select *, s11 - s1 * s1 / sw + 1 as a, s12 - s1 * s2 / sw as b, s22 - s2 * s2 / sw + 1 as d, s1y - s1 * sy / sw as u1, s2y - s2 * sy / sw as u2 from s),
+      r as (select *, (u1 * d - u2 * b) / (a * d - b * b) as b1, (u2 * a - u1 * b) / (a * d - b * b) as b2 from c), m as (select *, (sy - b1 * s1 - b2 * s2) / sw as b0 from r)"""
+
+
+def _two(spark, d):
+    letters = lambda x: F.length(F.regexp_replace("seq", f"[^{x}]", "")) / F.lit(100.0)
+    return frame(spark, d, "T").select("doc_id", "endpoint", (F.col("doc_id") % 4).alias("fold"), letters("A").alias("x1"), letters("E").alias("x2"), F.log(F.length("text") + F.lit(1.0)).alias("y"), (F.lit(1.0) + F.col("doc_id") % 3).alias("w"))
+
+
+@query("m03_gram", f"with {_TWO}, s as (select {_SUMS} from f), {_SOLVED} select n, round(b0, 6) as intercept, round(b1, 6) as b1, round(b2, 6) as b2 from m")
+def m03_gram(spark, d):
+    fitted = gram.ridge_by_group(gram.gram_sums(_two(spark, d), ["x1", "x2"], "y", "w"))
+    return rounded(fitted.select("n", "intercept", F.get("coefficients", F.lit(0)).alias("b1"), F.get("coefficients", F.lit(1)).alias("b2")))
+
+
+@query("m06_gram", f"with {_TWO}, s as (select endpoint, {_SUMS} from f where doc_id % 5 <> 0 group by endpoint), {_SOLVED}, o as (select f.*, y - (b0 + b1 * x1 + b2 * x2) as e from f join m on f.endpoint is not distinct from m.endpoint where doc_id % 5 = 0) select coalesce(endpoint, 'none') as endpoint, count(*) as n, round(sqrt(avg(e * e)), 6) as rmse from o group by 1")
+def m06_gram(spark, d):
+    """Models by endpoint (null is one), judged on the rows held out."""
+    rows = _two(spark, d).withColumn("split", F.when(F.col("doc_id") % 5 == 0, "valid").otherwise("train"))
+    scored = gram.predict_linear(rows.where("split = 'valid'"), model.fit_by_endpoint(rows, "endpoint", ["x1", "x2"], "y", "w"), ["x1", "x2"], ["endpoint"])
+    out = metrics.regression_metrics(scored.withColumn("endpoint", F.coalesce("endpoint", F.lit("none"))), "y", "prediction", "endpoint").where("subset <> 'overall'")
+    return rounded(out.select(F.col("subset").alias("endpoint"), "n", "rmse"))
+
+
+@query("m07_gram_folds", f"with {_TWO}, g as (select endpoint, fold, {_SUMS} from f group by 1, 2), s as (select a.endpoint, a.fold, {', '.join(f'sum(b.{c}) as {c}' for c in 'n sw s1 s2 sy s11 s12 s22 s1y s2y'.split())} from g a join g b on a.endpoint is not distinct from b.endpoint and a.fold <> b.fold group by 1, 2), {_SOLVED}, o as (select f.fold, f.y, y - (b0 + b1 * x1 + b2 * x2) as e from f join m on f.endpoint is not distinct from m.endpoint and f.fold = m.fold) select fold, count(*) as n, round(sqrt(avg(e * e)), 6) as rmse, round(avg(abs(e)), 6) as mae, round(1 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) as r2 from o group by 1")
+def m07_gram(spark, d):
+    """A model for each endpoint and left-out fold, all from one pass."""
+    return rounded(model.cross_validate(_two(spark, d), "fold", ["x1", "x2"], "y", "w", by=["endpoint"]))
 
 
 @query("m08_score")
@@ -1009,12 +1042,10 @@ def m05(spark, d):
 
 @query("m06_by_endpoint")
 def m06(spark, d):
-    rows = model.assemble(_model_frame(spark, d).where("endpoint is not null"), ["n_a", "n_e", "n_seq"])
-    fitted, out = model.fit_by_endpoint(rows, "endpoint", "y", "w"), None
-    for name, m in fitted.items():
-        part = metrics.regression_metrics(m.transform(rows.where(F.col("endpoint") == name)), "y", "prediction").select(F.lit(name).alias("endpoint"), "n", "rmse", "r2")
-        out = part if out is None else out.union(part)
-    return rounded(out)
+    cols, rows = ["n_a", "n_e", "n_seq"], _model_frame(spark, d).where("endpoint is not null")
+    scored = gram.predict_linear(rows, model.fit_by_endpoint(rows, "endpoint", cols, "y", "w"), cols, ["endpoint"])
+    out = metrics.regression_metrics(scored, "y", "prediction", "endpoint").where("subset <> 'overall'")
+    return rounded(out.select(F.col("subset").alias("endpoint"), "n", "rmse", "r2"))
 
 
 @query("m09_bundle")

@@ -257,7 +257,7 @@ def test_models_against_closed_forms_and_guards(spark):
     mx, my = (sum(v[k] for v in train) / len(train) for k in (0, 1))
     slope = sum((x - mx) * (y - my) for x, y in train) / (sum((x - mx) ** 2 for x, _ in train) + 3.0)
     assert math.isclose(fit.coefficients[0], slope, rel_tol=1e-6)
-    assert set(model.fit_by_endpoint(rows, "e", "y", "w")) == {"a", "b"}
+    assert {r.e for r in model.fit_by_endpoint(rows, "e", ["x"], "y", "w").collect()} == {"a", "b"}
     scaled, mean, sd = model.scale_target(df, "y")
     assert math.isclose(mean, my) and math.isclose(one(scaled.where("split = 'train'").agg(F.avg("y_scaled").alias("m"))).m, 0.0, abs_tol=1e-9)
     holes = model.assemble(df.withColumn("x", F.when(F.col("k") != 7, F.col("x"))).withColumn("sigma", F.lit(1.0)), ["x"], invalid="keep")
