@@ -18,12 +18,13 @@ _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def freed(df: DataFrame, name: str = "table") -> DataFrame:
-    """``staged``, after which the shuffle files that making the table took are removed: the table replaces them."""
-    conf = df.sparkSession.conf
+    """``staged``, packed tighter, after which the shuffle files that making the table took are removed: it replaces them."""
+    conf, path = df.sparkSession.conf, f"{shared_dir(df.sparkSession)}/{name}"
     before = conf.get(_FREE, None)
     conf.set(_FREE, "true")
     try:
-        return staged(df, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
         conf.unset(_FREE) if before is None else conf.set(_FREE, before)
 
@@ -129,6 +130,14 @@ def hash_runs(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def rolling(block: np.ndarray, size: int) -> np.ndarray:
+    """``hash_runs`` of the ``size`` bytes from each place on."""
+    up, down = _powers(len(block) + 1)
+    sums = np.zeros(len(block) + 1, np.uint64)
+    np.cumsum(_BYTES[block] * up[: len(block)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: len(block) - size + 1])
+
+
 def release() -> None:
     """Hands freed memory back to the system: a Python worker is kept for later stages, with what it holds."""
     gc.collect()

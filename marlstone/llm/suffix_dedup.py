@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import freed, hash_runs, join_hot, mix, release, slices, staged, text_array
+from marlstone.llm.common import freed, join_hot, mix, release, rolling, slices, staged, text_array
 
 #: Bytes of a gram, of text that is hashed at once, of strings in a shard; windows of one string at most.
 GRAM, CHUNK, SHARD, RUN = 24, 1 << 20, 2 << 20, 64
@@ -45,17 +45,22 @@ def _within(sorted_keys: np.ndarray) -> np.ndarray:
     return np.arange(len(sorted_keys)) - np.repeat(starts, np.diff(np.append(starts, len(sorted_keys))))
 
 
-def _deal(text, found, wanted, slots, fronts) -> None:
-    """Puts the suffixes before ``found``, as far as ``wanted``, at the fronts of their letters' slots, in order."""
-    before = found[found > 0] - 1
+def _deal(text, found, wanted, slots, fronts, count) -> None:
+    """Puts the suffixes before ``found``, as far as ``wanted``, at the fronts of their letters' slots, in order.
+
+    wanted: by suffix, with a False more at the end, for the one before the first. count: 0, 1, 2 and so on.
+    """
+    before = found - 1
     before = before[wanted[before]]
     if len(before):
         letters = text[before]
         order = np.argsort(letters, kind="stable")
-        before, letters = before[order], letters[order]
-        slots[fronts[letters] + _within(letters)] = before
-        ends = np.flatnonzero(np.concatenate((letters[1:] != letters[:-1], [True])))
-        fronts[letters[ends]] += np.diff(np.concatenate(([-1], ends)))
+        letters = letters[order]
+        starts = np.concatenate(([0], np.flatnonzero(letters[1:] != letters[:-1]) + 1))
+        sizes = np.diff(starts, append=len(letters))
+        firsts = letters[starts]
+        slots[np.repeat(fronts[firsts] - starts, sizes) + count[: len(letters)]] = before[order]
+        fronts[firsts] += sizes
 
 
 def _free(slots: np.ndarray, at: int, size: int) -> int:
@@ -76,33 +81,34 @@ def _induce(text: np.ndarray, size: int, rising: np.ndarray, seeds: np.ndarray)
     stands filled before the next free place, in linear time over all.
     """
     n = len(text)
+    count = np.arange(n, dtype=np.int32)
+    up, down = np.append(rising, False), np.append(~rising, False)
     falling = np.bincount(text[~rising], minlength=size)
     seeded = np.bincount(text[seeds], minlength=size)
     fronts = np.cumsum(falling + seeded) - falling - seeded
-    slots = np.full(n - int(rising.sum()) + len(seeds), -1, np.int64)
+    slots = np.full(n - int(rising.sum()) + len(seeds), -1, np.int32)
     if len(seeds):
         letters = text[seeds]
         slots[(fronts + falling)[letters] + _within(letters)] = seeds
-    fronts = fronts.copy()
     slots[fronts[text[n - 1]]] = n - 1
     fronts[text[n - 1]] += 1
-    at, taken, down = 0, 256, ~rising
+    at, taken = 0, 256
     while at < len(slots):
         end = _free(slots, at, taken)
-        _deal(text, slots[at:end], down, slots, fronts)
+        _deal(text, slots[at:end], down, slots, fronts, count)
         at, taken = end, max(256, end - at)
     sorted_falling = slots[down[slots]]
     counts = falling + np.bincount(text[rising], minlength=size)
     starts = np.cumsum(counts) - counts
     # the second sweep runs backward: slots and places are mirrored
-    slots = np.full(n, -1, np.int64)
+    slots = np.full(n, -1, np.int32)
     letters = text[sorted_falling]
     slots[n - 1 - (starts[letters] + _within(letters))] = sorted_falling
     fronts = n - (starts + counts)
     at, taken = 0, 256
     while at < n:
         end = _free(slots, at, taken)
-        _deal(text, slots[at:end], rising, slots, fronts)
+        _deal(text, slots[at:end], up, slots, fronts, count)
         at, taken = end, max(256, end - at)
     return slots[::-1]
 
@@ -115,18 +121,18 @@ def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
     """
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     size = size or int(text.max()) + 1
-    text = text.astype(np.uint16 if size <= 1 << 16 else np.int32)
+    text = text.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int32)
     rising = _ascending(text)
     left = np.zeros(n, bool)
     left[1:] = rising[1:] & ~rising[:-1]
-    seeds = np.flatnonzero(left)
+    seeds = np.flatnonzero(left).astype(np.int32)
     if len(seeds) < 2:
         return _induce(text, size, rising, seeds)
     rough = _induce(text, size, rising, seeds[np.argsort(text[seeds], kind="stable")])
     order = rough[left[rough]]
-    lengths = np.zeros(n, np.int64)
+    lengths = np.zeros(n, np.int32)
     lengths[seeds[:-1]] = np.diff(seeds) + 1
     a, b = order[:-1], order[1:]
     same = (lengths[a] == lengths[b]) & (lengths[a] > 0)
@@ -138,7 +144,7 @@ def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
         open_ = open_[equal & (lengths[a[open_]] > k)]
     names = np.concatenate(([0], np.cumsum(~same)))
     if names[-1] + 1 < len(seeds):
-        named = np.zeros(n, np.int64)
+        named = np.zeros(n, np.int32)
         named[order] = names
         order = seeds[suffix_array(named[seeds], int(names[-1]) + 1)]
     return _induce(text, size, rising, order)
@@ -150,7 +156,7 @@ def common_prefixes(data: np.ndarray, suffixes: np.ndarray, wanted: np.ndarray,
     Only ``wanted`` places are worked off, 0 elsewhere; eight bytes are compared at a time.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[suffixes[1:]] = suffixes[:-1]
     padded = np.concatenate((data, np.zeros(most + 16, np.uint8)))
     words = np.ndarray((n + most + 8,), "<u8", padded, strides=(1,))
@@ -169,10 +175,12 @@ def repeats(strings: list[bytes], smallest: np.ndarray, largest: np.ndarray, len
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    text = data.astype(np.uint16) + 1
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
+    letters = np.bincount(data, minlength=256) > 0
+    rank = np.cumsum(letters)  # the letters that occur, by rank from 1; the ends of strings are 0
+    text = rank.astype(np.uint16)[data]
     text[begins + sizes] = 0
-    suffixes = suffix_array(text, 257)
+    suffixes = suffix_array(text, int(rank[-1]) + 1)
     whole = (begins + sizes)[owner] - np.arange(len(data)) >= length
     shared = common_prefixes(data, suffixes, whole, length) >= length
     before = np.concatenate(([False], whole[suffixes[:-1]]))
@@ -203,8 +211,7 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int):
     found = []
     for c in range(0, max(len(data) - length + 1, 0), CHUNK):
         part = data[c : c + CHUNK + length - 1]
-        at = np.arange(len(part) - GRAM + 1)
-        least = hash_runs(part, at, at + GRAM)
+        least = rolling(part, GRAM)
         reach = 1
         while reach < grams:  # least hash of the first 1, 2, 4 ... grams of each window
             step = min(reach, grams - reach)
