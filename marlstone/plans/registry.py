@@ -974,6 +974,13 @@ def m02(spark, d):
     return rounded(metrics.regression_metrics(best.transform(rows), "y", "prediction", "split"))
 
 
+@query("m02_history")
+def m02_history(spark, d):
+    """Every second stage of one fit, on training and validation rows."""
+    rows = written(model.assemble(_model_frame(spark, d), ["n_a", "n_e", "n_seq"]).select("doc_id", "split", "y", "w", "features"))
+    return rounded(model.fit_boosted(rows, "y", "w", stages=8, objective="ci")[1])
+
+
 @query("m07_cross_validate")
 def m07(spark, d):
     rows = split.group_kfold(_model_frame(spark, d).drop("split"), "doc_id", "y", 3, 7)
@@ -1062,8 +1069,11 @@ def m09(spark, d):
 
 @query("m10_importance")
 def m10(spark, d):
-    rows = _model_frame(spark, d).select("doc_id", "y", "n_a", "n_e", "n_seq")
-    return rounded(model.grouped_importance(rows, {"letters": ["n_a", "n_e"], "size": ["n_seq"]}, "y", "doc_id", repeats=1))
+    """Five groups of letters and size, five repeats."""
+    letters = {f"n_{x.lower()}": F.length(F.regexp_replace("seq", f"[^{x}]", "")).cast("double") for x in "EAIOTNSR"}
+    rows = _model_frame(spark, d).withColumns(letters | {"n_seq": F.length("seq").cast("double")})
+    groups = {"vowels": ["n_e", "n_a"], "others": ["n_i", "n_o"], "stops": ["n_t"], "voiced": ["n_n", "n_s", "n_r"], "size": ["n_seq"]}
+    return rounded(model.grouped_importance(rows, groups, "y", "doc_id", repeats=5))
 
 
 @query("m11_compare_runs", "with s as (select dataset, sqrt(avg((y_true - y_pred) ** 2)) as rmse, avg(abs(y_true - y_pred)) as mae from p group by 1), w as (select 'rmse' as metric, max(rmse) filter (where dataset = 'random_validation') as a, max(rmse) filter (where dataset = 'temporal') as b from s union all select 'mae', max(mae) filter (where dataset = 'random_validation'), max(mae) filter (where dataset = 'temporal') from s) select metric, round(a, 6) as a, round(b, 6) as b, round(a - b, 6) as gain from w")
