@@ -173,19 +173,27 @@ def gain(metric, a, b) -> Column:
     return F.when(F.upper(_c(metric)).isin("RMSE", "MSE", "MAE"), _c(a) - _c(b)).otherwise(_c(b) - _c(a))
 
 
-def label_candidate(score, width, error, q: dict[str, Column | float]) -> Column:
-    """struct of score, interval and error levels by the thresholds in q: very, high, narrow, wide."""
+#: Absolute errors of candidates: good up to the first, moderate up to the second, bad from the third on.
+CANDIDATE_ERRORS = (0.30, 0.60, 1.00)
+
+
+def label_candidate(score, width, error, q: dict[str, Column | float], errors: tuple[float, float, float] = CANDIDATE_ERRORS) -> Column:
+    """struct of score, interval and error levels by the thresholds in q (very, high, narrow, wide) and ``errors``.
+
+    A missing error is ``mid``, as is one between moderate and bad.
+    """
+    good, moderate, bad = errors
     return F.struct(
         F.when(_c(score) >= q["very"], "very_high").when(_c(score) >= q["high"], "high").otherwise("other").alias("score_level"),
         F.when(_c(width) <= q["narrow"], "narrow").when(_c(width) >= q["wide"], "wide").otherwise("mid").alias("interval_level"),
-        F.when(_c(error) <= 0.5, "good").when(_c(error) <= 1.0, "moderate").when(_c(error) > 1.5, "bad").otherwise("mid").alias("error_level"),
+        F.when(_c(error) <= good, "good").when(_c(error) <= moderate, "moderate").when(_c(error) >= bad, "bad").otherwise("mid").alias("error_level"),
     )
 
 
 def novelty_label(seen, valid, acyclic, known_scaffold) -> Column:
-    """First that holds: seen, invalid, acyclic, known_scaffold, novel_scaffold. Null flags are false, but a null ``valid`` is true."""
+    """First that holds: seen, invalid, acyclic, known_scaffold, novel_scaffold. Null flags are false: without a known ``valid`` a row is invalid."""
     no = lambda c: F.coalesce(_c(c), F.lit(False))
-    return F.when(no(seen), "seen").when(~F.coalesce(_c(valid), F.lit(True)), "invalid").when(no(acyclic), "acyclic").when(no(known_scaffold), "known_scaffold").otherwise("novel_scaffold")
+    return F.when(no(seen), "seen").when(~no(valid), "invalid").when(no(acyclic), "acyclic").when(no(known_scaffold), "known_scaffold").otherwise("novel_scaffold")
 
 
 def similarity_label(seen, similarity) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.expr import finite, label_candidate
+from marlstone.functions.expr import CANDIDATE_ERRORS, finite, label_candidate
+from marlstone.functions.shared import written
 from marlstone.operators.metrics import abs_error_shares, concordance, coverage_metrics, rm2
 from marlstone.operators.order import keep_best, qcut, quantiles, running, top_n
 
@@ -149,18 +150,50 @@ def half_width(df: DataFrame, lo: str, hi: str, p: str, tolerance: float = 1e-6)
     return df.withColumns({"half_width": (F.col(hi) - F.col(lo)) / 2, "consistent": (F.col(hi) >= F.col(lo)) & (F.abs((F.col(hi) + F.col(lo)) / 2 - F.col(p)) <= tolerance)})
 
 
-def select_candidates(df: DataFrame, keys: Sequence[str], score: str, bound: str, error: str, n: int = 20, floors=(8.0, 8.5)) -> DataFrame:
-    """candidate_class and the columns of df: the best row of each key, labelled, the first n of each class.
+def labelled_candidates(df: DataFrame, keys: Sequence[str], score: str, bound: str, error: str, floors=(8.0, 8.5), errors=CANDIDATE_ERRORS) -> DataFrame:
+    """The row of each key with the smallest error (then bound), with the struct ``level`` and the thresholds as the struct ``q``.
 
-    Thresholds: score max(floor, q90) and max(floor, q95), bound q25 and q75, over all best rows.
+    Rows without a key or with a non-finite score, bound or error are left out. Thresholds over the rows kept: score
+    max(floor, q90) and max(floor, q95), bound q25 and q75.
     """
-    best = keep_best(df, keys, [F.col(error).asc_nulls_last(), F.col(bound).asc_nulls_last(), *(F.col(k) for k in df.columns if k not in (error, bound))])
+    whole = df.where(finite(score, bound, error)).dropna(subset=list(keys))
+    best = keep_best(whole, keys, [F.col(error), F.col(bound), *(F.col(k) for k in df.columns if k not in (error, bound))])
     s, b = F.col("s"), F.col("b")
     both = quantiles(best, score, (0.9, 0.95), name="s").crossJoin(F.broadcast(quantiles(best, bound, (0.25, 0.75), name="b")))
-    q = both.select(F.struct(F.greatest(F.lit(floors[0]), s[0]).alias("high"), F.greatest(F.lit(floors[1]), s[1]).alias("very"), b[0].alias("narrow"), b[1].alias("wide")).alias("__q"))
-    rows = best.crossJoin(F.broadcast(q)).withColumn("__l", label_candidate(score, bound, error, {k: F.col("__q")[k] for k in ("high", "very", "narrow", "wide")}))
-    level = F.col("__l")
-    high = level["score_level"].isin("very_high", "high")
-    kind = F.when(high & (level["interval_level"] == "narrow") & level["error_level"].isin("good", "moderate"), "confident").when(high & (level["interval_level"] == "wide"), "uncertain").when(level["error_level"] == "bad", "missed")
-    labelled = rows.withColumn("candidate_class", kind).where("candidate_class is not null").drop("__q", "__l")
-    return top_n(labelled, [F.desc(score), F.col(bound).asc(), *(F.col(k) for k in keys)], n, ["candidate_class"])
+    q = both.select(F.struct(F.greatest(F.lit(floors[0]), s[0]).alias("high"), F.greatest(F.lit(floors[1]), s[1]).alias("very"), b[0].alias("narrow"), b[1].alias("wide")).alias("q"))
+    return best.crossJoin(F.broadcast(q)).withColumn("level", label_candidate(score, bound, error, {k: F.col("q")[k] for k in ("high", "very", "narrow", "wide")}, errors))
+
+
+def candidate_classes(score: str, bound: str, error: str, errors=CANDIDATE_ERRORS) -> dict[str, tuple[Column, list[Column]]]:
+    """Condition and order of each class over the rows of ``labelled_candidates``; all have a high score."""
+    q, high = F.col("q"), F.col(score) >= F.col("q.high")
+    narrow, wide, good, far = F.col(bound) <= q["narrow"], F.col(bound) >= q["wide"], F.col(error) <= errors[0], F.col(error) >= errors[1]
+    down, e, b = F.desc(score), F.col(error), F.col(bound)
+    return {
+        "narrow_good": (high & narrow & good, [down, e.asc(), b.asc()]),
+        "wide_good": (high & wide & good, [down, e.asc(), b.desc()]),
+        "wide_far": (high & wide & far, [down, e.desc(), b.desc()]),
+    }
+
+
+def select_candidates(df: DataFrame, keys: Sequence[str], score: str, bound: str, error: str, n: int = 20, floors=(8.0, 8.5), errors=CANDIDATE_ERRORS) -> DataFrame:
+    """candidate_class and the columns of df: the best row of each key, the first n of each class in the class's own order
+    (further ties by key). A row that fits two classes stands in both."""
+    rows, out = written(labelled_candidates(df, keys, score, bound, error, floors, errors)), None
+    for name, (fits, order) in candidate_classes(score, bound, error, errors).items():
+        part = top_n(rows.where(fits), [*order, *(F.col(k) for k in keys)], n).select(F.lit(name).alias("candidate_class"), *df.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def candidate_summary(df: DataFrame, keys: Sequence[str], endpoint: str, score: str, bound: str, error: str, n: int = 20, floors=(8.0, 8.5), errors=CANDIDATE_ERRORS) -> DataFrame:
+    """section, name, value: rows kept, rows by endpoint, the thresholds, and how many candidates each class gives."""
+    rows = written(labelled_candidates(df, keys, score, bound, error, floors, errors))
+    classes = candidate_classes(score, bound, error, errors)
+    fit = {k: F.least(F.lit(n), F.count_if(c)) for k, (c, _) in classes.items()}
+    cell = lambda section, name, v: F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), v.cast("double").alias("value"))
+    sums = rows.agg(F.count("*").alias("rows"), F.first("q").alias("q"), *(v.alias(k) for k, v in fit.items()))
+    cells = [cell("rows", "all", F.col("rows")), *(cell("threshold", k, F.col(f"q.{k}")) for k in ("high", "very", "narrow", "wide")), *(cell("threshold", k, F.lit(v)) for k, v in zip(("good", "moderate", "bad"), errors, strict=True))]
+    cells += [*(cell("class", k, F.col(k)) for k in classes), cell("class", "all", sum(F.col(k) for k in classes))]
+    out = sums.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    return out.unionByName(rows.groupBy(endpoint).agg(F.count("*").cast("double").alias("value")).select(F.lit("endpoint").alias("section"), F.coalesce(F.col(endpoint).cast("string"), F.lit("NA")).alias("name"), "value"))

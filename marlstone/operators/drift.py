@@ -77,15 +77,15 @@ def enrich(df: DataFrame, ref: DataFrame, compound: str, target: str, endpoint:
     compound_novelty, similarity (of the target's sequence with the nearest in ``ref``, by 3-grams), target_novelty,
     target_length, px_bin and px_distance (of y among the endpoint's training values; null without any).
 
-    valid, acyclic and scaffold name columns of df (scaffold of ref too); what is not given counts as valid, not acyclic,
-    without scaffold.
+    valid, acyclic and scaffold name columns of df (scaffold of ref too). Without a column all rows are valid, not acyclic,
+    without scaffold; a null in one is false.
     """
     out = seen_flag(seen_flag(seen_flag(df, ref, [compound], "seen_compound"), ref, [target], "seen_target"), ref, [compound, target], "seen_pair")
     if scaffold:
         out = seen_flag(out, ref.where(F.col(scaffold) != ""), [scaffold], "scaffold_seen").withColumn("scaffold_seen", F.col("scaffold_seen") & (F.coalesce(F.col(scaffold), F.lit("")) != ""))
     else:
         out = out.withColumn("scaffold_seen", F.lit(False))
-    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c else F.lit(default)
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(default)
     texts = df.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("__s")).distinct().withColumn("__id", F.xxhash64("__s"))
     known = ref.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("__s")).distinct().withColumn("__id", F.xxhash64("__s"))
     near = texts.join(nearest_similarity(texts, known, "__id", "__s"), "__id").select(F.col("__s").alias(sequence), "similarity")
@@ -97,14 +97,18 @@ def enrich(df: DataFrame, ref: DataFrame, compound: str, target: str, endpoint:
 
 
 def standardize_mix(df: DataFrame, dataset: str, base: str, other: str, factors: Sequence[str], error2: str) -> DataFrame:
-    """factor, mse_base, mse_other, mse_standardised, gap_removed, percent, weight_covered.
+    """factor, mse_base, mse_other, mse_standardised, the roots of all three (rmse_...), rmse_reduction, gap_removed, percent,
+    weight_covered; largest gap removed first.
 
-    The other data set's mean squared error by level, weighted by the base's mix over the levels that both have.
+    The other data set's mean squared error by level, weighted by the base's mix over the levels that both have; a factor
+    without such a level has no row. percent is null where the gap is within 1e-12 of nothing. A null level is one.
     """
     cells = F.array(*(F.struct(F.lit(f).alias("factor"), F.coalesce(F.col(f).cast("string"), F.lit("NA")).alias("level")) for f in factors))
     rows = df.where(F.col(dataset).isin(base, other) & finite(error2)).select(dataset, error2, F.explode(cells).alias("x"))
     g = rows.groupBy("x.factor", "x.level").agg(F.count_if(F.col(dataset) == base).alias("nb"), F.count_if(F.col(dataset) == other).alias("no"), F.sum(F.when(F.col(dataset) == base, F.col(error2))).alias("sb"), F.sum(F.when(F.col(dataset) == other, F.col(error2))).alias("so"))
     common = (F.col("nb") > 0) & (F.col("no") > 0)
     s = g.groupBy("factor").agg(F.try_divide(F.sum("sb"), F.sum("nb")).alias("mse_base"), F.try_divide(F.sum("so"), F.sum("no")).alias("mse_other"), F.try_divide(F.sum(F.when(common, F.col("nb") * F.col("so") / F.col("no"))), F.sum(F.when(common, F.col("nb")))).alias("mse_standardised"), F.try_divide(F.sum(F.when(common, F.col("nb"))), F.sum("nb")).alias("weight_covered"))
-    removed = F.col("mse_other") - F.col("mse_standardised")
-    return s.select("factor", "mse_base", "mse_other", "mse_standardised", removed.alias("gap_removed"), F.try_divide(100 * removed, F.col("mse_other") - F.col("mse_base")).alias("percent"), "weight_covered")
+    removed, gap = F.col("mse_other") - F.col("mse_standardised"), F.col("mse_other") - F.col("mse_base")
+    roots = {f"rmse_{x}": F.sqrt(F.greatest(F.col(f"mse_{x}"), F.lit(0.0))) for x in ("base", "other", "standardised")}
+    s = s.where("weight_covered > 0").withColumns(roots).withColumns({"rmse_reduction": F.col("rmse_other") - F.col("rmse_standardised"), "gap_removed": removed, "percent": F.when(F.abs(gap) > 1e-12, 100 * removed / gap)})
+    return s.select("factor", "mse_base", "mse_other", "mse_standardised", *roots, "rmse_reduction", "gap_removed", "percent", "weight_covered").orderBy(F.desc("gap_removed"), "factor")

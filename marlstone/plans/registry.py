@@ -701,16 +701,35 @@ def i10(spark, d):
     return rounded(conformal.replay_mapping(p, 0.5, 1.25, "y_pred", "stored"))
 
 
+#: The rules of candidates in SQL, from their description: best row of a key, thresholds, three classes with their orders.
+_CANDIDATES = """with b as (select * from (select *, abs(y_true - y_pred) as e, row_number() over (partition by compound, target, endpoint order by abs(y_true - y_pred), sigma, uid, endpoint, y_true, y_pred, dataset) as k from p ) where k = 1),
+      q as (select greatest(3.0, quantile_cont(y_pred, 0.9)) as high, greatest(3.2, quantile_cont(y_pred, 0.95)) as very, quantile_cont(sigma, 0.25) as narrow, quantile_cont(sigma, 0.75) as wide from b),
+      a1 as (select 'narrow_good' as candidate_class, b.*, row_number() over (order by y_pred desc, e, sigma, compound, target, endpoint) as r from b, q where y_pred >= high and sigma <= narrow and e <= 0.3),
+      a2 as (select 'wide_good' as candidate_class, b.*, row_number() over (order by y_pred desc, e, sigma desc, compound, target, endpoint) as r from b, q where y_pred >= high and sigma >= wide and e <= 0.3),
+      a3 as (select 'wide_far' as candidate_class, b.*, row_number() over (order by y_pred desc, e desc, sigma desc, compound, target, endpoint) as r from b, q where y_pred >= high and sigma >= wide and e >= 0.4),
+      a4 as (select * from a1 union all select * from a2 union all select * from a3)"""
+_CANDIDATE_ARGS = {"n": 20, "floors": (3.0, 3.2), "errors": (0.3, 0.4, 0.45)}  # errors of P end near a half
+
+
+def _candidate_rows(spark, d):
+    return frame(spark, d, "P").withColumn("e", F.abs(F.col("y_true") - F.col("y_pred"))).select("uid", "endpoint", "y_true", "y_pred", "dataset", "sigma", "e", "compound", "target")
+
+
+@query("i11_candidates", f"{_CANDIDATES} select candidate_class, compound, target, uid from a4 where r <= 20")
+def i11(spark, d):
+    found = conformal.select_candidates(_candidate_rows(spark, d), ["compound", "target", "endpoint"], "y_pred", "sigma", "e", **_CANDIDATE_ARGS)
+    return found.select("candidate_class", "compound", "target", "uid")
+
+
 @query(
-    "i11_candidates",
-    """with b as (select * from (select *, abs(y_true - y_pred) as e, row_number() over (partition by compound, target order by abs(y_true - y_pred), sigma, uid, endpoint, y_true, y_pred, dataset) as k from p ) where k = 1),
-      q as (select greatest(3.0, quantile_cont(y_pred, 0.9)) as high, quantile_cont(sigma, 0.25) as narrow, quantile_cont(sigma, 0.75) as wide from b),
-      l as (select b.*, case when y_pred >= high and sigma <= narrow and e <= 1.0 then 'confident' when y_pred >= high and sigma >= wide and sigma > narrow then 'uncertain' when e > 1.5 then 'missed' end as candidate_class from b, q)
-      select candidate_class, compound, target, uid from (select *, row_number() over (partition by candidate_class order by y_pred desc, sigma, compound, target) as r from l where candidate_class is not null) where r <= 20""",
+    "i11_summary",
+    f"""{_CANDIDATES}, k as (select count(*) filter (where candidate_class = 'narrow_good') as n1, count(*) filter (where candidate_class = 'wide_good') as n2, count(*) filter (where candidate_class = 'wide_far') as n3, count(*) as n4 from a4 where r <= 20)
+      select 'rows' as section, 'all' as name, count(*) * 1e0 as value from b union all select 'endpoint', endpoint, count(*) from b group by 2
+      union all select 'threshold', unnest(['high', 'very', 'narrow', 'wide', 'good', 'moderate', 'bad']), round(unnest([high, very, narrow, wide, 0.3, 0.4, 0.45]), 6) from q
+      union all select 'class', unnest(['narrow_good', 'wide_good', 'wide_far', 'all']), unnest([n1, n2, n3, n4]) * 1e0 from k""",
 )
-def i11(spark, d):
-    p = frame(spark, d, "P").withColumn("e", F.abs(F.col("y_true") - F.col("y_pred"))).select("uid", "endpoint", "y_true", "y_pred", "dataset", "sigma", "e", "compound", "target")
-    return conformal.select_candidates(p, ["compound", "target"], "y_pred", "sigma", "e", floors=(3.0, 3.0)).select("candidate_class", "compound", "target", "uid")
+def i11_summary(spark, d):
+    return rounded(conformal.candidate_summary(_candidate_rows(spark, d), ["compound", "target", "endpoint"], "endpoint", "y_pred", "sigma", "e", **_CANDIDATE_ARGS))
 
 
 @query("i12_half_width", "select count(*) as n, round(sum(sigma), 4) as total, count(*) as n_consistent from p ")
@@ -906,12 +925,16 @@ def n05_by(spark, d):
 
 @query(
     "n06_standardised",
-    """with x as (select target as level, count(*) filter (where dataset = 'random_validation') as nb, count(*) filter (where dataset = 'temporal') as n2, sum((y_true - y_pred) ** 2) filter (where dataset = 'random_validation') as sb, sum((y_true - y_pred) ** 2) filter (where dataset = 'temporal') as so from p group by 1),
-      s as (select sum(sb) / sum(nb) as b, sum(so) / sum(n2) as o, sum(nb * so / n2) / sum(nb) as z from x) select 'target' as factor, round(b, 6) as mse_base, round(o, 6) as mse_other, round(z, 6) as mse_standardised, round(o - z, 6) as gap_removed, 1e0 as weight_covered from s""",
+    """with l as (select 'target' as factor, target as level, * from p union all select 'endpoint', endpoint, * from p union all select 'half', case when dataset = 'temporal' and uid % 3 = 0 then 'late' else cast(uid % 2 as varchar) end, * from p union all select 'none', dataset, * from p ),
+      x as (select factor, level, count(*) filter (where dataset = 'random_validation') as nb, count(*) filter (where dataset = 'temporal') as n2, sum((y_true - y_pred) ** 2) filter (where dataset = 'random_validation') as sb, sum((y_true - y_pred) ** 2) filter (where dataset = 'temporal') as so from l group by 1, 2),
+      s as (select factor, sum(sb) / sum(nb) as b, sum(so) / sum(n2) as o, sum(nb * so / n2) filter (where nb > 0 and n2 > 0) / sum(nb) filter (where nb > 0 and n2 > 0) as z, sum(nb) filter (where nb > 0 and n2 > 0) / sum(nb) as c from x group by 1)
+      select factor, round(b, 6) as mse_base, round(o, 6) as mse_other, round(z, 6) as mse_standardised, round(sqrt(b), 6) as rmse_base, round(sqrt(o), 6) as rmse_other, round(sqrt(z), 6) as rmse_standardised, round(sqrt(o) - sqrt(z), 6) as rmse_reduction, round(o - z, 6) as gap_removed, round(100 * (o - z) / (o - b), 4) as percent, round(c, 6) as weight_covered from s where c > 0""",
 )
 def n06(spark, d):
-    p = frame(spark, d, "P").withColumn("e2", F.pow(F.col("y_true") - F.col("y_pred"), F.lit(2.0)))
-    return rounded(drift.standardize_mix(p, "dataset", "random_validation", "temporal", ["target"], "e2").drop("percent"))
+    late = F.when((F.col("dataset") == "temporal") & (F.col("uid") % 3 == 0), "late").otherwise((F.col("uid") % 2).cast("string"))
+    p = frame(spark, d, "P").withColumns({"e2": F.pow(F.col("y_true") - F.col("y_pred"), F.lit(2.0)), "half": late, "none": F.col("dataset")})
+    out = drift.standardize_mix(p, "dataset", "random_validation", "temporal", ["target", "endpoint", "half", "none"], "e2")
+    return rounded(out.withColumn("percent", F.round("percent", 4)))
 
 
 @query("q02_counts", "select endpoint, count(*) as n, case endpoint when 'pKi' then -1 else count(*) end as expected, endpoint <> 'pKi' as ok from p group by 1")
@@ -1091,12 +1114,12 @@ def m11(spark, d):
       qw as (select s, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from qt join df using (term), n), qn as (select s, term, w / sqrt(sum(w * w) over (partition by s)) as w from qw),
       b as (select s, max(c) as c from (select a.s, b.s as o, sum(a.w * b.w) as c from qn a join rn b using (term) group by 1, 2) group by 1),
       f as (select p.*, compound in (select compound from r) as sc, target in (select target from r) as st, case when target in (select s from u) then 1e0 else least(1e0, coalesce(b.c, 0e0)) end as sim from p left join b on b.s = p.target where dataset = 'temporal')
-      select uid, case when sc then 'seen' when y_true > 4 then 'acyclic' else 'novel_scaffold' end as compound_novelty, case when st then 'seen' when sim >= 0.9 then '>=0.90' when sim >= 0.7 then '>=0.70' else 'low' end as target_novelty, exists(select 1 from r where r.compound = f.compound and r.target = f.target) as seen_pair, round(sim, 6) as similarity, length(target) as target_length,
+      select uid, case when sc then 'seen' when uid % 7 = 0 or uid % 5 = 0 then 'invalid' when y_true > 4 then 'acyclic' else 'novel_scaffold' end as compound_novelty, case when st then 'seen' when sim >= 0.9 then '>=0.90' when sim >= 0.7 then '>=0.70' else 'low' end as target_novelty, exists(select 1 from r where r.compound = f.compound and r.target = f.target) as seen_pair, round(sim, 6) as similarity, length(target) as target_length,
         case when y_true < q[1] then '<q05' when y_true < q[2] then 'q05-q25' when y_true < q[3] then 'q25-q50' when y_true < q[4] then 'q50-q75' when y_true <= q[5] then 'q75-q95' when q is not null then '>q95' end as px_bin, round(abs(y_true - q[3]) / greatest(q[4] - q[2], 1e-8), 6) as px_distance from f left join q using (endpoint)""",
 )
 def n07(spark, d):
-    p = frame(spark, d, "P").withColumns({"sequence": F.col("target"), "acyclic": F.col("y_true") > 4})
-    out = drift.enrich(p.where("dataset = 'temporal'"), p.where("dataset = 'random_validation' and target <> 'click'"), "compound", "target", "endpoint", "y_true", "sequence", acyclic="acyclic")
+    p = frame(spark, d, "P").withColumns({"sequence": F.col("target"), "acyclic": F.col("y_true") > 4, "valid": F.when(F.col("uid") % 7 != 0, F.col("uid") % 5 != 0)})
+    out = drift.enrich(p.where("dataset = 'temporal'"), p.where("dataset = 'random_validation' and target <> 'click'"), "compound", "target", "endpoint", "y_true", "sequence", valid="valid", acyclic="acyclic")
     return rounded(out.select("uid", "compound_novelty", "target_novelty", "seen_pair", "similarity", "target_length", "px_bin", "px_distance"))
 
 
