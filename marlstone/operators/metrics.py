@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.expr import finite, gaussian_interval, prob_ge
 from marlstone.functions.shared import written
-from marlstone.operators.order import average_rank, group_sums, quantile_higher, quantiles, running
+from marlstone.operators.order import average_rank, group_sums, prefix_sum, quantile_higher, quantiles, running
 
 
 def with_subsets(df: DataFrame, by: str | None, overall: bool = True) -> DataFrame:
@@ -123,20 +123,21 @@ def concordance(df: DataFrame, y: str, p: str, by: str | None = None) -> DataFra
     return parts.groupBy(*(["subset"] if by else [])).agg(F.coalesce(F.sum("pairs").cast("long"), F.lit(0)).alias("n_pairs"), F.try_divide(F.sum("good"), F.sum("pairs")).alias("ci"))
 
 
-def concordance_sampled(df: DataFrame, key: str, y: str, p: str, n: int, seed: int = 0) -> DataFrame:
-    """An estimate: about n pairs, each row met with the row next to it in each of several hash orders.
+def concordance_sampled(df: DataFrame, key: str, y: str, p: str, n: int = 500_000, seed: int = 0) -> DataFrame:
+    """n_pairs and ci, estimated from n pairs drawn with replacement; pairs of a row with itself and label ties are dropped.
 
-    n_pairs and ci as above. A round deals the rows into random cells of two; its pairs are disjoint.
+    The rows get places 0, 1, 2 ... by running sums in the order of a hash of ``key``; draw k is the pair of two places that
+    k's hashes give, looked up by two joins on the place. Fewer than two rows, or ties alone, give null.
     """
-    rows = df.where(finite(y, p)).select(F.col(key).alias("k"), F.col(y).alias("y"), F.col(p).alias("p"))
-    total = rows.count()
-    if total < 2:
-        return rows.agg(F.lit(0).cast("long").alias("n_pairs"), F.lit(None).cast("double").alias("ci"))
-    rounds = max(1, min(64, -(-4 * n // total)))
-    dealt = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("cell", F.pmod(F.xxhash64("k", "r", F.lit(seed)), F.lit(max(1, total // 2))))
-    w = Window.partitionBy("r", "cell").orderBy(F.xxhash64("k", F.lit(seed + 1)), "k")
-    pairs = dealt.withColumns({"i": F.row_number().over(w), "y2": F.lead("y").over(w), "p2": F.lead("p").over(w)}).where("i % 2 = 1 and y2 is not null and y <> y2")
-    good = F.when(F.col("p") == F.col("p2"), 0.5).when((F.col("p") < F.col("p2")) == (F.col("y") < F.col("y2")), 1.0).otherwise(0.0)
+    rows = df.where(finite(y, p)).select(F.col(key).alias("k"), F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
+    placed = prefix_sum(rows.withColumns({"h": F.xxhash64("k", F.lit(seed)), "one": F.lit(1)}), ["h", "k", "y", "p"], ["one"])
+    placed = written(placed.select(F.col("before_one").alias("place"), "y", "p"))
+    total = max(placed.count(), 1)
+    place = lambda s: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(total))
+    draws = df.sparkSession.range(n).select(place(1).alias("i"), place(2).alias("j")).where("i <> j")
+    side = lambda name, at: placed.select(F.col("place").alias(at), F.col("y").alias(f"y_{name}"), F.col("p").alias(f"p_{name}"))
+    pairs = draws.join(side("i", "i"), "i").join(side("j", "j"), "j").where("y_i <> y_j")
+    good = F.when(F.col("p_i") == F.col("p_j"), 0.5).when((F.col("p_i") < F.col("p_j")) == (F.col("y_i") < F.col("y_j")), 1.0).otherwise(0.0)
     return pairs.agg(F.count("*").alias("n_pairs"), F.avg(good).alias("ci"))
 
 

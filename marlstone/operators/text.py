@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions.shared import written
 from marlstone.operators.nearest import nearest
+from marlstone.operators.order import prefix_sum
 
 
 def _runs(parts: Column, lo: int, hi: int, join: str) -> Column:
@@ -134,32 +135,75 @@ def nearest_similarity(query: DataFrame, ref: DataFrame, key: str, c: str, n: in
     return out.select(F.col("query_key").alias(key), F.when(there, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("cosine", F.lit(0.0)))).alias("similarity"), F.when(there, twin).otherwise(F.col("nearest")).alias("nearest"), F.coalesce("multiplied", F.lit(0)).cast("long").alias("multiplied"))
 
 
+def _joined(parts: list[str], taken: dict[tuple[str, str], str]) -> list[str]:
+    """The parts with the taken pairs joined from left to right; no two of them have a symbol in common."""
+    out, k = [], 0
+    while k < len(parts):
+        made = taken.get((parts[k], parts[k + 1])) if k + 1 < len(parts) else None
+        out.append(made or parts[k])
+        k += 2 if made else 1
+    return out
+
+
+def _pairs(parts: Column) -> Column:
+    """Array of neighbouring parts as structs a, b."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.struct(F.get(parts, i).alias("a"), F.get(parts, i + 1).alias("b")))
+
+
+def take_in_order(top: list[tuple[str, str, int]], whole: bool, most: int) -> list[tuple[str, str]]:
+    """How far pairs, given by falling count and then by name, can be merged at once as if one by one.
+
+    A merge changes only pairs that share a symbol with it, and a pair that it makes is at most as frequent as such a pair.
+    So the next one is taken as long as no other pair of its count or more shares a symbol with what was taken. whole: there
+    are no pairs beyond ``top``; else a pair of the last count may be missing.
+    """
+    taken: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for a, b, n in top:
+        if len(taken) >= most or {a, b} & used or (taken and not whole and n <= top[-1][2]):
+            break
+        if any(m >= n and {c, d} & used and (c, d) not in taken for c, d, m in top):
+            break
+        taken.append((a, b))
+        used |= {a, b}
+        if a == b:  # it may make neighbours of its own making
+            break
+    return taken
+
+
 def learn_subwords(df: DataFrame, c: str, merges: int = 50, per_pass: int = 10) -> list[tuple[str, str]]:
-    """Merge list by repeatedly joining the most frequent neighbouring symbols; bounded by ``merges``.
+    """Merge list by repeatedly joining the most frequent neighbouring symbols (ties: by name), at most ``merges``.
 
-    Works on distinct words with counts, written after each pass; a pass takes up to ``per_pass`` pairs without common
-    symbols, of which the driver sees four times as many. Words carry their symbols as one text with blanks between.
+    Works on distinct words with counts. Pair counts are kept as a table: a pass joins pairs in the words that hold them
+    and adds what those words' pairs lost and gained, so nothing is counted anew. A pass takes up to ``per_pass`` merges, as
+    far as their order is sure to be that of one merge at a time (see ``take_in_order``); the driver sees four times as
+    many pairs. Pairs that occur once are not merged. Words carry their symbols as one text with blanks between.
     """
     words = df.select(F.explode(F.split(F.lower(c), r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    symbols = written(words.select("n", F.concat(F.lit(" "), F.array_join(F.filter(F.split("w", ""), lambda x: x != ""), " "), F.lit(" ")).alias("s")))
+    symbols = written(words.select("n", F.array_join(F.filter(F.split("w", ""), lambda x: x != ""), " ").alias("s"), F.lit(None).cast("string").alias("old")))
+    counted_ = lambda rows, s, sign: rows.select((F.col("n") * sign).alias("n"), F.explode(_pairs(F.split(s, " "))).alias("p")).where("p.b is not null").select("p.a", "p.b", "n")
+    pairs = written(counted_(symbols, "s", 1).groupBy("a", "b").agg(F.sum("n").alias("n")))
     done: list[tuple[str, str]] = []
     while len(done) < merges:
-        parts = F.split(F.trim("s"), " ")
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.get(parts, i - 1).alias("a"), F.get(parts, i).alias("b")))
-        top = symbols.select("n", F.explode(pairs).alias("p")).where("p.b is not null").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "p").limit(4 * per_pass).collect()
-        taken: list[tuple[str, str]] = []
-        used: set[str] = set()
-        for r in top:
-            a, b = r["p"]
-            if len(taken) < min(per_pass, merges - len(done)) and not {a, b} & used:
-                taken.append((a, b))
-                used |= {a, b}
+        top = [tuple(r) for r in pairs.where("n > 1").orderBy(F.desc("n"), "a", "b").limit(4 * per_pass + 1).collect()]
+        taken = take_in_order(top[: 4 * per_pass], len(top) <= 4 * per_pass, min(per_pass, merges - len(done)))
         if not taken:
             break
-        s = F.col("s")
-        for a, b in taken:
-            s = F.replace(F.replace(s, F.lit(f" {a} {b} "), F.lit(f" {a}{b} ")), F.lit(f" {a} {b} "), F.lit(f" {a}{b} "))
-        symbols = written(symbols.select("n", s.alias("s")))
+        made = {(a, b): a + b for a, b in taken}
+
+        def join(batches, made=made):
+            for batch in batches:
+                olds, news = batch.column(1).to_pylist(), []
+                for s in olds:
+                    parts = s.split(" ")
+                    new = _joined(parts, made)
+                    news.append(" ".join(new) if len(new) < len(parts) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n or s for n, s in zip(news, olds, strict=True)]), pa.array([s if n else None for n, s in zip(news, olds, strict=True)], pa.string())], names=["n", "s", "old"])
+
+        symbols = written(symbols.select("n", "s").mapInArrow(join, "n long, s string, old string"))
+        changed = symbols.where("old is not null")
+        moved = counted_(changed, "old", -1).unionByName(counted_(changed, "s", 1))
+        pairs = written(pairs.unionByName(moved).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
         done += taken
     return done
 
@@ -204,3 +248,42 @@ def apply_subwords(df: DataFrame, c: str, merges: Sequence[tuple[str, str]], nam
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def ordered_terms(vocab: DataFrame) -> DataFrame:
+    """term and index (from 0, in the terms' order) of a vocabulary of any size."""
+    return prefix_sum(vocab.select("term", F.lit(1).alias("one")), ["term"], ["one"]).select("term", F.col("before_one").cast("long").alias("index"))
+
+
+def sparse_rows(df: DataFrame, key: str, texts: Sequence[tuple[DataFrame, DataFrame]] = (), one_hot: Sequence[tuple[str, Sequence[str]]] = (), numbers: Sequence[str] = ()) -> DataFrame:
+    """key, index, value: the non-zero features of each row, block after block, in long form; nothing has the full width.
+
+    texts: (key, term, weight) with its vocabulary (term), each a block in the terms' order; one_hot: (column, its values), an
+    unknown or null value is all zeros; numbers: columns of df, null and NaN count as 0. Keys are unique in df; rows of a text
+    block whose key is not in df are left out.
+    """
+    out, base = None, 0
+    for rows, vocab in texts:
+        index = written(ordered_terms(vocab))
+        found = rows.join(index, "term").where("weight <> 0").join(df.select(key), key, "left_semi")
+        part = found.select(key, (F.col("index") + base).alias("index"), F.col("weight").cast("double").alias("value"))
+        out, base = part if out is None else out.unionByName(part), base + index.count()
+    cells = []
+    for c, values in one_hot:
+        at = F.array_position(F.array(*map(F.lit, values)), F.col(c))
+        cells.append(F.when(at > 0, F.struct((at - 1 + base).cast("long").alias("index"), F.lit(1.0).alias("value"))))
+        base += len(values)
+    for k, c in enumerate(numbers):
+        v = F.col(c).cast("double")
+        cells.append(F.when(v.isNotNull() & ~F.isnan(v) & (v != 0), F.struct(F.lit(base + k).cast("long").alias("index"), v.alias("value"))))
+    if cells:
+        part = df.select(key, F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select(key, "x.index", "x.value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def packed_rows(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """df with indices and values (arrays by ascending index) of its sparse features; a row without any has empty arrays."""
+    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "value"))).alias("__x"))
+    out = df.join(lists, key, "left").withColumn("__x", F.coalesce("__x", F.array().cast(lists.schema["__x"].dataType)))
+    return out.withColumns({"indices": F.transform("__x", lambda x: x["index"]), "values": F.transform("__x", lambda x: x["value"])}).drop("__x")

@@ -853,6 +853,21 @@ def l07(spark, d):
     return out.select("doc_id", F.length("seq").alias("n"), "n_truncated", "n_unknown", F.array_join(F.transform(F.slice("codes", 1, 5), lambda x: x.cast("string")), ",").alias("head"))
 
 
+@query(
+    "l06_sparse",
+    """with gr as (select doc_id, substr(seq, cast(i as int), 2) as term from (select doc_id, seq, unnest(generate_series(1, length(seq) - 1)) as i from t)), tf as (select doc_id, term, count(*) as tf from gr group by 1, 2),
+      v as (select term, row_number() over (order by term) - 1 as ix from (select term from tf group by 1 having count(*) >= 2)), w as (select doc_id, ix, tf / sqrt(sum(tf * tf) over (partition by doc_id)) as value from tf join v using (term)), n as (select count(*) as n from v),
+      o as (select doc_id, n + case endpoint when 'de' then 0 when 'en' then 1 when 'fr' then 2 end as ix, 1e0 as value from t, n where endpoint in ('de', 'en', 'fr')), k as (select doc_id, n + 3 as ix, ln(length(text) + 1e0) as value from t, n where length(text) > 0)
+      select doc_id, cast(ix as bigint) as index, round(value, 6) as value from (select * from w union all select * from o union all select * from k)""",
+)
+def l06(spark, d):
+    """Two-letter counts of unit length, the language one-hot and a number, as one sparse block in long form."""
+    t = frame(spark, d, "T").withColumn("size", F.log(F.length("text") + F.lit(1.0)))
+    counts = written(text.term_counts(t, "doc_id", text.char_ngrams("seq", 2, 2), unique=True))
+    vocab = written(text.fit_vocabulary(counts, 2))
+    return rounded(text.sparse_rows(t, "doc_id", [(text.count_vectors(counts, vocab, "doc_id"), vocab)], [("endpoint", ["de", "en", "fr"])], ["size"]))
+
+
 _NEAREST = """with u as (select seq, min(doc_id) as doc_id, count(*) as copies from t group by 1), gr as (select doc_id, substr(seq, cast(i as int), 3) as term from (select doc_id, seq, unnest(generate_series(1, length(seq) - 2)) as i from u)), tf as (select doc_id, term, count(*) as tf from gr group by 1, 2), df as (select term, count(*) as df, sum(tf) as total from tf group by 1 order by total desc, term limit 8192), n as (select count(*) as n from u),
       rw as (select tf.doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (term), n), rn as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from rw),
       own as (select t.doc_id, u.doc_id as own, copies from t join u on t.seq = u.seq where {which}),
