@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from marlstone.llm.common import freed, join_hot, mix, release, rolling, slices, staged, text_array
 
 #: Bytes of a gram, of text that is hashed at once, of strings in a shard; windows of one string at most.
-GRAM, CHUNK, SHARD, RUN = 24, 1 << 20, 2 << 20, 64
+GRAM, CHUNK, SHARD, RUN = 24, 1 << 17, 1 << 20, 64
 #: Distinct strings of one gram beyond which its windows are dealt one by one.
 CROWD = 20_000
 #: Documents of the sample that tells frequent grams, grams told at most, and documents of the sample that hold one at least.
