@@ -1254,6 +1254,27 @@ def p01(spark, d):
 
 @query("p02_windowed_errors", "select cast(date_trunc('day', ts) as varchar) as day, event_type, count(*) as n, round(avg(value), 6) as mean_error from events group by 1, 2")
 def p02(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet")
-    out = scoring.windowed_errors(rows, "ts", "event_type", "value")
+    """Windows of a file stream whose rows arrive in three parts, each taken in by a run of its own."""
+    rows, path = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "value"), shared_path(spark)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first, first + (last - first) / 3, first + (last - first) * 2 / 3, None]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        part = rows.where(F.col("ts") >= F.lit(begin).cast("timestamp_ntz")) if end is None else rows.where((F.col("ts") >= F.lit(begin).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        part.write.mode("append").parquet(f"{path}/in")
+        scoring.windowed_errors_stream(spark, f"{path}/in", rows.schema, "ts", "event_type", "value", f"{path}/out", f"{path}/mark")
+    out = scoring.latest_windows(spark, f"{path}/out", "event_type")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("mean_error", 6).alias("mean_error"))
+
+
+@query(
+    "p03_running_metrics",
+    """with l as (select 'overall' as endpoint, y_true as a, y_pred as b from p union all select endpoint, y_true, y_pred from p )
+      select endpoint, count(*) as n, round(sqrt(avg((a - b) ** 2)), 6) as rmse, round(avg(abs(a - b)), 6) as mae, round(1 - sum((a - b) ** 2) / (sum(a * a) - sum(a) * sum(a) / count(*)), 6) as r2, round(corr(a, b), 6) as pearson from l group by 1""",
+)
+def p03(spark, d):
+    """The rows in two parts, the second with a quarter of the first again: metrics from the batches' sums."""
+    p, path = frame(spark, d, "P").select("uid", "endpoint", "y_true", "y_pred"), shared_path(spark)
+    for part in (p.where("uid % 2 = 0"), p.where("uid % 2 = 1 or uid % 8 = 0")):
+        part.write.mode("append").parquet(f"{path}/in")
+        scoring.score_stream(spark, f"{path}/in", p.schema, "uid", lambda b: b, f"{path}/out", f"{path}/mark", metrics=(f"{path}/sums", "endpoint", "y_true", "y_pred"))
+    return rounded(scoring.running_metrics(spark, f"{path}/sums"))
