@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import SIGN_ORDER, finite, p_scale
-from marlstone.operators.order import quantiles
+from marlstone.operators.order import quantiles, quantiles_of
 
 
 def weighted_percentile(df: DataFrame, keys: Sequence[str], v: str, w: str, q: float = 0.5) -> DataFrame:
@@ -120,9 +120,10 @@ def profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str] = ()) ->
         stats += [(c, "total", F.count("*")), (c, "distinct", F.count_distinct(F.col(c))), (c, "non_null", F.count(c))]
     row = df.agg(*(e.cast("double").alias(f"s{k}") for k, (_, _, e) in enumerate(stats)))
     out = row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"s{k}").alias("value")) for k, (c, s, _) in enumerate(stats)))))
-    for c in numeric:
-        q = quantiles(df.select(F.when(finite(c), F.col(c).cast("double")).alias("x")), "x", (0.25, 0.5, 0.75))
-        out = out.union(q.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.get("q", F.lit(k)).alias("value")) for k, s in enumerate(("q25", "median", "q75")))))))
+    if numeric:
+        named = row.select(F.explode(F.array(*map(F.lit, numeric))).alias("column"))  # a column without values has nulls
+        q = named.join(F.broadcast(quantiles_of(df, numeric, (0.25, 0.5, 0.75))), "column", "left")  # one row a column
+        out = out.unionByName(q.select("column", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), F.get("q", F.lit(k)).alias("value")) for k, s in enumerate(("q25", "median", "q75")))))))
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import finite, novelty_label, quantile_bin_label, similarity_label
+from marlstone.functions.shared import written
 from marlstone.operators.agg import composition, quantile_spec
 from marlstone.operators.joins import seen_flag
 from marlstone.operators.metrics import with_subsets
@@ -51,25 +52,25 @@ def numeric_shift(df: DataFrame, dataset: str, a: str, b: str, variables: Sequen
     stands for them), else every row counts. by: also one block for each of its few values, named in ``subset``.
     """
     named = with_subsets(df.where(F.col(dataset).isin(a, b)), by)
-    out = None
-    for v in variables:
-        rows = named.where(finite(v)).select("subset", F.col(dataset).alias("side"), F.col(v).cast("double").alias("x"), *([basis] if basis and basis != v else []))
-        if basis:
-            rows = rows.groupBy("subset", "side", basis if basis != v else "x").agg(F.min("x").alias("x0")).select("subset", "side", F.col("x0").alias("x"))
-        of = lambda n: F.when(F.col("side") == n, F.col("x"))
-        side = lambda n, s: [F.count(of(n)).alias(f"n_{s}"), F.avg(of(n)).alias(f"mean_{s}"), F.stddev_pop(of(n)).alias(f"sd_{s}"), F.var_pop(of(n)).alias(f"v_{s}")]
-        s = rows.groupBy("subset").agg(*side(a, "a"), *side(b, "b"))
-        middle = quantiles(rows, "x", [0.5], ["subset", "side"]).groupBy("subset").agg(*(F.max(F.when(F.col("side") == n, F.col("q")[0])).alias(f"median_{t}") for n, t in ((a, "a"), (b, "b"))))
-        counts = rows.groupBy("subset", "x").agg(F.count_if(F.col("side") == a).alias("na"), F.count_if(F.col("side") == b).alias("nb"))
-        run = group_sums(counts, ["subset"], ["x"], ["na", "nb"])
-        gap = lambda p, q: F.try_divide(p, F.col("total_na")) - F.try_divide(q, F.col("total_nb"))
-        before, after = F.abs(gap(F.col("before_na"), F.col("before_nb"))), F.abs(gap(F.col("before_na") + F.col("na"), F.col("before_nb") + F.col("nb")))
-        far = run.groupBy("subset").agg(F.max(after).alias("ks"), F.sum(F.col("x") * (before - after)).alias("wasserstein"))
-        smd = F.try_divide(F.col("mean_b") - F.col("mean_a"), F.sqrt((F.col("v_a") + F.col("v_b")) / 2))
-        part = s.join(middle, "subset", "left").join(far, "subset", "left")
-        part = part.select(F.lit(v).alias("variable"), *(["subset"] if by else []), *(f"{x}_{y}" for y in "ab" for x in ("n", "mean", "sd", "median")), smd.alias("smd"), "ks", ks_p_value(F.col("ks"), F.col("n_a"), F.col("n_b")).alias("ks_p"), "wasserstein")
-        out = part if out is None else out.union(part)
-    return out
+    cells = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables))
+    rows = named.select("subset", F.col(dataset).alias("side"), *([F.col(basis).cast("string").alias("__b")] if basis else []), F.explode(cells).alias("__c"))
+    rows = rows.select(*(c for c in rows.columns if c != "__c"), "__c.variable", "__c.x").where(finite("x"))
+    if basis:
+        own = F.when(F.col("variable") == basis, (F.col("x") + 0.0).cast("string")).otherwise(F.col("__b"))
+        rows = rows.groupBy("variable", "subset", "side", own.alias("__b")).agg(F.min("x").alias("x"))
+    rows, keys = written(rows.select("variable", "subset", "side", "x")), ["variable", "subset"]
+    of = lambda n: F.when(F.col("side") == n, F.col("x"))
+    side = lambda n, s: [F.count(of(n)).alias(f"n_{s}"), F.avg(of(n)).alias(f"mean_{s}"), F.stddev_pop(of(n)).alias(f"sd_{s}"), F.var_pop(of(n)).alias(f"v_{s}")]
+    s = rows.groupBy(*keys).agg(*side(a, "a"), *side(b, "b"))
+    middle = quantiles(rows, "x", [0.5], [*keys, "side"]).groupBy(*keys).agg(*(F.max(F.when(F.col("side") == n, F.col("q")[0])).alias(f"median_{t}") for n, t in ((a, "a"), (b, "b"))))
+    counts = rows.groupBy(*keys, "x").agg(F.count_if(F.col("side") == a).alias("na"), F.count_if(F.col("side") == b).alias("nb"))
+    run = group_sums(counts, keys, ["x"], ["na", "nb"])
+    gap = lambda p, q: F.try_divide(p, F.col("total_na")) - F.try_divide(q, F.col("total_nb"))
+    before, after = F.abs(gap(F.col("before_na"), F.col("before_nb"))), F.abs(gap(F.col("before_na") + F.col("na"), F.col("before_nb") + F.col("nb")))
+    far = run.groupBy(*keys).agg(F.max(after).alias("ks"), F.sum(F.col("x") * (before - after)).alias("wasserstein"))
+    smd = F.try_divide(F.col("mean_b") - F.col("mean_a"), F.sqrt((F.col("v_a") + F.col("v_b")) / 2))
+    part = s.join(middle, keys, "left").join(far, keys, "left")
+    return part.select("variable", *(["subset"] if by else []), *(f"{x}_{y}" for y in "ab" for x in ("n", "mean", "sd", "median")), smd.alias("smd"), "ks", ks_p_value(F.col("ks"), F.col("n_a"), F.col("n_b")).alias("ks_p"), "wasserstein")
 
 
 def enrich(df: DataFrame, ref: DataFrame, compound: str, target: str, endpoint: str, y: str, sequence: str, valid: str | None = None, acyclic: str | None = None, scaffold: str | None = None) -> DataFrame:

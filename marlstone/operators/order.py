@@ -82,6 +82,16 @@ def quantiles(df: DataFrame, c: str, qs: Sequence[float], by: Sequence[str] = ()
     return found.select(*by, F.when(F.col("__0_0").isNotNull(), F.array(*mixed)).alias(name))
 
 
+def quantiles_of(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (), name: str = "q") -> DataFrame:
+    """column, by and ``name``: the exact quantiles of many numeric columns from one running count over (column, group, value).
+
+    Nulls and non-finite numbers are left out; a column of a group without values has no row.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols))
+    long = df.select(*by, F.explode(cells).alias("__x")).select(*by, "__x.column", "__x.value").where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    return quantiles(long, "value", qs, ["column", *by], name)
+
+
 def quantile_higher(df: DataFrame, c: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Element ceil(q (n - 1)) counted from 0; q <= 0: smallest, q >= 1: largest."""
     q = min(max(q, 0.0), 1.0)

@@ -371,6 +371,16 @@ def f09(spark, d):
     return rounded(agg.profile(frame(spark, d, "P"), ["y_true"], ["target"]))
 
 
+@query(
+    "f09_profile_many",
+    " union all ".join(f"""select '{c}' as "column", unnest(['total', 'non_null', 'null_ratio', 'min', 'max', 'mean', 'sd', 'q25', 'median', 'q75']) as stat, round(unnest([count(*), count({c}), 1 - count({c}) / count(*), min({c}), max({c}), avg({c}), stddev_samp({c}), quantile_cont({c}, 0.25), quantile_cont({c}, 0.5), quantile_cont({c}, 0.75)]), 6) as value from (select y_true, y_pred, sigma, case when uid % 3 = 0 then null else uid % 17 end as part, cast(null as double) as none from p ) as z""" for c in ("y_true", "y_pred", "sigma", "part", "none")),
+)
+def f09_many(spark, d):
+    """Five columns, one with gaps and one without a value, from one running count."""
+    rows = frame(spark, d, "P").withColumns({"part": F.when(F.col("uid") % 3 != 0, F.col("uid") % 17), "none": F.lit(None).cast("double")})
+    return rounded(agg.profile(rows, ["y_true", "y_pred", "sigma", "part", "none"]))
+
+
 @query("f10_correlations", "select 'y_true' as a, 'y_pred' as b, round(corr(y_true, y_pred), 6) as r from p union all select 'y_true', 'sigma', round(corr(y_true, sigma), 6) from p union all select 'y_pred', 'sigma', round(corr(y_pred, sigma), 6) from p ")
 def f10(spark, d):
     return rounded(agg.correlation_matrix(frame(spark, d, "P"), ["y_true", "y_pred", "sigma"]))
