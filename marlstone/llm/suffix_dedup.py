@@ -113,11 +113,53 @@ def _induce(text: np.ndarray, size: int, rising: np.ndarray, seeds: np.ndarray)
     return slots[::-1]
 
 
+def _named(text: np.ndarray, size: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds sorted by their substrings, whether each has the same as the one after it).
+
+    A substring goes to the next seed, itself included, the last one to the end marker. Letters are packed into words of 64
+    bits. A substring that begins another is the larger one: where it ends the other one falls, so the words are filled up
+    with a letter above all; the end marker is below all.
+    """
+    n, bits = len(text), int(size + 1).bit_length()
+    per, above = 64 // bits, np.uint64((1 << bits) - 1)
+    lengths = np.diff(seeds, append=n) + 1
+
+    def word(which: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(len(which), np.uint64)
+        for j in range(k * per, (k + 1) * per):
+            at = which + j
+            letter = np.where(at < n, text[np.minimum(at, n - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            out = (out << np.uint64(bits)) | np.where(sizes > j, letter, above)
+        return out
+
+    first = word(seeds, lengths, 0)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    same = first[:-1] == first[1:]
+    group = np.concatenate(([0], np.cumsum(~same)))
+    long = np.zeros(int(group[-1]) + 1, bool)
+    long[group[lengths[order] > per]] = True
+    spots = np.flatnonzero(long[group])
+    if len(spots):  # whole groups, each a run of places in the order
+        members = order[spots]
+        sizes = lengths[members]
+        words = [word(seeds[members], sizes, k) for k in range(1, -(-int(sizes.max()) // per))]
+        inner = np.lexsort((*words[::-1], group[spots]))
+        order[spots] = members[inner]
+        equal = np.ones(len(spots) - 1, bool)
+        for w in words:
+            equal &= w[inner[:-1]] == w[inner[1:]]
+        next_ = np.diff(spots) == 1
+        same[spots[:-1][next_]] &= equal[next_]
+    return seeds[order], same
+
+
 def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
     """Starts of all suffixes in order, a shorter one before what it begins. Letters are 0 to size - 1.
 
-    Suffixes are rising or falling; the leftmost rising ones cut the text into substrings, which induced sorting orders
-    and names; the text of the names is sorted by this function itself unless all names differ.
+    Suffixes are rising or falling; the leftmost rising ones (seeds) cut the text into substrings, which are sorted and
+    named; the text of the names is sorted by this function itself unless all names differ, and the order of the seeds
+    induces that of all suffixes.
     """
     n = len(text)
     if not n:
@@ -130,18 +172,7 @@ def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
     seeds = np.flatnonzero(left).astype(np.int32)
     if len(seeds) < 2:
         return _induce(text, size, rising, seeds)
-    rough = _induce(text, size, rising, seeds[np.argsort(text[seeds], kind="stable")])
-    order = rough[left[rough]]
-    lengths = np.zeros(n, np.int32)
-    lengths[seeds[:-1]] = np.diff(seeds) + 1
-    a, b = order[:-1], order[1:]
-    same = (lengths[a] == lengths[b]) & (lengths[a] > 0)
-    open_, k = np.flatnonzero(same), 0
-    while len(open_):
-        equal = text[a[open_] + k] == text[b[open_] + k]
-        same[open_[~equal]] = False
-        k += 1
-        open_ = open_[equal & (lengths[a[open_]] > k)]
+    order, same = _named(text, size, seeds)
     names = np.concatenate(([0], np.cumsum(~same)))
     if names[-1] + 1 < len(seeds):
         named = np.zeros(n, np.int32)
