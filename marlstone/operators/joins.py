@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.expr import split_tokens
@@ -26,9 +26,16 @@ def map_tokens(df: DataFrame, key: str, col: str, mapping: DataFrame, token: str
     return ids.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("__v")), "|").alias("mapped"))
 
 
+def _once(df: DataFrame, key: str, side: str) -> DataFrame:
+    """df; a key that occurs twice is an error when it is met. Null keys are let through."""
+    many = df.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    told = F.raise_error(F.concat(F.lit(f"a key of the {side} is not unique: "), F.col(key).cast("string"))).cast(df.schema[key].dataType)
+    return many.withColumn(key, F.when((F.col("__n") == 1) | F.col(key).isNull(), F.col(key)).otherwise(told)).drop("__n")
+
+
 def attach_predictions(labels: DataFrame, preds: DataFrame, key: str) -> DataFrame:
-    """Inner join on the key; columns that both have come from ``labels``."""
-    return labels.join(preds.select(key, *(c for c in preds.columns if c not in labels.columns)), key)
+    """Inner join on the key; columns that both have come from ``labels``. A key that occurs twice on a side is an error."""
+    return _once(labels, key, "labels").join(_once(preds.select(key, *(c for c in preds.columns if c not in labels.columns)), key, "predictions"), key)
 
 
 def check_keys(labels: DataFrame, preds: DataFrame, key: str) -> DataFrame:
@@ -47,8 +54,12 @@ def seen_flag(df: DataFrame, ref: DataFrame, keys: Sequence[str], name: str) ->
 
 
 def attach_dimension(df: DataFrame, dim: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    out = df.join(dim.select(key, *defaults).dropDuplicates([key]), key, "left")
-    return out.fillna(defaults)
+    """Adds the columns of ``defaults`` from the dimension, or the default where they are missing or null.
+
+    Of several rows of a key the smallest (by these columns, in order, nulls first) counts.
+    """
+    rows = dim.groupBy(key).agg(F.min(F.struct(*defaults)).alias("__d")).select(key, *(F.col(f"__d.{c}").alias(c) for c in defaults))
+    return df.join(rows, key, "left").fillna(defaults)
 
 
 def check_alignment(a: DataFrame, b: DataFrame, key: str, col: str, tolerance: float) -> DataFrame:

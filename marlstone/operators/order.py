@@ -137,11 +137,11 @@ def qcut(df: DataFrame, c: str, n: int, name: str = "bin", by: Sequence[str] = (
     return out.withColumn(name, F.when(F.col(c).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(c))))).drop("edges")
 
 
-def error_cdf(df: DataFrame, error: str) -> DataFrame:
-    """error, n, cumulative share (percent) of rows with at most that error, by distinct error."""
+def error_cdf(df: DataFrame, error: str, thresholds: Sequence[float] = (0.5, 1.0, 1.5)) -> DataFrame:
+    """error, n, cumulative share (percent) of rows with at most that error, whether it is a key threshold; by distinct error."""
     counts = value_counts(df, error)
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(F.col("value").alias("error"), "n", (100.0 * (F.col("before") + F.col("n")) / F.col("total")).alias("percent"))
+    return counts.crossJoin(F.broadcast(total)).select(F.col("value").alias("error"), "n", (100.0 * (F.col("before") + F.col("n")) / F.col("total")).alias("percent"), F.col("value").isin([float(t) for t in thresholds]).alias("is_key_threshold"))
 
 
 def select_best(df: DataFrame, metric: str, stage: str, higher: bool, eps: float = 1e-12) -> DataFrame:

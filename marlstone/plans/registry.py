@@ -448,10 +448,10 @@ def g03(spark, d):
     return order.qcut(frame(spark, d, "P"), "sigma", 5, "bin", ["endpoint"]).groupBy("endpoint", F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("g04_error_cdf", "with c as (select floor(round(abs(y_true - y_pred) * 10000) / 100) as error, count(*) as n from p group by 1) select error, n, round(100 * sum(n) over (order by error) / sum(n) over (), 6) as percent from c")
+@query("g04_error_cdf", "with c as (select floor(round(abs(y_true - y_pred) * 10000) / 100) as error, count(*) as n from p group by 1) select error, n, round(100 * sum(n) over (order by error) / sum(n) over (), 6) as percent, error in (10, 20, 30) as is_key_threshold from c")
 def g04(spark, d):
     p = frame(spark, d, "P").withColumn("error", F.floor(F.round(F.abs(F.col("y_true") - F.col("y_pred")) * 10000) / 100).cast("double"))
-    return rounded(order.error_cdf(p, "error"))
+    return rounded(order.error_cdf(p, "error", (10.0, 20.0, 30.0)))
 
 
 @query("g05_quantile_higher", "with r as (select y_true, row_number() over (order by y_true) as k, count(*) over () as n from p ) select min(y_true) filter (where k >= ceil(0.9 * (n - 1)) + 1) as value, max(n) as n from r")
