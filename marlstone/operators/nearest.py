@@ -216,7 +216,7 @@ def nearest(asked: DataFrame, vectors: DataFrame, width: int, own_vectors: bool,
     else:
         query = with_heads(of_queries(asked).select("query_key", F.lit(None).cast("long").alias("own"), "at", "w"), basis)
     query = written(query)
-    pairs = hashed_candidates(query.select("query_key", "own", "head"), ref.select("ref_key", "head"), basis.shape[1], block=block, part=part)
+    pairs = hashed_candidates(query.select("query_key", "own", "head"), ref.select("ref_key", "head"), basis.shape[1], keep=2 if exact else 12, block=block, part=part)
     likely = written(verified(pairs, query, ref))
     if not exact:
         return likely.select("query_key", "cosine", F.col("ref_key").alias("nearest"), F.lit(0).cast("long").alias("multiplied"))
