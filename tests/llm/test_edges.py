@@ -120,8 +120,8 @@ def test_decontamination_items_without_id_and_with_one_id(spark):
 
 
 def test_decontamination_of_graded_paraphrases(spark):
-    """Items with a share of their words replaced by others: all with a tenth, about two thirds with a fifth (an item counts
-    where 0.7 of its words in order and 0.7 of its answer words are left), none with a half."""
+    """Items with a share of their words replaced by others: all with a tenth, at least 0.9 with a fifth (an item counts
+    where 0.7 of its words in order and half of its answer words are left), none with a half."""
     rng = np.random.default_rng(12)
     items = [text_of(rng, 45) for _ in range(40)]
     rows = []
@@ -134,7 +134,7 @@ def test_decontamination_of_graded_paraphrases(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: {x["item_id"] for x in r["items"]} for r in decontam.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     recall = {s: np.mean([k in got[s * 1000 + k] for k in range(40)]) for s in (0, 10, 20, 50)}
-    assert recall[0] == 1 and recall[10] >= 0.95 and recall[20] >= 0.6 and recall[50] == 0
+    assert recall[0] == 1 and recall[10] == 1 and recall[20] >= 0.9 and recall[50] == 0
     assert all(found <= {d % 1000} for d, found in got.items())
 
 
