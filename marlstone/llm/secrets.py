@@ -33,6 +33,40 @@ ENCODINGS = [
 KINDS = ("assign", "access", "hex", "random")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """The array in slices of about the square root of its size, so that work that grows with the square of a slice stays small."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+    firsts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(firsts, lambda k: F.slice(values, k, width))
+
+
+def _running(values: Column, add, zero: int) -> Column:
+    """What ``add`` (a sum or a maximum) makes of each value of an array<int> and those before it."""
+
+    def scan(part: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc, x):
+            return _let(add(acc["at"], x), lambda now: F.struct(now.alias("at"), F.array_append(acc["out"], now).alias("out")))
+
+        return F.aggregate(part, start, step)
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: p["at"]))["out"]
+        return _let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p["out"]).otherwise(_let(F.get(b, k - 1), lambda base: F.transform(p["out"], lambda x: add(base, x)))))))
+
+    return _let(values, lambda v: _let(F.transform(_blocks(v), scan), joined))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _found(text: Column, pattern: str, group: int | None, least: int) -> Column:
     """array<struct<start,end,body>> of the pattern's leftmost matches whose body (group or all) has ``least`` letters.
 
@@ -40,16 +74,34 @@ def _found(text: Column, pattern: str, group: int | None, least: int) -> Column:
     """
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    body = F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0))
-    rows = F.transform(F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), whole.alias("whole"), body.alias("body")), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["whole"]).alias("size"), x["body"].alias("body")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,body:string>>").alias("out"))
+    body = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    rows = _let(whole, lambda w: F.zip_with(F.slice(pieces, F.lit(1), F.size(w)), w, lambda gap, x: F.struct((gap + F.length(x)).alias("step"), F.length(x).alias("size"))))
+
+    def spans(rows: Column) -> Column:
+        ends = _running(F.transform(rows, lambda x: x["step"]), _sum, 0)
+        placed = F.zip_with(rows, ends, lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end")))
+        return F.zip_with(placed, body, lambda x, said: F.struct(x["start"].alias("start"), x["end"].alias("end"), said.alias("body")))
 
-    def step(acc, x):
-        a = acc["at"] + x["gap"]
-        return F.struct((a + x["size"]).alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), (a + x["size"]).alias("end"), x["body"].alias("body"))).alias("out"))
+    return F.filter(_let(rows, spans), lambda s: F.length(s["body"]) >= least)
 
-    spans = F.aggregate(rows, start, step)["out"]
-    return F.filter(spans, lambda s: F.length(s["body"]) >= least)
+
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps: of those that begin no later none ends in the run, and the next one begins after it.
+
+    Runs and spans are sorted by start together; the largest end before each and the smallest start after it are running maxima.
+    """
+    of = lambda s, kind, body: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), body.alias("body"))
+    events = F.array_sort(F.concat(F.transform(base, lambda s: of(s, 0, F.lit(""))), F.transform(runs, lambda s: of(s, 1, s["body"]))))
+    none = -(2**31) + 1
+
+    def judged(events: Column) -> Column:
+        before = _running(F.transform(events, lambda e: F.when(e["kind"] == 0, e["end"]).otherwise(F.lit(none))), F.greatest, none)
+        after = F.reverse(_running(F.reverse(F.transform(events, lambda e: F.when(e["kind"] == 0, -e["start"]).otherwise(F.lit(none)))), F.greatest, none))
+        both = F.zip_with(before, after, lambda x, y: F.struct(x.alias("end"), (-y).alias("start")))
+        told = F.zip_with(events, both, lambda e, near: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["body"].alias("body"), ((e["kind"] == 1) & (near["end"] <= e["start"]) & (near["start"] >= e["end"])).alias("free")))
+        return F.filter(told, lambda e: e["free"])
+
+    return F.when(F.size(base) > 0, _let(events, judged)).otherwise(F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), F.lit(True).alias("free"))))
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -69,37 +121,37 @@ def normal_cdf(z: Column) -> Column:
 
 
 def battery(body: Column) -> Column:
-    """struct<p, p_runs, p_serial>: p of "language" (small: a random alphabet), p of "random" by runs and by serial correlation."""
+    """struct<p, p_runs, p_serial>: p of "language" (small: a random alphabet), p of "random" by runs and by serial correlation.
+
+    Null where no encoding has all the letters."""
+    two_sided = lambda z: 2.0 * normal_cdf(-F.abs(z))
+    known = F.filter(F.array(*(F.struct(F.lit(x).alias("letters"), F.lit(float(len(x))).alias("cells"), F.lit(c).alias("coincidence")) for _, x, c in ENCODINGS)), lambda e: F.call_function("translate", body, e["letters"], F.lit("")) == "")
 
-    def tests(letters: str, coincidence: float) -> Column:
-        size, cells = F.length(body).cast("double"), float(len(letters))
+    def tests(e: Column) -> Column:
         chars = F.filter(F.split(body, ""), lambda c: c != "")
-        places = F.transform(chars, lambda c: (F.instr(F.lit(letters), c) - 1).cast("double"))
-        squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.pow(size - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
-        chi = squares * cells / size - size
-        over = size * (cells * coincidence - 1.0)
-        degrees = cells - 1.0
-        p = normal_cdf((chi - degrees - over) / F.sqrt(2.0 * (degrees + 2.0 * over)))
-        pairs = F.arrays_zip(F.slice(places, F.lit(1), F.size(places) - 1).alias("a"), F.slice(places, F.lit(2), F.size(places) - 1).alias("b"))
-        middle = (cells - 1.0) / 2.0
-        high = F.size(F.filter(places, lambda x: x > middle)).cast("double")
-        low = size - high
-        turns = 1.0 + F.size(F.filter(pairs, lambda x: (x["a"] > middle) != (x["b"] > middle)))
-        expected = 1.0 + 2.0 * high * low / size
-        spread = F.greatest((expected - 1.0) * (expected - 2.0) / (size - 1.0), F.lit(1e-9))
-        runs = (turns - expected) / F.sqrt(spread)
-        mean = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / size
-        moments = F.aggregate(pairs, F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx")), lambda a, x: F.struct((a["xy"] + (x["a"] - mean) * (x["b"] - mean)).alias("xy"), (a["xx"] + (x["a"] - mean) * (x["a"] - mean)).alias("xx")))
-        serial = moments["xy"] / F.greatest(moments["xx"], F.lit(1e-9)) * F.sqrt(size)
-        two_sided = lambda z: 2.0 * normal_cdf(-F.abs(z))
+        return _let(F.transform(chars, lambda c: (F.instr(e["letters"], c) - 1).cast("double")), lambda places: judged(e["cells"], e["coincidence"], places))
+
+    def judged(cells: Column, coincidence: Column, places: Column) -> Column:
+        size, middle = F.size(places).cast("double"), (cells - 1.0) / 2.0
+        squares = F.aggregate(F.array_distinct(places), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter(places, lambda y: y == x)).cast("double"), F.lit(2.0)))
+        pairs = F.zip_with(F.slice(places, F.lit(1), F.size(places) - 1), F.slice(places, F.lit(2), F.size(places) - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+        zero = F.struct(*(F.lit(0.0).alias(c) for c in ("a", "b", "ab", "aa", "turns")))
+        moments = F.aggregate(pairs, zero, lambda m, x: F.struct((m["a"] + x["a"]).alias("a"), (m["b"] + x["b"]).alias("b"), (m["ab"] + x["a"] * x["b"]).alias("ab"), (m["aa"] + x["a"] * x["a"]).alias("aa"), (m["turns"] + F.when((x["a"] > middle) != (x["b"] > middle), 1.0).otherwise(0.0)).alias("turns")))
+        sums = F.struct(size.alias("n"), squares.alias("squares"), F.size(F.filter(places, lambda x: x > middle)).cast("double").alias("high"), (F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / size).alias("mean"), moments.alias("m"))
+        return _let(sums, lambda t: statistics(cells, coincidence, t))
+
+    def statistics(cells: Column, coincidence: Column, t: Column) -> Column:
+        n, high, mean, m, degrees = t["n"], t["high"], t["mean"], t["m"], cells - 1.0
+        over = n * (cells * coincidence - 1.0)
+        p = normal_cdf((t["squares"] * cells / n - n - degrees - over) / F.sqrt(2.0 * (degrees + 2.0 * over)))
+        expected = 1.0 + 2.0 * high * (n - high) / n
+        runs = (1.0 + m["turns"] - expected) / F.sqrt(F.greatest((expected - 1.0) * (expected - 2.0) / (n - 1.0), F.lit(1e-9)))
+        xy = m["ab"] - mean * (m["a"] + m["b"]) + (n - 1.0) * mean * mean
+        xx = m["aa"] - 2.0 * mean * m["a"] + (n - 1.0) * mean * mean
+        serial = xy / F.greatest(xx, F.lit(1e-9)) * F.sqrt(n)
         return F.struct(p.alias("p"), two_sided(runs).alias("p_runs"), two_sided(serial).alias("p_serial"))
 
-    out = None
-    for _, letters, coincidence in reversed(ENCODINGS):
-        this = tests(letters, coincidence)
-        fits = F.translate(body, letters, "") == ""
-        out = this if out is None else F.when(fits, this).otherwise(out)
-    return out
+    return F.get(F.transform(F.slice(known, 1, 1), tests), F.lit(0))
 
 
 def _discoveries(spans: Column, q: float, alpha: float) -> Column:
@@ -143,7 +195,7 @@ def scan_secrets(df: DataFrame, text: str = "text", q: float = 0.01, alpha: floa
     found = F.col("__found")
     base = F.concat(*(_kind(found[k], k) for k in KINDS[:3]))
     step = step.select("__row", base.alias("__base"), found["run"].alias("__run"))
-    free = F.filter("__run", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.when(F.size("__run") > 0, _apart(F.col("__run"), F.col("__base")))
     step = step.select("__row", "__base", F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), battery(s["body"]).alias("t"))).alias("__run"))
     added = F.when(F.size("__run") > 0, _kind(_discoveries(F.col("__run"), q, alpha), "random")).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
     return step.select(*(F.col("__row").getField(c).alias(c) for c in keep), F.array_sort(F.concat("__base", added)).alias("secrets"))
@@ -155,12 +207,17 @@ def span_text(secrets: Column, base_only: bool = False) -> Column:
 
 def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
     """``text`` with each span replaced by ``mark``; spans that overlap are replaced as one. No spans: as it is (null stays null)."""
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     t = F.col(f"`{text}`")
-
-    def step(acc, s):
-        new = F.concat(F.substring(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], new).alias("out"))
-
-    folded = F.aggregate(F.col(secrets), init, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    return df.withColumn(text, F.when(F.size(secrets) > 0, folded).otherwise(t))
+    ends = _running(F.transform(F.col(secrets), lambda s: s["end"]), F.greatest, 0)
+    # each span with the end of what is written before it
+    rows = _let(ends, lambda e: F.transform(F.col(secrets), lambda s, k: F.struct(F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0)).alias("at"), s["start"].alias("start"))))
+
+    def told(part: Column) -> Column:
+        first = F.get(part, F.lit(0))["at"]
+        near = F.substring(t, first + 1, F.greatest(F.element_at(part, F.lit(-1))["start"] - first, F.lit(0)))  # places in the whole text are found by counting from its start
+        piece = lambda n, s: F.concat(F.substring(n, s["at"] - first + 1, F.greatest(s["start"] - s["at"], F.lit(0))), F.when(s["start"] >= s["at"], F.lit(mark)).otherwise(F.lit("")))
+        return _let(near, lambda n: F.array_join(F.transform(part, lambda s: piece(n, s)), ""))
+
+    written = F.array_join(F.transform(_let(rows, _blocks), told), "")
+    rest = F.substring(t, F.array_max(F.transform(F.col(secrets), lambda s: s["end"])) + 1, F.length(t))
+    return df.withColumn(text, F.when(F.size(secrets) > 0, F.concat(written, rest)).otherwise(t))
