@@ -183,14 +183,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), similar (the text was joined with a different text), links
-    (different texts it was joined with), digest (of the text), class_key (digest of the class's first text, by doc_id)
+    """doc_id, class_id (smallest doc_id of the class), texts (different texts in the class), similar (more than
+    one), digest (of the text), class_key (digest of the class's first text, by doc_id)
     and chosen (the row's id and text stand for the class).
 
     One row for each row of ``df``. Null texts count as empty; texts without a word are alike only if equal. A row
     without doc_id takes the class of the texts equal to its own, or null, and is never chosen. Repeated rows are copies.
     Where several texts share a doc_id each is compared for itself; class_key tells classes apart that so have one
-    class_id. Ties cannot change a class, only which of its pairs are verified. An empty table gives an empty table;
+    class_id. Which pairs are verified depends on the order of ids and the sizes of
+    buckets; the classes and ``texts`` do not. An empty table gives an empty table;
     other columns are left out. Texts below five words have one shingle of all their words; long texts are read whole.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -235,10 +236,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         linked = staged(linked.union(_verify(rest, texts, idf).where(F.col("similarity") >= threshold).select("a", "b")), "linked")
     linked = staged(linked.distinct(), "linked")
     named = components(linked).join(reps.where("first is not null").select(node_of("first", "digest").alias("node"), "first", "digest"), "node")
-    heads = named.groupBy("label").agg(F.min(F.struct("first", "digest")).alias("head"))
-    degrees = linked.select("a").union(linked.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    nodes = named.join(heads, "label").join(degrees, "node").select("digest", F.col("head")["first"].alias("class_id"), F.col("head")["digest"].alias("class_key"), "links")
-    classes = reps.select("digest", "first").join(nodes, "digest", "left").select("digest", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_key", "digest").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
+    heads = named.groupBy("label").agg(F.min(F.struct("first", "digest")).alias("head"), F.count("*").alias("texts"))
+    nodes = named.join(heads, "label").select("digest", F.col("head")["first"].alias("class_id"), F.col("head")["digest"].alias("class_key"), "texts")
+    classes = reps.select("digest", "first").join(nodes, "digest", "left").select("digest", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_key", "digest").alias("class_key"), F.coalesce("texts", F.lit(1).cast("long")).alias("texts"))
     out = signed.select("doc_id", "digest").join(classes, "digest")
     chosen = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_key")), F.lit(False))
-    return out.select("doc_id", "class_id", (F.col("links") > 0).alias("similar"), "links", "digest", "class_key", chosen.alias("chosen"))
+    return out.select("doc_id", "class_id", (F.col("texts") > 1).alias("similar"), "texts", "digest", "class_key", chosen.alias("chosen"))

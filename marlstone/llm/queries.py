@@ -69,7 +69,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "similar", "links")
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "similar", "texts")
 
 
 def held_out(doc_id: str = "doc_id"):

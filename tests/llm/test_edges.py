@@ -31,7 +31,7 @@ def test_texts_that_share_an_id_are_each_compared(spark):
     assert len(got) == 7 and len(set(keys.values())) == 3
     by_id = {r.doc_id: r for r in got if r.doc_id in (2, 3, 4)}
     assert by_id[2].class_key != by_id[3].class_key and by_id[2].class_id == by_id[3].class_id == 1
-    assert by_id[2].links == 1 and by_id[4].links == 0 and not by_id[4].similar
+    assert by_id[2].texts == 2 and by_id[4].texts == 1 and not by_id[4].similar
     assert sorted((r.doc_id, r.chosen) for r in got if r.chosen) == [(1, True), (1, True), (1, True), (4, True)]
 
 
