@@ -54,12 +54,14 @@ def _deal(text, found, wanted, slots, fronts, count) -> None:
     before = before[wanted[before]]
     if len(before):
         letters = text[before]
-        order = np.argsort(letters, kind="stable")
+        order = letters.argsort(kind="stable")
         letters = letters[order]
-        starts = np.concatenate(([0], np.flatnonzero(letters[1:] != letters[:-1]) + 1))
-        sizes = np.diff(starts, append=len(letters))
+        cuts = (letters[1:] != letters[:-1]).nonzero()[0] + 1
+        bounds = np.empty(len(cuts) + 2, np.int64)
+        bounds[0], bounds[1:-1], bounds[-1] = 0, cuts, len(letters)
+        starts, sizes = bounds[:-1], bounds[1:] - bounds[:-1]
         firsts = letters[starts]
-        slots[np.repeat(fronts[firsts] - starts, sizes) + count[: len(letters)]] = before[order]
+        slots[(fronts[firsts] - starts).repeat(sizes) + count[: len(letters)]] = before[order]
         fronts[firsts] += sizes
 
 
@@ -154,12 +156,35 @@ def _named(text: np.ndarray, size: int, seeds: np.ndarray) -> tuple[np.ndarray,
     return seeds[order], same
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """All suffixes of the names in order, by prefix doubling: what one, two, four ... names tell apart stays out of later rounds."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    open_, key, old, reach = order, names[order].astype(np.int64), np.zeros(n, np.int64), 1
+    rank = np.zeros(n, np.int64)  # place in the order of the first suffix that is not told apart from it yet
+    while len(open_):
+        place = np.arange(len(open_))
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        outer = np.concatenate(([True], old[1:] != old[:-1]))
+        old = old + np.maximum.accumulate(np.where(first, place, 0)) - np.maximum.accumulate(np.where(outer, place, 0))
+        rank[open_] = old
+        alone = first & np.concatenate((first[1:], [True]))
+        open_, old = open_[~alone], old[~alone]
+        after = open_ + reach
+        key = (old << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        open_, key, old, reach = open_[order], key[order], old[order], reach * 2
+    out = np.empty(n, np.int32)
+    out[rank] = np.arange(n, dtype=np.int32)
+    return out
+
+
 def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
     """Starts of all suffixes in order, a shorter one before what it begins. Letters are 0 to size - 1.
 
     Suffixes are rising or falling; the leftmost rising ones (seeds) cut the text into substrings, which are sorted and
-    named; the text of the names is sorted by this function itself unless all names differ, and the order of the seeds
-    induces that of all suffixes.
+    named; unless all names differ, the suffixes of the text of names are sorted by prefix doubling, and the order of the
+    seeds induces that of all suffixes.
     """
     n = len(text)
     if not n:
@@ -177,7 +202,7 @@ def suffix_array(text: np.ndarray, size: int | None = None) -> np.ndarray:
     if names[-1] + 1 < len(seeds):
         named = np.zeros(n, np.int32)
         named[order] = names
-        order = seeds[suffix_array(named[seeds], int(names[-1]) + 1)]
+        order = seeds[_doubled(named[seeds])]
     return _induce(text, size, rising, order)
 
 
