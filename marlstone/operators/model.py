@@ -236,8 +236,9 @@ def grouped_importance(df: DataFrame, groups: dict[str, Sequence[str]], y: str,
     repeats; spread: its population standard deviation; share: of the rises above 0. A column stands in one group.
     """
     cols = [c for g in groups.values() for c in g]
-    rows = df.where(finite(y, *cols)).withColumn("__test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5)) == 0)
-    rows = written(rows.select(key, y, *cols, "__test"))  # read again by every tree
+    rows = df.withColumn("__test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(5)) == 0)
+    # Read again by every tree. Filtered after it is written: pushed below the columns, the filter works each of them out several times.
+    rows = written(rows.select(key, y, *cols, "__test")).where(finite(y, *cols))
     model = GBTRegressor(labelCol=y, maxIter=10, maxDepth=4, seed=seed).fit(assemble(rows.where("not __test"), cols))
     errors = written(permuted_errors(rows.where("__test"), model, groups, y, key, repeats, seed))
     base = errors.where("group is null").select(F.col("mse").alias("base"))  # one row
